@@ -31,8 +31,8 @@ def values(columns: list[str], rows) -> str:
 
 
 def rounded(value: str, places: int) -> str:
-    """Half up on the decimal form, as Spark rounds a double."""
-    return f"round(CAST({value} AS DECIMAL(28,12)), {places})::DOUBLE"
+    """Half up on the shortest decimal text, as Spark rounds a double."""
+    return f"round(CAST(CAST(({value})::DOUBLE AS VARCHAR) AS DECIMAL(38,22)), {places})::DOUBLE"
 
 
 def joined(value: str) -> str:

@@ -121,7 +121,8 @@ def f3(spark, sf):
 
 MAP_SQL = b.REQUESTS_SQL + f""", {b.FEATURES_SQL}, {b.SYNONYMS_SQL}, terms AS (
   SELECT DISTINCT raw, replace(lower(trim(raw)), ' ', '_') AS norm FROM (SELECT unnest(symptoms) AS raw FROM requests)),
-listed AS (SELECT phrase, list_sort(list_filter(features, lambda f: list_contains((SELECT list(feature) FROM features), f))) AS found FROM synonyms),
+listed AS (SELECT phrase, coalesce(list(DISTINCT f.feature ORDER BY f.feature) FILTER (f.feature IS NOT NULL), []) AS found
+  FROM (SELECT phrase, unnest(features) AS feature FROM synonyms) s LEFT JOIN features f USING (feature) GROUP BY phrase),
 single AS (SELECT raw, norm, CASE WHEN norm LIKE '%s' AND length(norm) > 3 THEN rtrim(norm, 's') ELSE norm END AS one FROM terms),
 staged AS (SELECT raw, norm, CASE WHEN f.feature IS NOT NULL THEN 'exact' WHEN l.phrase IS NOT NULL THEN 'synonym'
     WHEN f1.feature IS NOT NULL OR l1.phrase IS NOT NULL THEN 'plural' END AS stage,
@@ -147,7 +148,7 @@ def pull_sql(source: str) -> str:
 
 
 FULL_MAP_SQL = MAP_SQL + EXTRACT_SQL + ", open AS (SELECT raw FROM staged LEFT JOIN close USING (raw) WHERE stage IS NULL AND top IS NULL)" + pull_sql("open") + """,
-meaning AS (SELECT phrase, CASE WHEN f.feature IS NOT NULL THEN [f.feature] ELSE l.found END AS found
+meaning AS (SELECT phrases.phrase, CASE WHEN f.feature IS NOT NULL THEN [f.feature] ELSE l.found END AS found
   FROM phrases LEFT JOIN features f ON f.feature = replace(phrases.phrase, ' ', '_') LEFT JOIN listed l ON l.phrase = replace(phrases.phrase, ' ', '_')),
 extracted AS (SELECT raw, list_sort(list_distinct(flatten(list(found)))) AS got FROM pulled JOIN meaning USING (phrase) GROUP BY raw),
 resolved AS (SELECT raw, CASE WHEN stage IS NOT NULL THEN stage WHEN top IS NOT NULL THEN 'fuzzy' WHEN got IS NOT NULL THEN 'extracted' ELSE 'unmatched' END AS stage,
@@ -448,7 +449,7 @@ def p10(spark, sf):
     )
 
 
-LINES = "array_to_string(list_transform(range(1, len(ds) + 1), lambda i: '  ' || i || '. ' || ds[i] || ' (' || printf('%.1f', round((cs[i] * 100)::DECIMAL(18,6), 1)::DOUBLE) || '%)'), chr(10))"
+LINES = "array_to_string(list_transform(range(1, len(ds) + 1), lambda i: '  ' || i || '. ' || ds[i] || ' (' || printf('%.1f', " + b.rounded("cs[i] * 100::DOUBLE", 1) + ") || '%)'), chr(10))"
 
 
 @query("f20_advisory_text", f"""WITH {SCORED_SQL} SELECT request_id, array_to_string(['Top predicted conditions:', coalesce({LINES}, ''),

@@ -34,7 +34,8 @@ def recent_memory(messages: DataFrame, as_of: Column, top: int = HISTORY, hours:
 def since_reset(messages: DataFrame) -> DataFrame:
     """Messages after the user's last reset marker (`is_reset`), markers left out."""
     resets = messages.filter("is_reset").groupBy("user_id").agg(F.max("seq").alias("_reset"))
-    joined = lookup_join(messages.filter(~F.col("is_reset")), resets, ["user_id"], "left", spread=["user_id", "seq"])
+    # One row per user on the right: adaptive execution splits the messages of a hot user.
+    joined = messages.filter(~F.col("is_reset")).join(resets, "user_id", "left")
     return joined.filter(F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))).drop("_reset")
 
 

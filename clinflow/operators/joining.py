@@ -18,14 +18,15 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], how: str = "left",
-                spread: list[str] | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+                spread: list[str] | None = None, rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
     """Join facts to a lookup table.
 
     The table is broadcast when its size is proven small. Beyond that the facts are spread over
     `SALTS` parts of every key by a hash of `spread`, and each table row goes to all parts, so a
-    key with a third of all facts is joined by many tasks.
+    key with a third of all facts is joined by many tasks. `small` carries the result of an
+    earlier check of the same table.
     """
-    if is_small(table, rows):
+    if is_small(table, rows) if small is None else small:
         return facts.join(F.broadcast(table), on, how)
     spread = spread or [name for name in facts.columns if name not in on]
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))

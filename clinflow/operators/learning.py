@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinflow.operators.joining import lookup_join, top_rows
+from clinflow.session import written
 
 MIN_SAMPLES = 50
 AB_THRESHOLD = 2.0
@@ -64,7 +65,7 @@ def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.2,
         .filter((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
         .select(label, F.col("_b").alias("_cut"), (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
-    placed = lookup_join(hashed, cuts, [label], "left", spread=[key])
+    placed = lookup_join(hashed, written(cuts, "cuts"), [label], "left", spread=[key])
     edge = (F.col("_b") == F.col("_cut")) & F.col("_cut").isNotNull()
     sure = placed.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut"))).withColumn(
         "is_test", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False))

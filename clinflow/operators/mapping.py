@@ -14,7 +14,8 @@ from clinflow.functions.scoring import severity_score
 from clinflow.functions.text import normalise_term, strip
 from clinflow.lookups.severity import UNKNOWN_WEIGHT
 from clinflow.operators.containment import contained_pairs
-from clinflow.operators.joining import SALTS, is_small, lookup_join
+from clinflow.operators.joining import SALTS, first, is_small, lookup_join
+from clinflow.session import written
 
 FUZZY_CUTOFF = 0.55
 PHRASE_ROWS = 5_000
@@ -39,39 +40,32 @@ def weighted_severity(requests: DataFrame, weights: DataFrame, key: str = "reque
     )
 
 
-def _stage(terms: DataFrame, features: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Exact, synonym and plural stages for distinct `norm` terms: adds stage and features."""
-    known = features.select(F.col("feature").alias("norm"), F.col("feature").alias("_exact"))
-    listed = synonyms.select(F.explode_outer("features").alias("feature"), "phrase")
-    usable = (
-        listed.join(features.select("feature"), "feature", "left_semi")
-        .groupBy("phrase").agg(F.array_sort(F.collect_set("feature")).alias("_found"))
+def dictionary(features: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(norm, stage, features): what a normalised term means as a feature or as a listed phrase.
+
+    A listed phrase counts even when none of its features is known: it ends the search.
+    """
+    exact = features.select(F.col("feature").alias("norm"), F.lit("exact").alias("stage"), F.array("feature").alias("features"))
+    parts = synonyms.select("phrase", F.explode_outer("features").alias("feature")).join(
+        features.select("feature", F.col("feature").alias("_known")), "feature", "left"
     )
-    # A listed phrase stops the search even when none of its features is known.
-    phrases = (
-        synonyms.select("phrase").distinct().join(usable, "phrase", "left")
-        .select(F.col("phrase").alias("norm"),
-                F.coalesce("_found", F.array().cast("array<string>")).alias("_listed"))
+    listed = parts.groupBy("phrase").agg(F.array_sort(F.collect_set("_known")).alias("features")).select(
+        F.col("phrase").alias("norm"), F.lit("synonym").alias("stage"), "features"
     )
+    return first(exact.unionByName(listed), ["norm"], F.col("stage"))
+
+
+def _stage(terms: DataFrame, meanings: DataFrame, small: bool) -> DataFrame:
+    """Exact, synonym and plural stages: adds stage and features to distinct `norm` terms."""
     norm = F.col("norm")
-    single = F.when(norm.endswith("s") & (F.length(norm) > 3), F.rtrim(norm, F.lit("s"))).otherwise(norm)
-
-    def staged(rows: DataFrame, key: str, suffix: str) -> DataFrame:
-        exact = known.select(F.col("norm").alias(key), F.col("_exact").alias("_exact" + suffix))
-        phrase = phrases.select(F.col("norm").alias(key), F.col("_listed").alias("_listed" + suffix))
-        return lookup_join(lookup_join(rows, exact, [key]), phrase, [key])
-
-    rows = staged(terms.withColumn("_single", single), "norm", "")
-    rows = staged(rows, "_single", "_single")
-    hit = (
-        F.when(F.col("_exact").isNotNull(), F.struct(F.lit("exact").alias("s"), F.array("_exact").alias("f")))
-        .when(F.col("_listed").isNotNull(), F.struct(F.lit("synonym").alias("s"), F.col("_listed").alias("f")))
-        .when(F.col("_exact_single").isNotNull(),
-              F.struct(F.lit("plural").alias("s"), F.array("_exact_single").alias("f")))
-        .when(F.col("_listed_single").isNotNull(),
-              F.struct(F.lit("plural").alias("s"), F.col("_listed_single").alias("f")))
+    single = F.when(norm.endswith("s") & (F.length(norm) > 3), F.rtrim(norm, F.lit("s")))
+    plural = meanings.select(F.col("norm").alias("_single"), F.col("features").alias("_plural"))
+    rows = lookup_join(terms.withColumn("_single", single), meanings, ["norm"], small=small)
+    rows = lookup_join(rows, plural, ["_single"], small=small)
+    return rows.select(
+        *terms.columns, F.coalesce("stage", F.when(F.col("_plural").isNotNull(), F.lit("plural"))).alias("stage"),
+        F.coalesce("features", "_plural").alias("features"),
     )
-    return rows.select(*terms.columns, hit["s"].alias("stage"), hit["f"].alias("features"))
 
 
 def _by_length(vocabulary: DataFrame) -> DataFrame:
@@ -203,8 +197,10 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
     Phrases pulled out of run-on text go through the first four stages again.
     """
     fuzzy = fuzzy_levenshtein if native else fuzzy_ratio
+    meanings = dictionary(features, synonyms)
+    small = is_small(meanings)
     keyed = terms.select("raw").distinct().withColumn("norm", normalise_term("raw")).filter(F.col("norm") != "")
-    staged = _stage(keyed, features, synonyms)
+    staged = written(_stage(keyed, meanings, small), "terms")
     open_terms = staged.filter(F.col("stage").isNull()).select("norm").distinct()
     close = fuzzy(open_terms, features, cutoff).select("norm", F.col("feature").alias("_close"))
     direct = staged.join(close, "norm", "left").select(
@@ -212,14 +208,11 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
         F.coalesce("stage", F.when(F.col("_close").isNotNull(), F.lit("fuzzy"))).alias("stage"),
         F.coalesce("features", F.when(F.col("_close").isNotNull(), F.array("_close"))).alias("features"),
     )
-    phrases = known_phrases(features, synonyms)
-    pulled = extract_phrases(direct.filter(F.col("stage").isNull()).select("raw"), phrases)
-    # A known phrase is a feature or a listed synonym by construction, so two lookups resolve it.
-    meaning = _stage(
-        phrases.select("phrase", normalise_term("phrase").alias("norm")), features, synonyms
-    ).select("phrase", F.col("features").alias("_features"))
+    pulled = extract_phrases(direct.filter(F.col("stage").isNull()).select("raw"), known_phrases(features, synonyms))
+    # A known phrase is a feature or a listed synonym by construction.
+    found = pulled.select("raw", F.explode("found").alias("phrase")).withColumn("norm", normalise_term("phrase"))
     extracted = (
-        lookup_join(pulled.select("raw", F.explode("found").alias("phrase")), meaning, ["phrase"], spread=["raw"])
+        lookup_join(found, meanings.select("norm", F.col("features").alias("_features")), ["norm"], spread=["raw"], small=small)
         .groupBy("raw")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_features")))).alias("_pulled"))
     )
@@ -236,7 +229,7 @@ def map_symptoms(requests: DataFrame, features: DataFrame, synonyms: DataFrame,
                  cutoff: float = FUZZY_CUTOFF, native: bool = False) -> DataFrame:
     """(key, matched): sorted distinct features per request; requests without any get an empty list."""
     terms = exploded_terms(requests, key)
-    resolved = resolve_terms(terms, features, synonyms, cutoff, native)
+    resolved = written(resolve_terms(terms, features, synonyms, cutoff, native), "resolved")
     found = (
         lookup_join(terms, resolved.select("raw", "features"), ["raw"], "left", spread=[key])
         .groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("features")))).alias("matched"))

@@ -33,20 +33,16 @@ def suggest_medicines(requests: DataFrame, tiers: list[tuple[str, DataFrame]], l
     The whole entry of the first tier that knows the disease wins. `tiers` are (name, lists) with
     lists from `tier_lists`.
     """
-    diseases = requests.select("disease").distinct()
-    entry = None
-    for at, (name, lists) in enumerate(tiers):
-        held = lists.select("disease", F.struct(F.col("otc"), F.col("rx"), F.lit(name).alias("source")).alias(f"_t{at}"))
-        diseases = diseases.join(held, "disease", "left")
-        entry = [*(entry or []), F.col(f"_t{at}")]
+    ranked = reduce(DataFrame.unionByName, [
+        lists.select("disease", "otc", "rx", F.lit(name).alias("source"), F.lit(at).alias("tier"))
+        for at, (name, lists) in enumerate(tiers)
+    ])
+    chosen = first(ranked, ["disease"], F.col("tier")).select("disease", F.struct("otc", "rx", "source").alias("_m"))
     default = F.struct(
         F.lit(DEFAULT_OTC).alias("otc"), F.lit(DEFAULT_PRESCRIPTION).alias("rx"), F.lit(last_name).alias("source")
     )
-    chosen = diseases.select("disease", F.coalesce(*entry, default).alias("_m"))
-    kept = [name for name in requests.columns if name != "disease"]
-    spread = kept or None
-    joined = lookup_join(requests, chosen, ["disease"], "left", spread=spread)
-    entry_or_default = F.coalesce("_m", default)  # a null disease matches no table
+    joined = lookup_join(requests, chosen, ["disease"])
+    entry_or_default = F.coalesce("_m", default)
     return joined.withColumn("_m", entry_or_default).select(
         *requests.columns, F.col("_m.otc").alias("otc"), F.col("_m.rx").alias("prescription"),
         F.when(F.col("medicine_type") == "otc", F.col("_m.otc")).otherwise(F.col("_m.rx")).alias("recommended"),

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinflow.operators.joining import latest, lookup_join
+from clinflow.operators.joining import latest
 
 TREND_KEY = ["top_disease", "window_start"]
 
@@ -42,7 +42,7 @@ def upsert_trends(spark: SparkSession, path: str, updates: DataFrame) -> None:
 def flag_used(logs: DataFrame, used: DataFrame, trained_at: Column) -> DataFrame:
     """K3: used_for_training and trained_at set for the log ids in `used`."""
     marks = used.select("log_id").distinct().withColumn("_used", F.lit(True))
-    joined = lookup_join(logs, marks, ["log_id"], spread=["log_id"])
+    joined = logs.join(marks, "log_id", "left")
     hit = F.coalesce("_used", F.lit(False))
     stamp = F.col("trained_at") if "trained_at" in logs.columns else F.lit(None).cast("timestamp")
     flag = F.col("used_for_training") if "used_for_training" in logs.columns else F.lit(None).cast("boolean")
@@ -56,7 +56,7 @@ def update_predictions(logs: DataFrame, updates: DataFrame) -> DataFrame:
     newest = latest(updates, ["log_id"], F.col("updated_at")).select(
         "log_id", F.col("prediction").alias("_p"), F.col("updated_at").alias("_at")
     )
-    joined = lookup_join(logs, newest, ["log_id"], spread=["log_id"])
+    joined = logs.join(newest, "log_id", "left")
     stamp = F.col("updated_at") if "updated_at" in logs.columns else F.lit(None).cast("timestamp")
     return joined.withColumn("prediction", F.when(F.col("_at").isNotNull(), F.col("_p")).otherwise(F.col("prediction"))).withColumn(
         "updated_at", F.coalesce("_at", stamp)
