@@ -19,6 +19,11 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row, also where `use` needs it for every array item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(value: Column | str) -> Column:
     """Trim all white space, not only blanks."""
     return F.trim(_col(value), F.lit(WHITE_SPACE))
@@ -102,4 +107,4 @@ def fixed_chunks(value: Column | str, size: int = 500, overlap: int = 50) -> Col
 
 def contains_any(value: Column | str, words: list[str]) -> Column:
     """Whether one of `words` is part of the text."""
-    return F.exists(F.lit(words), lambda word: F.contains(_col(value), word))
+    return let(_col(value), lambda text: F.exists(F.lit(words), lambda word: F.contains(text, word)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clinflow.functions.text import contains_any, strip
+from clinflow.functions.text import contains_any, let, strip
 from clinflow.lookups import triage as words
 
 
@@ -15,12 +15,14 @@ def greeting_core(message: Column) -> Column:
 
 def is_greeting(message: Column) -> Column:
     """the whole message is a greeting, or an open greeting starts or ends it."""
-    core = greeting_core(message)
-    opened = F.exists(
-        F.lit(words.OPEN_GREETINGS),
-        lambda g: F.startswith(core, F.concat(g, F.lit(" "))) | F.endswith(core, F.concat(F.lit(" "), g)),
-    )
-    return core.isin(words.GREETINGS + words.OPEN_GREETINGS) | opened
+    def matches(core: Column) -> Column:
+        opened = F.exists(
+            F.lit(words.OPEN_GREETINGS),
+            lambda g: F.startswith(core, F.concat(g, F.lit(" "))) | F.endswith(core, F.concat(F.lit(" "), g)),
+        )
+        return core.isin(words.GREETINGS + words.OPEN_GREETINGS) | opened
+
+    return let(greeting_core(message), matches)
 
 
 def greeting_kind(message: Column, language: Column) -> Column:
@@ -34,13 +36,12 @@ def spaced(message: Column) -> Column:
 
 def present_keywords(message: Column) -> Column:
     """Keywords that are part of the message, in listing order."""
-    text = spaced(message)
-    return F.filter(F.lit(words.KEYWORDS), lambda word: F.contains(text, word))
+    return let(spaced(message), lambda text: F.filter(F.lit(words.KEYWORDS), lambda word: F.contains(text, word)))
 
 
 def _any_group_within(present: Column) -> Column:
     groups = F.array(*[F.lit(group) for group in words.EMERGENCY_GROUPS])
-    return F.exists(groups, lambda group: F.size(F.array_except(group, present)) == 0)
+    return let(present, lambda held: F.exists(groups, lambda group: F.size(F.array_except(group, held)) == 0))
 
 
 def is_emergency(message: Column) -> Column:
@@ -50,9 +51,9 @@ def is_emergency(message: Column) -> Column:
 
 def is_emergency_all_words(message: Column) -> Column:
     """F13 with every word of the groups looked for in the text."""
-    text = spaced(message)
-    group_words = sorted({word for group in words.EMERGENCY_GROUPS for word in group})
-    return _any_group_within(F.filter(F.lit(group_words), lambda word: F.contains(text, word)))
+    group_words = F.lit(sorted({word for group in words.EMERGENCY_GROUPS for word in group}))
+    held = let(spaced(message), lambda text: F.filter(group_words, lambda word: F.contains(text, word)))
+    return _any_group_within(held)
 
 
 def asks_for_medicine(message: Column) -> Column:
@@ -62,12 +63,13 @@ def asks_for_medicine(message: Column) -> Column:
 
 def first_keyword(message: Column) -> Column:
     """first listed keyword in the message, spelled with blanks or underscores."""
-    text, plain = spaced(message), F.lower(message)
-    hits = F.filter(
-        F.lit(words.KEYWORDS),
-        lambda word: F.contains(text, word) | F.contains(plain, F.replace(word, F.lit(" "), F.lit("_"))),
-    )
-    return F.get(hits, 0)
+    def hits(plain: Column) -> Column:
+        blanks = F.replace(plain, F.lit("_"), F.lit(" "))
+        return let(blanks, lambda text: F.filter(F.lit(words.KEYWORDS), lambda word: (
+            F.contains(text, word) | F.contains(plain, F.replace(word, F.lit(" "), F.lit("_")))
+        )))
+
+    return F.get(let(F.lower(message), hits), F.lit(0))
 
 
 def medicine_card(disease: Column, otc: Column, prescription: Column, notice: str = words.REPLIES["notice"]) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinflow.functions.text import let
 from clinflow.operators.joining import is_small, lookup_join
 
-LIST_ROWS = 1_000
+LIST_ROWS = 2_000
 GRAM = 4
 
 
@@ -23,12 +24,18 @@ def contained_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, ke
         held = texts.withColumn("_names", listed.agg(F.collect_list(name)).scalar())
         return held.select(*key, F.explode(F.filter("_names", lambda n: F.contains(F.col(text), n))).alias(name))
     starts = listed.filter(F.col(name) != "").withColumn("_gram", F.substring(name, 1, GRAM))
-    size = F.length(text)
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.when(
-        size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substr(text, at, n))
-    ).otherwise(F.array().cast("array<string>")))))
-    met = lookup_join(texts.select(*key, text, F.explode(runs).alias("_gram")), starts, ["_gram"], "inner", spread=key)
-    return met.filter(F.contains(F.col(text), F.col(name))).select(*key, name)
+    # Characters are cut once: substrings by position would scan the text again for each.
+    def runs_of(chars, n: int):
+        starts_at = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+        return F.transform(starts_at, lambda c, at: F.concat(c, *[F.get(chars, at + step) for step in range(1, n)]))
+
+    runs = let(F.split(text, ""), lambda chars: F.array_distinct(
+        F.flatten(F.array(*[runs_of(chars, n) for n in range(1, GRAM + 1)]))
+    ))
+    met = lookup_join(texts.select(*key, F.explode(runs).alias("_gram")), starts, ["_gram"], "inner", spread=key)
+    # Only now the texts come back, for the pairs that share a start.
+    whole = texts.select(*key, text).join(met.select(*key, name), key)
+    return whole.filter(F.contains(F.col(text), F.col(name))).select(*key, name)
 
 
 def longest_name(texts: DataFrame, names: DataFrame, text: str, name: str, key: str, out: str,
@@ -38,9 +45,9 @@ def longest_name(texts: DataFrame, names: DataFrame, text: str, name: str, key:
     Equally long names: the alphabetically first.
     """
     if is_small(names, rows):
-        order = F.array_sort(F.collect_set(F.struct((-F.length(name)).alias("n"), F.col(name).alias("v"))))
-        held = texts.withColumn("_names", names.agg(order).scalar())
-        hits = F.filter("_names", lambda n: F.contains(F.lower(text), F.lower(n["v"])))
+        entry = F.struct((-F.length(name)).alias("n"), F.col(name).alias("v"), F.lower(name).alias("low"))
+        held = texts.withColumn("_names", names.agg(F.array_sort(F.collect_set(entry))).scalar())
+        hits = let(F.lower(text), lambda low: F.filter("_names", lambda n: F.contains(low, n["low"])))
         return held.withColumn(out, F.get(hits, F.lit(0))["v"]).drop("_names")
     lowered = names.select(F.col(name), F.lower(name).alias("_lower"))
     pairs = contained_pairs(texts.select(key, F.lower(text).alias("_text")), lowered, "_text", "_lower", [key], rows)
