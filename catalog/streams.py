@@ -121,7 +121,7 @@ def t4(spark, sf):
     said = rows.filter("role = 'assistant'").selectExpr("conv_id", "turn - 1 AS turn", "text AS reply")
     folder = run_dir(spark, "chats")
     asked.join(said, ["conv_id", "turn"]).selectExpr(
-        "CAST(conv_id AS STRING) AS user_id", "message", "reply", "timestamp_seconds(turn * 60) AS ts"
+        "CAST(conv_id AS STRING) AS user_id", "message", "reply", "timestamp_seconds(1704067200 + turn * 60) AS ts"
     ).write.parquet(folder)
     stream = events.read_table_files(spark, folder, "user_id STRING, message STRING, reply STRING, ts TIMESTAMP")
     out = run_dir(spark, "memory")

@@ -97,21 +97,23 @@ def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         held.append(["human", message])
         held.append(["ai", reply])
     state.update((json.dumps(list(held)),))
-    state.setTimeoutDuration(HISTORY_MS)
+    newest = max(int(pd.Timestamp(ts).timestamp() * 1000) for ts, _, _ in new)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + HISTORY_MS)
     yield pd.DataFrame(
         [(key[0], at, role, content) for at, (role, content) in enumerate(held)],
         columns=["user_id", "seq", "role", "content"],
     )
 
 
-def chat_memory(chats: DataFrame) -> DataFrame:
-    """T4: the last 20 messages per user as keyed state, forgotten after 24 hours without a message.
+def chat_memory(chats: DataFrame, late: str = "1 hour") -> DataFrame:
+    """T4: the last 20 messages per user as keyed state, forgotten 24 hours (of event time) after the last.
 
     Emits the whole memory of a user whenever it changes. Rows of a user arrive in Arrow batches,
     of which only the last ten exchanges are kept at any time.
     """
-    return chats.select("user_id", "ts", "message", "reply").groupBy("user_id").applyInPandasWithState(
-        _remember, MEMORY_ROW, MEMORY_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+    timed = chats.select("user_id", "ts", "message", "reply").withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(
+        _remember, MEMORY_ROW, MEMORY_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
