@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from clinflow.functions.text import let
 from clinflow.operators.joining import is_small, lookup_join
 
-LIST_ROWS = 2_000
+LIST_ROWS = 10_000
 GRAM = 4
+NAME_PARTS = 8
 
 
 def contained_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, key: list[str],
@@ -33,9 +34,12 @@ def contained_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, ke
         F.flatten(F.array(*[runs_of(chars, n) for n in range(1, GRAM + 1)]))
     ))
     met = lookup_join(texts.select(*key, F.explode(runs).alias("_gram")), starts, ["_gram"], "inner", spread=key)
-    # Only now the texts come back, for the pairs that share a start.
-    whole = texts.select(*key, text).join(met.select(*key, name), key)
-    return whole.filter(F.contains(F.col(text), F.col(name))).select(*key, name)
+    # The texts come back once per part of their candidate names, not once per candidate.
+    part = F.pmod(F.xxhash64(name), F.lit(NAME_PARTS))
+    listed = met.groupBy(*key, part.alias("_part")).agg(F.collect_set(name).alias("_names"))
+    return texts.select(*key, text).join(listed, key).select(
+        *key, F.explode(F.filter("_names", lambda n: F.contains(F.col(text), n))).alias(name)
+    )
 
 
 def longest_name(texts: DataFrame, names: DataFrame, text: str, name: str, key: str, out: str,

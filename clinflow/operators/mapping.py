@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clinflow.functions.batched import best_ratio
 from clinflow.functions.scoring import severity_score
-from clinflow.functions.text import normalise_term, strip
+from clinflow.functions.text import let, normalise_term, strip
 from clinflow.lookups.severity import UNKNOWN_WEIGHT
 from clinflow.operators.containment import contained_pairs
 from clinflow.operators.joining import SALTS, first, is_small, lookup_join
@@ -248,6 +248,5 @@ def unmatched_terms(terms: DataFrame, resolved: DataFrame) -> DataFrame:
 def feature_vector(rows: DataFrame, features: list[str], column: str = "symptoms") -> DataFrame:
     """adds `vector`, 1/0 per feature in the given order, from normalised terms."""
     present = F.transform(column, normalise_term)
-    return rows.withColumn(
-        "vector", F.transform(F.lit(features), lambda name: F.array_contains(present, name).cast("int"))
-    )
+    vector = let(present, lambda held: F.transform(F.lit(features), lambda name: F.array_contains(held, name).cast("int")))
+    return rows.withColumn("vector", vector)
