@@ -228,14 +228,12 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
 def map_symptoms(requests: DataFrame, features: DataFrame, synonyms: DataFrame, key: str = "request_id",
                  cutoff: float = FUZZY_CUTOFF, native: bool = False) -> DataFrame:
     """(key, matched): sorted distinct features per request; requests without any get an empty list."""
-    terms = exploded_terms(requests, key)
-    resolved = written(resolve_terms(terms, features, synonyms, cutoff, native), "resolved")
-    found = (
-        lookup_join(terms, resolved.select("raw", "features"), ["raw"], "left", spread=[key])
-        .groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("features")))).alias("matched"))
+    resolved = written(resolve_terms(exploded_terms(requests, key), features, synonyms, cutoff, native), "resolved")
+    # Outer: a request without terms keeps a row, so no join back to the requests is needed.
+    terms = requests.select(key, F.explode_outer("symptoms").alias("raw"))
+    return lookup_join(terms, resolved.select("raw", "features"), ["raw"], "left", spread=[key]).groupBy(key).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("features")))).alias("matched")
     )
-    none = F.array().cast("array<string>")
-    return requests.select(key).join(found, key, "left").withColumn("matched", F.coalesce("matched", none))
 
 
 def unmatched_terms(terms: DataFrame, resolved: DataFrame) -> DataFrame:

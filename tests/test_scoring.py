@@ -125,6 +125,8 @@ def test_overlap_and_blend(spark, rows):
     matched = rows("request_id INT, matched ARRAY<STRING>", (1, ["a", "b"]), (2, ["z"]), (3, ["a"]))
     diseases = rows("disease STRING, features ARRAY<STRING>", ("D1", ["a", "b"]), ("D2", ["a", "c", "d"]), ("D3", ["q"]))
     overlap = ranking.overlap_scores(matched, diseases)
+    by_feature = ranking.overlap_scores(matched, diseases, rows=1)
+    assert sorted(map(tuple, overlap.collect())) == sorted(map(tuple, by_feature.collect()))
     assert {(r.request_id, r.disease): (r.confidence, r.overlap, r.pos) for r in overlap.collect()} == {
         (1, "D1"): (1.0, 2, 1), (1, "D2"): (0.4, 1, 2), (3, "D1"): (0.6667, 1, 1), (3, "D2"): (0.5, 1, 2)}
     model = ranking.top_probabilities(rows("request_id INT, disease STRING, probability DOUBLE",
