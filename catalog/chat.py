@@ -244,7 +244,7 @@ def cards_sql(otc: str, rx: str) -> str:
 
 
 @query("f17_medicine_cards", f"""WITH {b.DRUGS_SQL}, l AS (SELECT disease, coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'otc'), []) AS otc,
-  coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'prescription'), []) AS rx FROM drugs GROUP BY 1)
+  coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'prescription'), []) AS rx FROM (SELECT disease, drug_name, drug_type, min(pos) AS pos FROM drugs GROUP BY ALL) GROUP BY 1)
 SELECT disease, {cards_sql('otc', 'rx')} AS card FROM l""")
 def f17(spark, sf):
     lists = tier_lists(b.drugs(spark, sf), "pos")

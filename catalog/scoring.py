@@ -298,7 +298,8 @@ def a15(spark, sf):
 TIERS_SQL = b.DRUGS_SQL + f""", {b.SEED_DRUGS_SQL}, tiers AS (
   SELECT tier, disease, coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'otc'), []) AS otc,
     coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'prescription'), []) AS rx
-  FROM (SELECT disease, drug_name, drug_type, pos, tier FROM drugs WHERE tier < 2 UNION ALL SELECT *, 2 FROM seed_drugs) GROUP BY 1, 2)"""
+  FROM (SELECT disease, drug_name, drug_type, tier, min(pos) AS pos FROM (
+    SELECT disease, drug_name, drug_type, pos, tier FROM drugs WHERE tier < 2 UNION ALL SELECT *, 2 FROM seed_drugs) GROUP BY ALL) GROUP BY 1, 2)"""
 ASKED_SQL = """asked AS (SELECT l_orderkey, l_linenumber, p_type || ' ' || CASE WHEN l_linenumber = 3 THEN 'none' ELSE p_brand END AS disease,
   CASE WHEN l_linenumber % 2 = 0 THEN 'otc' ELSE 'prescription' END AS medicine_type FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -479,7 +480,8 @@ def k6(spark, sf):
     )
 
 
-@query("k7_topic_records")
+@query("k7_topic_records", f"""WITH {b.REQUESTS_SQL} SELECT 'symptom-input' AS topic, user_id::VARCHAR AS key,
+  '{{"request_id":' || request_id || ',"user_id":' || user_id || ',"duration_days":' || duration_days || ',"age":' || age || '}}' AS value FROM requests""")
 def k7(spark, sf):
     rows = b.requests(spark, sf).select("request_id", "user_id", "duration_days", "age")
     return tables.topic_records(rows, "symptom-input", "user_id")

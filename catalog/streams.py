@@ -68,10 +68,17 @@ def scored_stream(spark, sf):
     return out
 
 
-@query("t1_scoring_stream")
+SCORED = "log_id STRING, user_id STRING, severity INT, risk_level STRING"
+
+
+@query("t1_scoring_stream", f"""WITH {b.WEIGHTS_SQL}, t AS (
+  SELECT event_id, user_id, user_id % 90 AS age, replace(lower(trim({b.text(b.TERMS)}[event_id % {b.N_TERMS} + 1])), ' ', '_') AS symptom FROM events WHERE event_id % 50 <> 49),
+s AS (SELECT event_id::VARCHAR AS log_id, user_id::VARCHAR AS user_id, least(trunc(coalesce(weight, 5) * (1.0::DOUBLE + 3 * 0.1::DOUBLE)
+  * CASE WHEN age > 60 OR age < 5 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END)::INT, 100) AS severity FROM t LEFT JOIN weights USING (symptom))
+SELECT *, 'prediction-result' AS topic, user_id AS key, CASE WHEN severity >= 70 THEN 'HIGH' WHEN severity >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s""")
 def t1(spark, sf):
     out = scored_stream(spark, sf)
-    return spark.read.parquet(f"{out}/results").select("topic", "key", "value")
+    return spark.read.parquet(f"{out}/results").select("topic", "key", F.from_json("value", SCORED).alias("v")).select("topic", "key", "v.*")
 
 
 @query("t1_dead_letters", "SELECT count(*) FILTER (event_id % 50 = 49) AS letters FROM events")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clinflow.functions.text import is_blank, strip
+from clinflow.functions.text import is_blank, let, strip
 from clinflow.lookups import language as words
 
 URDU_LETTER = r"[؀-ۿ]"
@@ -20,13 +20,13 @@ def tokens(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """english, urdu or roman_urdu."""
-    found = tokens(text)
-    hints = F.size(F.array_intersect(found, F.lit(words.ROMAN_URDU_HINTS)))
-    strong = F.arrays_overlap(found, F.lit(words.STRONG_HINTS))
+    roman = let(tokens(text), lambda found: (
+        (F.size(F.array_intersect(found, F.lit(words.ROMAN_URDU_HINTS))) >= 2) | F.arrays_overlap(found, F.lit(words.STRONG_HINTS))
+    ))
     return (
         F.when(is_blank(text), F.lit("english"))
         .when(F.rlike(text, F.lit(URDU_LETTER)), F.lit("urdu"))
-        .when((hints >= 2) | strong, F.lit("roman_urdu"))
+        .when(roman, F.lit("roman_urdu"))
         .otherwise(F.lit("english"))
     )
 
@@ -87,12 +87,13 @@ def is_english(text: Column, language: Column) -> Column:
 
 def reply_verdict(asked: Column, reply: Column) -> Column:
     """what to do with a reply given the language asked in."""
-    answered = detect_language(reply)
-    english = is_english(reply, answered)
-    return (
-        F.when((asked == "english") | (F.coalesce(reply, F.lit("")) == ""), F.lit("keep"))
-        .when(asked == answered, F.lit("keep"))
-        .when((asked == "roman_urdu") & (answered == "urdu"), F.lit("romanise"))
-        .when(english, F.lit("translate"))
-        .otherwise(F.lit("keep"))
-    )
+    def verdict(answered: Column) -> Column:
+        return (
+            F.when((asked == "english") | (F.coalesce(reply, F.lit("")) == ""), F.lit("keep"))
+            .when(asked == answered, F.lit("keep"))
+            .when((asked == "roman_urdu") & (answered == "urdu"), F.lit("romanise"))
+            .when(is_english(reply, answered), F.lit("translate"))
+            .otherwise(F.lit("keep"))
+        )
+
+    return let(detect_language(reply), verdict)

@@ -81,7 +81,8 @@ def _by_length(vocabulary: DataFrame) -> DataFrame:
 def _candidates(terms: DataFrame, vocabulary: DataFrame, shortest: Column, longest: Column) -> DataFrame:
     """Each term with the candidate lists of every length that can still reach the cutoff."""
     sizes = F.sequence(F.greatest(shortest, F.lit(1)), F.greatest(longest, F.lit(1)))
-    return terms.select("*", F.explode(sizes).alias("size")).join(_by_length(vocabulary), "size").drop("size")
+    sized = terms.select("*", F.explode(sizes).alias("size"))
+    return lookup_join(sized, _by_length(vocabulary), ["size"], "inner", spread=["norm"]).drop("size")
 
 
 def fuzzy_ratio(terms: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:

@@ -18,7 +18,12 @@ NAMES_PER_LABEL = 4
 
 
 def tier_lists(drugs: DataFrame, order: str) -> DataFrame:
-    """(disease, otc, rx): both lists of a drug table in `order`."""
+    """(disease, otc, rx): both lists of a drug table in `order`, each name once.
+
+    Repeats are merged before the shuffle, so a list is as long as the disease has distinct drugs.
+    """
+    drugs = drugs.groupBy("disease", "drug_name", "drug_type").agg(F.min(order).alias(order))
+
     def names(kind: str) -> Column:
         row = F.when(F.col("drug_type") == kind, F.struct(F.col(order).alias("at"), F.col("drug_name").alias("name")))
         return F.transform(F.array_sort(F.collect_list(row)), lambda r: r["name"])

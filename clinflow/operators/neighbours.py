@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinflow.operators.joining import top_rows
+from clinflow.session import written
 
 PIVOTS = 64
 BLOCK_ITEMS = 20_000
@@ -113,7 +114,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVO
     if not chosen:
         return spark.createDataFrame([], schema + ", rank int")
     points = np.array([row.vector for row in chosen], dtype=np.float64)
-    placed = _with_cell(items, "vector", points)
+    # Written once: the figures below then read two small columns instead of all vectors again.
+    placed = written(_with_cell(items.select("item_id", "vector"), "vector", points), "cells")
     near_rows = top_rows(placed.select("cell", "reach", "item_id"), ["cell"], [F.asc("reach"), F.asc("item_id")], k)
     figures = (
         placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius"))
@@ -125,7 +127,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVO
     for row in figures:
         radius[row.cell], near[row.cell] = row.radius, np.array(row.near)
         parts[row.cell] = -(-row.n // block_items)
-    routed = _visited_cells(queries, "vector", points, k, radius, near)
+    routed = written(_visited_cells(queries.select("query_id", "vector"), "vector", points, k, radius, near), "routes")
     visits = routed.select("query_id", "vector", F.explode("cells").alias("cell"))
     asked = {row.cell: row.n for row in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     turns = [-(-asked.get(cell, 0) // block_queries) or 1 for cell in range(len(points))]
