@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A text table for work that costs far more than reading it.
+
+    A table in fewer splits than there are cores is spread over them; larger inputs stay as they are.
+    """
+    rows = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # ---- SQL text helpers -------------------------------------------------------------------------
 
 def text(value) -> str:

@@ -129,7 +129,7 @@ TEXT_SQL = f"trim(regexp_replace({TEXT_SQL}, '[\\s\\x{{00A0}}]+', ' ', 'g'), {b.
 SELECT array_to_string(list_transform(string_split(replace(slug, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title,
   url, 'WHO Fact Sheets' AS source, content FROM t WHERE length(content) >= 100""")
 def s14(spark, sf):
-    return corpus.page_records(b.table(spark, sf, "pages"))
+    return corpus.page_records(b.texts(spark, sf, "pages", "page_id"))
 
 
 @query("u1_corpus_union", f"""WITH {QA_SQL}, {RECORDS_SQL}, kept AS (SELECT * FROM recs WHERE {TRIM('content')} <> '')
@@ -158,13 +158,13 @@ FROM documents, range(0, 100000) AS r(i) WHERE length(text) > 0 AND i <= greates
     "FROM documents, range(0, 100000) AS r(i) WHERE length(text) > 0 AND i <= greatest(ceil((length(text) - 500) / 450.0), 0)",
     "FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0)"))
 def f18(spark, sf):
-    rows = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    rows = b.texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("content"))
     return corpus.chunk_documents(rows)
 
 
 @query("f18_boundary_chunks")
 def f18_boundaries(spark, sf):
-    rows = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    rows = b.texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("content"))
     return corpus.chunk_documents(rows, boundaries=True)
 
 
@@ -198,7 +198,7 @@ def e8_chunks(spark, sf):
 
 @query("m8_chunk_embedding")
 def m8(spark, sf):
-    rows = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    rows = b.texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("content"))
     chunks = corpus.chunk_documents(rows)
     path = run_dir(spark, "vectors")
     models.embed(models.text_embedder().fit(chunks), chunks).drop("content").write.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clinflow.functions.text import let
 from clinflow.operators.joining import is_small, lookup_join
 
-LIST_ROWS = 10_000
+LIST_ROWS = 1_000
 GRAM = 4
 NAME_PARTS = 8
 
