@@ -7,6 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import functions as F
 
+from clinflow.session import send_by_value
+
+send_by_value(__name__)
+
 BEST_MATCH = "struct<feature:string,score:double>"
 
 

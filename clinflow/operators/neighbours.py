@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinflow.operators.joining import top_rows
-from clinflow.session import written
+from clinflow.session import send_by_value, written
+
+send_by_value(__name__)
 
 PIVOTS = 64
 BLOCK_ITEMS = 20_000

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+def send_by_value(module: str) -> None:
+    """Send the functions of a module to the executors themselves, so that they need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def build_session(name: str = "clinflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on (UTC, adaptive execution)."""
     builder = (
@@ -48,9 +57,26 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def written(df, label: str):
+_work: ContextVar[str | None] = ContextVar("work", default=None)
+
+
+@contextmanager
+def work_in(folder: str):
+    """Within, intermediate tables go to `folder` under their label and replace those of the last time.
+
+    Repeated jobs, such as micro-batches, keep one set of tables this way.
+    """
+    token = _work.set(folder)
+    try:
+        yield
+    finally:
+        _work.reset(token)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = run_dir(spark, label)
-    df.write.parquet(path)
+    folder = _work.get()
+    path = os.path.join(folder, label) if folder else run_dir(spark, label)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

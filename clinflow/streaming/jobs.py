@@ -22,9 +22,12 @@ from clinflow.operators.cleanse import split_valid, validate_requests
 from clinflow.operators.learning import MIN_SAMPLES, new_samples
 from clinflow.operators.trends import windowed_trend
 from clinflow.plans.scoring import Lookups, score_requests
+from clinflow.session import send_by_value, work_in
 from clinflow.sinks.tables import topic_records, write_batch
 from clinflow.sources.events import good_and_bad, parse
 
+send_by_value(__name__)
+
 HISTORY = 20
 HISTORY_MS = 24 * 60 * 60 * 1000
 
@@ -61,10 +64,11 @@ def scoring_stream(events: DataFrame, lookups: Lookups, out: str, checkpoint: st
     """T1 + T2: scores, audit rows and dead letters of each micro-batch below `out`."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
-        results, audit, letters = score_batch(held, lookups, native)
-        write_batch(results, f"{out}/results", batch_id)
-        write_batch(audit, f"{out}/audit", batch_id)
-        write_batch(letters, f"{out}/dead_letters", batch_id)
+        with work_in(f"{out}/work"):
+            results, audit, letters = score_batch(held, lookups, native)
+            write_batch(results, f"{out}/results", batch_id)
+            write_batch(audit, f"{out}/audit", batch_id)
+            write_batch(letters, f"{out}/dead_letters", batch_id)
         held.unpersist()
 
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(

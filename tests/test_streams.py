@@ -44,6 +44,24 @@ def test_scoring_stream_equals_batch(spark, rows, tmp_path):
     assert sorted(r.key for r in spark.read.parquet(out + "/results").collect()) == ["", "u"]
 
 
+def test_scoring_stream_over_several_batches_and_a_restart(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+
+    def run():
+        stream = events.read_event_files(spark, str(folder), "symptom-input", files_per_trigger=1)
+        jobs.scoring_stream(stream, lookups(spark), out, out + "/checkpoint", native=True).awaitTermination()
+
+    for name, terms in (("a", ["cough"]), ("b", ["fever", "zzzzqq"])):
+        (folder / f"{name}.json").write_text(json.dumps({"symptoms": terms, "log_id": name}))
+    run()
+    (folder / "c.json").write_text(json.dumps({"symptoms": ["skin rash joint pain"], "log_id": "c"}))
+    run()
+    got = {json.loads(r.value)["log_id"]: len(json.loads(r.value)["predictions"]) for r in spark.read.parquet(out + "/results").collect()}
+    assert set(got) == {"a", "b", "c"} and all(got.values())
+    assert spark.read.parquet(out + "/results").count() == 3
+
+
 def test_unknown_topics_are_ignored(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
