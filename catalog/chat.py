@@ -253,11 +253,13 @@ def f17(spark, sf):
 
 GUIDE_SQL = "guide AS " + b.values(["keyword", "guidance"], rules.GUIDANCE.items())
 REPLY_MAP = "MAP {" + ", ".join(f"{b.text(k)}: {b.text(v)}" for k, v in rules.REPLIES.items()) + "}"
+DOC_SQL = "CASE WHEN doc_id % 4 = 0 THEN 'About Pneumonia. ' || text ELSE text END"
 ON_ENGLISH = lambda sql: sql.replace("content", "english")
 TRIAGE_SQL = CARRIED_SQL + f""", {GUIDE_SQL}, {b.SEED_DRUGS_SQL}, lists AS (SELECT disease, coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'otc'), []) AS otc,
   coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'prescription'), []) AS rx FROM seed_drugs GROUP BY 1),
-docs AS (SELECT doc_id, text AS doc FROM documents),
-judged AS (SELECT user_id, seq, language, english, coalesce(mentioned, carried) AS disease, {ON_ENGLISH(KEYWORD_SQL)} AS keyword,
+docs AS (SELECT doc_id, left(regexp_replace({DOC_SQL}, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g'), 300) AS doc
+  FROM documents WHERE trim({DOC_SQL}, {b.WHITE}) <> ''),
+judged AS (SELECT user_id, seq, language, english, coalesce(mentioned, carried, {mentioned_sql('doc')}) AS disease, {ON_ENGLISH(KEYWORD_SQL)} AS keyword,
   CASE WHEN {GREETING_SQL} OR {ON_ENGLISH(GREETING_SQL)} THEN 'greeting_' || language END AS greeting,
   {groups_sql(ON_ENGLISH(PRESENT))} AS emergency, {ON_ENGLISH(MEDICINE_SQL)} AS asks, doc
   FROM carried LEFT JOIN docs ON doc_id = user_id * 10 + seq WHERE role = 'human'),
@@ -275,11 +277,10 @@ FROM routed LEFT JOIN guide USING (keyword) LEFT JOIN cards USING (disease)"""
 
 @query("f16_triage_routes", f"WITH {TRIAGE_SQL}")
 def f16(spark, sf):
-    documents = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("doc"))
+    documents = b.table(spark, sf, "documents").selectExpr("doc_id", f"{DOC_SQL} AS doc")
     rows = b.messages(spark, sf).withColumn("doc_id", F.col("user_id") * 10 + F.col("seq")).join(documents, "doc_id", "left")
-    held = F.struct(F.col("doc").alias("content"), F.lit(None).cast("string").alias("disease"))
-    none = F.array().cast("array<struct<content:string,disease:string>>")
-    rows = rows.withColumn("documents", F.when(F.col("doc").isNotNull(), F.array(held)).otherwise(none))
+    held = F.filter(F.array("doc"), lambda d: d.isNotNull())
+    rows = rows.withColumn("documents", chat.clean_documents(held)).drop("doc", "doc_id")
     return triage_messages(rows, lookups.guidance(spark), tier_lists(lookups.medicines(spark), "pos"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clinflow.functions import language as lang
 from clinflow.functions import triage
-from clinflow.functions.text import context_snippet
+from clinflow.functions.text import context_snippet, is_blank
 from clinflow.lookups.triage import REPLIES, SYSTEM_TEXTS
 from clinflow.operators.containment import longest_name
 from clinflow.operators.joining import framed, lookup_join, top_rows
@@ -80,12 +80,24 @@ def carried_disease(messages: DataFrame, names: DataFrame, back: int = CARRY_TUR
     ).drop("_said")
 
 
+def document_disease(messages: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds `from_documents`, the disease named by the first of `documents` that names one.
+
+    Only messages that name none themselves, and carry none, are looked at.
+    """
+    open_rows = messages.filter(F.col("mentioned").isNull() & F.col("carried").isNull())
+    texts = open_rows.select(F.struct("user_id", "seq").alias("_key"), F.posexplode("documents").alias("_at", "_text"))
+    named = longest_name(texts.withColumn("_id", F.struct("_key", "_at")), names, "_text", "disease", "_id", "_name")
+    found = named.filter(F.col("_name").isNotNull()).groupBy("_key").agg(F.min_by("_name", "_at").alias("from_documents"))
+    return messages.join(found.select("_key.user_id", "_key.seq", "from_documents"), ["user_id", "seq"], "left")
+
+
 def triage_routes(messages: DataFrame, guidance: DataFrame, medicines: DataFrame) -> DataFrame:
     """F16: route and reply of each message.
 
-    Takes message rows with `carried` and `mentioned` (from `carried_disease`) and `documents`, an
-    array of (content, disease) structs, best first. `guidance` has (keyword, guidance),
-    `medicines` has (disease, otc, rx).
+    Takes message rows with `carried` and `mentioned` (from `carried_disease`), `documents`, an array
+    of texts, best first, and `from_documents` (from `document_disease`). `guidance` has (keyword,
+    guidance), `medicines` has (disease, otc, rx).
     """
     content = F.col("content")
     rows = messages.withColumn("language", lang.detect_language(content))
@@ -94,8 +106,7 @@ def triage_routes(messages: DataFrame, guidance: DataFrame, medicines: DataFrame
     greeting = F.coalesce(
         triage.greeting_kind(content, F.col("language")), triage.greeting_kind(english, F.col("language"))
     )
-    from_documents = F.get(F.filter(F.transform("documents", lambda d: d["disease"]), lambda d: d.isNotNull()), F.lit(0))
-    rows = rows.withColumn("disease", F.coalesce("mentioned", "carried", from_documents))
+    rows = rows.withColumn("disease", F.coalesce("mentioned", "carried", "from_documents"))
     rows = rows.withColumn("keyword", triage.first_keyword(english)).withColumn("greeting", greeting)
     has_documents = F.size("documents") > 0
     route = (
@@ -112,7 +123,7 @@ def triage_routes(messages: DataFrame, guidance: DataFrame, medicines: DataFrame
     rows = lookup_join(rows, guidance.select("keyword", "guidance"), ["keyword"], spread=spread)
     rows = lookup_join(rows, medicines.select("disease", "otc", "rx"), ["disease"], spread=spread)
     replies = F.create_map(*[F.lit(x) for pair in REPLIES.items() for x in pair])
-    text = F.get(F.transform("documents", lambda d: d["content"]), F.lit(0))
+    text = F.get("documents", F.lit(0))
     by_route = {
         "greeting": F.try_element_at(replies, F.col("greeting")),
         "emergency": F.lit(REPLIES["emergency"]),
@@ -133,8 +144,8 @@ def triage_routes(messages: DataFrame, guidance: DataFrame, medicines: DataFrame
 
 def clean_documents(texts: Column) -> Column:
     """P7 on an array of texts: blank ones out, printable characters only, 300 characters each."""
-    kept = F.filter(texts, lambda d: F.trim(d) != "")
-    return F.transform(kept, context_snippet)
+    kept = F.filter(texts, lambda d: ~is_blank(d))
+    return F.transform(kept, lambda d: context_snippet(d))
 
 
 def language_mismatch(pairs: DataFrame) -> DataFrame:

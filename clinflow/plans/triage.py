@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinflow.operators.chat import carried_disease, triage_routes
-
-NO_DOCUMENTS = "array<struct<content:string,disease:string>>"
+from clinflow.operators.chat import carried_disease, document_disease, triage_routes
 
 
 def triage_messages(messages: DataFrame, guidance: DataFrame, medicines: DataFrame) -> DataFrame:
     """Route and reply of every human message.
 
-    `messages` may bring `documents` (array of content and disease), `medicines` has (disease, otc, rx).
+    `messages` may bring `documents`, an array of retrieved texts, best first; `medicines` has
+    (disease, otc, rx).
     """
+    names = medicines.select("disease")
     if "documents" not in messages.columns:
-        messages = messages.withColumn("documents", F.array().cast(NO_DOCUMENTS))
-    known = carried_disease(messages, medicines.select("disease"))
-    return triage_routes(known.filter(F.col("role") == "human"), guidance, medicines)
+        asked = carried_disease(messages, names).filter(F.col("role") == "human")
+        asked = asked.withColumn("documents", F.array().cast("array<string>")).withColumn("from_documents", F.lit(None).cast("string"))
+    else:
+        asked = document_disease(carried_disease(messages, names).filter(F.col("role") == "human"), names)
+    return triage_routes(asked, guidance, medicines)

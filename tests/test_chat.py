@@ -89,3 +89,12 @@ def test_cleaning(rows):
     assert one(rows, "abé\n", text.printable_ratio) == 0.5
     checked = cleanse.validate_messages(rows("content STRING", (" x ",), ("",), ("y" * 1001,)))
     assert [(r.content[:1], r.reason) for r in checked.collect()] == [("x", None), ("", "empty"), ("y", "too long")]
+
+
+def test_documents(spark, rows):
+    docs = rows("d ARRAY<STRING>", (["a\x00b", " \n", "c" * 400, "Dengue or Migraine"],))
+    assert docs.select(chat.clean_documents(F.col("d")).alias("x")).first().x == ["ab", "c" * 300, "Dengue or Migraine"]
+    messages = message_rows(rows).filter("seq < 3").withColumn("content", F.when(F.col("seq") == 2, "any treatment?").otherwise(F.col("content")))
+    asked = messages.withColumn("documents", F.array(F.lit("nothing"), F.lit("on migraine"), F.lit("Dengue")))
+    out = triage_messages(asked, tables.guidance(spark), tier_lists(tables.medicines(spark), "pos"))
+    assert {r.seq: (r.route, r.disease) for r in out.collect()} == {0: ("greeting", "Migraine"), 2: ("medicine", "Migraine")}
