@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from clinflow.operators.neighbours import nearest, retrieve
 from clinflow.plans import models
+from clinflow.plans.knowledge import disease_knowledge
 from clinflow.session import run_dir
 from clinflow.sources import corpus
 
@@ -203,3 +204,17 @@ def m8(spark, sf):
     path = run_dir(spark, "vectors")
     models.embed(models.text_embedder().fit(chunks), chunks).drop("content").write.parquet(path)
     return spark.read.parquet(path).select("doc_id", "chunk_no", b.bar(F.transform("vector", lambda x: F.round(x, 4))).alias("vector"))
+
+
+@query("e8_disease_knowledge")
+def e8_knowledge(spark, sf):
+    rows = b.texts(spark, sf, "documents", "doc_id").select(
+        "doc_id", F.col("text").alias("content"), F.col("lang").alias("disease"), "source"
+    )
+    chunks = corpus.chunk_documents(rows)
+    model = models.text_embedder(64).fit(chunks)
+    item = F.concat(F.col("doc_id"), F.lit("-"), F.col("chunk_no")).alias("item_id")
+    held = models.embed(model, chunks).select(item, "vector", "content", "disease", "source")
+    names = b.table(spark, sf, "benchmark").select(F.col("text").alias("disease"))
+    out = disease_knowledge(names, model, held)
+    return out.select("disease", F.posexplode("knowledge").alias("at", "k")).select("disease", "at", F.col("k.content").alias("content"))

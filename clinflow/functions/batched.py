@@ -36,7 +36,7 @@ def best_ratio(cutoff: float):
                 if score >= cutoff and (top[1] is None or (score, name) > (top[1], top[0])):
                     top = (name, score)
             rows.append(top)
-        return pd.DataFrame(rows, columns=["feature", "score"])
+        return pd.DataFrame(rows, columns=["feature", "score"]).astype({"feature": object, "score": float})
 
     return best
 

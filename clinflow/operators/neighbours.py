@@ -30,6 +30,16 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def _plain(keys: pd.Series) -> np.ndarray:
+    """Keys as a plain array; text as Python strings."""
+    return keys.to_numpy() if pd.api.types.is_numeric_dtype(keys) else keys.astype(object).to_numpy()
+
+
+def _column(values: np.ndarray) -> pd.Series:
+    """Text stays in one piece: Arrow-backed strings may come in several, which Spark does not take."""
+    return pd.Series(values, dtype=object if values.dtype == object else None)
+
+
 def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     squared = (left ** 2).sum(1)[:, None] + (right ** 2).sum(1)[None, :] - 2 * left @ right.T
     return np.sqrt(np.maximum(squared, 0))
@@ -75,7 +85,7 @@ def _best_in_block(k: int):
     def best(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(items):
-            points, ids = _matrix(items["vector"]), items["item_id"].to_numpy()
+            points, ids = _matrix(items["vector"]), _plain(items["item_id"])
             norms = (points ** 2).sum(1)
             for start in range(0, len(queries), TILE):
                 part = queries.iloc[start:start + TILE]
@@ -91,13 +101,11 @@ def _best_in_block(k: int):
                 row, col, exact = row[order], col[order], exact[order]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
                 keep = rank < k
-                out.append(pd.DataFrame({
-                    "query_id": part["query_id"].to_numpy()[row[keep]], "item_id": ids[col[keep]],
-                    "distance": exact[keep],
-                }))
-        if not out:
-            return pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
-        return pd.concat(out)
+                out.append((_plain(part["query_id"])[row[keep]], ids[col[keep]], exact[keep]))
+        names = ("query_id", "item_id", "distance")
+        none = np.array([], dtype=object)
+        parts = zip(*out) if out else ([none], [none], [none.astype(float)])
+        return pd.DataFrame({name: _column(np.concatenate(arrays)) for name, arrays in zip(names, parts)})
 
     return best
 

@@ -101,3 +101,15 @@ def test_models_give_ranked_probabilities(spark, rows):
         assert learning.accuracy(models.predictions(model, data)).first().accuracy == 100.0
         shares = models.probabilities(model, data, "id").first().probability
         assert abs(sum(shares) - 1) < 1e-6
+
+
+def test_knowledge_per_disease(spark, rows):
+    from clinflow.plans.knowledge import disease_knowledge
+
+    texts = rows("item_id INT, content STRING, disease STRING, source STRING", (1, "malaria and its symptoms", "Malaria", "s"),
+                 (2, "dengue and its treatment", "Dengue", "s"), (3, "nothing here at all", None, "s"), (4, "other words again", "X", "s"))
+    model = models.text_embedder(128).fit(texts)
+    chunks = models.embed(model, texts).select("item_id", "vector", "content", "disease", "source")
+    got = disease_knowledge(rows("disease STRING", ("malaria",), ("dengue",), ("malaria",)), model, chunks, 2)
+    best = {r.disease: [k.disease for k in r.knowledge] for r in got.collect()}
+    assert {name: (first[0], len(first)) for name, first in best.items()} == {"malaria": ("Malaria", 2), "dengue": ("Dengue", 2)}
