@@ -28,16 +28,15 @@ def exploded_terms(requests: DataFrame, key: str = "request_id") -> DataFrame:
 
 def weighted_severity(requests: DataFrame, weights: DataFrame, key: str = "request_id") -> DataFrame:
     """J1 + F2 with the weights as a table: key, base, severity."""
-    terms = requests.select(key, F.posexplode("symptoms").alias("at", "raw"))
-    terms = terms.withColumn("symptom", normalise_term("raw"))
-    known = lookup_join(terms, weights, ["symptom"], "left", spread=[key, "at"])
-    base = known.groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(UNKNOWN_WEIGHT))).cast("int").alias("base"))
-    scored = requests.select(key, "duration_days", "age").join(base, key, "left")
-    base_or_none = F.coalesce("base", F.lit(0))
-    return scored.select(
-        key, base_or_none.alias("base"),
-        severity_score(base_or_none, F.col("duration_days"), F.col("age")).alias("severity"),
+    # Outer: a request without terms keeps a row, so one aggregate gives every request.
+    terms = requests.select(key, "duration_days", "age", F.posexplode_outer("symptoms").alias("at", "raw"))
+    known = lookup_join(terms.withColumn("symptom", normalise_term("raw")), weights, ["symptom"], "left", spread=[key, "at"])
+    weight = F.when(F.col("symptom").isNotNull(), F.coalesce("weight", F.lit(UNKNOWN_WEIGHT)))
+    sums = known.groupBy(key).agg(
+        F.coalesce(F.sum(weight), F.lit(0)).cast("int").alias("base"),
+        F.first("duration_days").alias("duration_days"), F.first("age").alias("age"),
     )
+    return sums.select(key, "base", severity_score(F.col("base"), F.col("duration_days"), F.col("age")).alias("severity"))
 
 
 def dictionary(features: DataFrame, synonyms: DataFrame) -> DataFrame:
