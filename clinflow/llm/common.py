@@ -46,21 +46,21 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str, label: str) -> Da
     few narrow columns. Rows equal in all of `order` may stand in any order among themselves.
     """
     n = partitions_of(rows.sparkSession)
-    blocks = written(rows.repartitionByRange(n, *order).withColumn("_block", F.spark_partition_id()), label)
-    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocks.groupBy("_block").agg(F.sum(value).alias("_size"), F.count("*").alias("_rows"))
+    blocks = written(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), label)
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy("_range").agg(F.sum(value).alias("_size"), F.count("*").alias("_rows"))
     offsets = sums.select(
-        "_block",
+        "_range",
         F.coalesce(F.sum("_size").over(ahead), F.lit(0)).cast("long").alias("_size_ahead"),
         F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).cast("long").alias("_rows_ahead"),
         F.sum("_size").over(Window.partitionBy()).cast("long").alias("total"),
     )
-    inside = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocks.join(F.broadcast(offsets), "_block")
+        blocks.join(F.broadcast(offsets), "_range")
         .withColumn("before", F.col("_size_ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
         .withColumn("rank", F.col("_rows_ahead") + F.count(F.lit(1)).over(inside))
-        .drop("_block", "_size_ahead", "_rows_ahead")
+        .drop("_range", "_size_ahead", "_rows_ahead")
     )
 
 

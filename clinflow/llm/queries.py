@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from clinflow.llm.decontam import op4_decontamination
+from clinflow.llm.mixing import op6_mixing
+from clinflow.llm.near_dups import op9_near_dups
 from clinflow.llm.quality import op3_quality
 from clinflow.llm.sharding import op1_sharding
 
-QUERIES = {f.__name__: f for f in [op1_sharding, op3_quality]}
+QUERIES = {f.__name__: f for f in [op1_sharding, op3_quality, op4_decontamination, op6_mixing, op9_near_dups]}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
