@@ -53,19 +53,19 @@ def classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingles:
     so a bucket that has become one class makes none. Together no candidate pair is lost.
     """
     bound_batches(nodes.sparkSession)
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(members.join(shared, ["band", "key"]), f"{label}-members")
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    shared = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"{label}-shared")
+    members = written(keep_matching(members, shared, ["key"]), f"{label}-members")
     many = members.select("node").distinct().count()
     tested = roots = None
     for turn in range(PIVOT_ROUNDS + 1):
         placed = members.withColumn("root", F.col("node")) if roots is None else members.join(
             roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if roots is not None:
-            mixed = placed.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-            placed = written(placed.join(mixed.select("band", "key"), ["band", "key"]), f"{label}-placed")
-            counts = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-            crossing = counts.groupBy("band", "key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+            mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+            placed = written(placed.join(mixed.select("key"), "key"), f"{label}-placed")
+            counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+            crossing = counts.groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
             left = crossing.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
             if not left:
                 break
@@ -73,16 +73,16 @@ def classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingles:
         else:
             last = False
         if last:
-            kinds = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n")).drop("n")
+            kinds = placed.groupBy("key", "root").agg(F.count("*").alias("n")).drop("n")
             x, y = kinds.withColumnRenamed("root", "x"), kinds.withColumnRenamed("root", "y")
-            ways = x.join(y, ["band", "key"]).where("x < y")
-            pairs = ways.join(placed.select("band", "key", F.col("root").alias("x"), F.col("node").alias("p")), ["band", "key", "x"]).join(
-                placed.select("band", "key", F.col("root").alias("y"), F.col("node").alias("q")), ["band", "key", "y"])
+            ways = x.join(y, "key").where("x < y")
+            pairs = ways.join(placed.select("key", F.col("root").alias("x"), F.col("node").alias("p")), ["key", "x"]).join(
+                placed.select("key", F.col("root").alias("y"), F.col("node").alias("q")), ["key", "y"])
         else:
             seed = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-            pivots = placed.groupBy("band", "key").agg(F.min(F.struct(seed.alias("s"), "node", "root")).alias("p")).select(
-                "band", "key", F.col("p.node").alias("p"), F.col("p.root").alias("p_root"))
-            pairs = placed.withColumnRenamed("node", "q").join(pivots, ["band", "key"]).where("p_root != root")
+            pivots = placed.groupBy("key").agg(F.min(F.struct(seed.alias("s"), "node", "root")).alias("p")).select(
+                "key", F.col("p.node").alias("p"), F.col("p.root").alias("p_root"))
+            pairs = placed.withColumnRenamed("node", "q").join(pivots, "key").where("p_root != root")
         pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
