@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clinflow.session import written
@@ -27,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The whole row as one column `_row`, so that no other name can clash with its columns, and `columns` beside it."""
+    return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"), *columns)
+
+
 def keep_matching(rows: DataFrame, keys: DataFrame, on: list[str], row_bytes: int = 16) -> DataFrame:
     """Rows whose key is in `keys`, whose rows are distinct.
 
@@ -68,29 +71,21 @@ def smallest_reachable(edges: DataFrame, label: str, rounds: int = 40) -> DataFr
     """(node, root): for every node of the undirected edges (a, b) the least node it is connected to.
 
     Alternates the large-star and small-star steps of Kiveris and others (Connected Components in
-    MapReduce and Beyond, 2014); every step is two keyed joins. Each round is written, and the
-    last one has a star for each component.
+    MapReduce and Beyond, 2014); every step is two keyed joins. Each round is written. It ends when
+    the links are stars, each node with one link to its root.
     """
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    state = None
-    for turn in range(rounds):
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{label}-links")
+    for _ in range(rounds):
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+            links.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        roles = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if roles.where("below > 1 or below + above > 1").isEmpty():
+            break
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        links = written(
-            small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v"))).distinct(), f"{label}-round",
-        )
-        new = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-                        F.countDistinct("u")).first()
-        if tuple(new) == state or new[0] == 0:
-            break
-        state = tuple(new)
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{label}-round")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

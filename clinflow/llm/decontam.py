@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinflow.llm.common import bound_batches, prefix_sums, table
+from clinflow.llm.common import bound_batches, packed, prefix_sums, table
 from clinflow.session import send_by_value
 
 send_by_value(__name__)
@@ -121,7 +121,7 @@ def searcher(sent, rate: float):
 
 
 def hits(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """`docs` with `_items` (item_id, edits): the items found in the text, by item_id.
+    """The whole rows of `docs` as `_row`, with `_items` (item_id, edits): the items found in the text, by item_id.
 
     Texts are compared in plain form. An item of n characters may have floor(n * rate) edits: it is cut
     into one piece more than that, every exact hit of a piece marks a window of the text, and
@@ -134,13 +134,13 @@ def hits(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFram
     """
     bound_batches(docs.sparkSession)
     numbered = item_blocks(items)
-    found = docs.withColumn("_items", F.expr("cast(array() as array<struct<item_id: bigint, edits: int>>)"))
+    found = packed(docs).withColumn("_items", F.expr("cast(array() as array<struct<item_id: bigint, edits: int>>)"))
     for (block,) in sorted(numbered.select("block").distinct().collect()):  # a number for each 4 MB of benchmark
         held = [(r.item_id, plain(r.text)) for r in numbered.where(F.col("block") == block).orderBy("item_id").collect()]
         sent = docs.sparkSession.sparkContext.broadcast([x for x in held if len(x[1]) >= LEAST_CHARS])
 
         udf = searcher(sent, rate)
-        found = found.withColumn("_items", F.concat("_items", udf("text")))
+        found = found.withColumn("_items", F.concat("_items", udf("_row.text")))
     return found.withColumn("_items", F.array_sort("_items"))
 
 
@@ -151,12 +151,12 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) ->
     """
     once = "filter(_items, (x, i) -> i = 0 or get(_items, i - 1).item_id != x.item_id)"
     return hits(docs.select("doc_id", "text"), items, rate).withColumn("_items", F.expr(once)).select(
-        "doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items.item_id").alias("items"), F.col("_items.edits").alias("edits"))
+        "_row.doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items.item_id").alias("items"), F.col("_items.edits").alias("edits"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """`docs` without the rows whose text holds a benchmark item."""
-    return hits(docs, items, rate).where(F.size("_items") == 0).select(*docs.columns)
+    return hits(docs, items, rate).where(F.size("_items") == 0).select("_row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

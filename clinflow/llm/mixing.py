@@ -5,10 +5,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinflow.llm.common import prefix_sums, table
+from clinflow.llm.common import packed, prefix_sums, table
 
 BLOCK_BYTES = 64 * 1024
 #: Slots of a period; weights are rounded to parts of it.
@@ -56,6 +56,11 @@ def period_schedule(slots: Mapping[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
+def named_source() -> Column:
+    """The source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("_source")
+
+
 def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes: int = BLOCK_BYTES,
               period: int = PERIOD) -> DataFrame:
     """`docs` with `_block` (number of the source's block), `_slot` (of the schedule) and `_within` (bytes ahead in the source).
@@ -73,9 +78,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block
     the driver. A null source is a source of its own, beside ''. Null texts take one byte. Rows equal
     in doc_id and text may change places. Other columns stay.
     """
-    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    keyed = docs.withColumn("_source", source).withColumn("_tie", F.xxhash64("text"))
-    sized = keyed.select("_source", "doc_id", "_tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("_size"))
+    sized = docs.select(named_source(), "doc_id", F.xxhash64("text").alias("_tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("_size"))
     summed = prefix_sums(sized, ["_source", "doc_id", "_tie"], "_size", "mix-blocks")
     starts = summed.groupBy("_source").agg(F.min("before").alias("_start"), F.sum("_size").alias("_all"))
     sizes = {r["_source"]: r["_all"] for r in starts.collect()}
@@ -108,10 +111,9 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFr
     """
     places = scheduled(docs, weights).groupBy("doc_id", "_tie", "_source").agg(
         F.min("_slot").alias("_slot"), F.min("_within").alias("_within"))
-    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    keyed = docs.withColumn("_source", source).withColumn("_tie", F.xxhash64("text"))
-    on = [keyed["doc_id"].eqNullSafe(places["doc_id"]), keyed["_tie"] == places["_tie"], keyed["_source"] == places["_source"]]
-    return keyed.join(places, on).orderBy("_slot", "_within", "_source").select(*[keyed[c] for c in docs.columns])
+    rows = packed(docs, F.col("doc_id"), F.xxhash64("text").alias("_tie"), named_source())
+    on = rows["doc_id"].eqNullSafe(places["doc_id"]) & (rows["_tie"] == places["_tie"]) & (rows["_source"] == places["_source"])
+    return rows.join(places, on).orderBy("_slot", "_within", places["_source"]).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

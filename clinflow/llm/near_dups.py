@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clinflow.llm.common import bound_batches, keep_matching, smallest_reachable, table
+from clinflow.llm.common import bound_batches, keep_matching, packed, smallest_reachable, table
 from clinflow.llm.hashing import band_keys, blocks, counted, mix, word_shingles
 from clinflow.llm.similar import classes
 from clinflow.session import send_by_value, written
@@ -107,9 +107,10 @@ def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def without_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """`docs` with one document of each class, that of the least doc_id; rows without an id stay."""
     kept = groups(docs, least).where("doc_id = class_id").select("doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"])
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(order))
-    return first.where("_turn = 1").drop("_turn").unionByName(docs.where("doc_id is null"))
+    rows = packed(docs, F.col("doc_id"), F.xxhash64("text").alias("_hash"))
+    order = Window.partitionBy("doc_id").orderBy("_hash", F.xxhash64("_row"))
+    first = rows.join(kept, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(order)).where("_turn = 1")
+    return first.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinflow.llm.common import bound_batches, table
+from clinflow.llm.common import bound_batches, packed, table
 from clinflow.session import send_by_value
 
 send_by_value(__name__)
@@ -272,7 +272,7 @@ def sampled(docs: DataFrame) -> list[tuple[str, str]]:
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """`docs` with `_pii`: counts of the base kinds, the digest of the base spans, and all spans as text.
+    """The whole rows of `docs` as `_row`, with `_pii`: counts of the base kinds, the digest of the base spans, and all spans as text.
 
     Base spans are the leftmost matches of each kind that don't overlap, checked by length, range or Luhn.
     The field reads islands of words with a digit or an @: every segment of up to 16 atoms has features of the
@@ -302,8 +302,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
                 rows.append((*counts, hashlib.sha256(write(base).encode()).hexdigest(), write(sorted(base + added))))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.withColumn("_pii", find(F.coalesce("text", F.lit(""))))
+    return packed(docs).withColumn("_pii", find(F.coalesce("_row.text", F.lit(""))))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_pii.*")
+    return found_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("_row.doc_id", "_pii.*")

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinflow.llm.common import bound_batches, keep_matching, smallest_reachable
-from clinflow.llm.hashing import blocks, overlaps
+from clinflow.llm.common import BROADCAST_BYTES, bound_batches, smallest_reachable
+from clinflow.llm.hashing import blocks, counted, mix, overlaps
 from clinflow.session import send_by_value, written
 
 send_by_value(__name__)
 
-PIVOT_ROUNDS = 3
-#: Pairs per item that a last round over all remaining pairs may have without another pivot round before.
-EASY = 2
+#: Buckets of at most so many items are compared pair by pair, larger ones in blocks of items.
+PAIRED = 32
+BLOCK = 512
+#: Different shingles whose counts are multiplied at a time.
+COLUMNS = 4096
 
 
 def checked(pairs: DataFrame, texts: DataFrame, shingles: Callable, width: int, least: float, multiset: bool) -> DataFrame:
@@ -38,61 +41,109 @@ def checked(pairs: DataFrame, texts: DataFrame, shingles: Callable, width: int,
     return sides.select("a", "b", "text_a", "text_b").mapInPandas(check, f"a {kind}, b {kind}, similar boolean")
 
 
+def links_within(texts: list[str], roots: list, shingles: Callable, width: int, least: float, multiset: bool) -> list[tuple[int, int]]:
+    """Pairs of places that link texts of different roots by exact Jaccard: a spanning forest of such links."""
+    n = len(texts)
+    owner, hashes, count = counted(*shingles(texts, width))
+    if multiset:  # the k-th copy of a shingle is an element of its own
+        copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        owner, hashes = np.repeat(owner, count), mix(np.repeat(hashes, count) ^ mix(copy.astype(np.uint64)))
+    size = np.bincount(owner, minlength=n)
+    _, column, held = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        common += part @ part.T
+    union = size[:, None] + size[None, :] - common
+    near = np.triu((common >= least * union - 1e-6) | (union == 0), 1)
+    parent = {root: root for root in roots}
+
+    def top(root):
+        while parent[root] != root:
+            root = parent[root]
+        return root
+
+    links = []
+    for x, y in zip(*np.nonzero(near)):
+        a, b = top(roots[x]), top(roots[y])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((x, y))
+    return links
+
+
+def linked_in_blocks(members: DataFrame, texts: DataFrame, shingles: Callable, width: int, least: float, multiset: bool) -> DataFrame:
+    """(a, b, similar) links between the classes in large buckets; `members` has (key, node, root, n).
+
+    The items of a bucket are dealt into blocks of about `BLOCK`, and a task compares two blocks, so it
+    holds a bounded number of texts however large the bucket is.
+    """
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(
+        F.least("part", other).alias("i"), F.greatest("part", other).alias("j")))
+    dealt = members.withColumn("parts", count).withColumn("part", mine).select(
+        "key", "node", "root", F.explode(every).alias("pair")).select("key", "pair.i", "pair.j", "node", "root").distinct()
+    kind = members.schema["node"].dataType.simpleString()
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = list(group.node)
+        found = links_within(list(group.text), list(group.root), shingles, width, least, multiset) if group.root.nunique() > 1 else []
+        return pd.DataFrame({"a": [min(nodes[x], nodes[y]) for x, y in found], "b": [max(nodes[x], nodes[y]) for x, y in found],
+                             "similar": True}, columns=["a", "b", "similar"])
+
+    return dealt.join(texts, "node").groupBy("key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, similar boolean")
+
+
 def classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingles: Callable, width: int, least: float,
             multiset: bool, label: str) -> DataFrame:
     """(node, root) of all nodes that are linked to another; root is the least node of the class.
 
     `nodes` has (node, bands): different items, and the keys of their bands. Items that share a band
     key are candidates, and `fetch` gives (node, text) for a table of nodes. A class is a connected
-    component of the pairs whose similarity is at least `least`.
+    component of the candidate pairs whose similarity is at least `least`.
 
-    Pairs are made in rounds. In a round every bucket has a pivot, and the other items of the bucket
-    that aren't in the pivot's class yet are checked against it: one row for an item of a bucket, so
-    a bucket of n copies costs n checks. The last round checks each pair of a bucket that is still in
-    different classes and was not checked before; pairs are made there from the classes of a bucket,
-    so a bucket that has become one class makes none. Together no candidate pair is lost.
+    First the items of every bucket are checked against its pivot, the item that shares its keys with most
+    others: the original of many copies, as a rule. That is one pair for an item of a bucket, however large.
+    Buckets whose items are then one class are done. In the others the items of different classes are
+    compared: pair by pair in buckets of at most `PAIRED`, in blocks of items in larger ones, where a task
+    gives back no more links than join its items. Together no candidate pair is lost.
     """
     bound_batches(nodes.sparkSession)
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    shared = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"{label}-shared")
-    members = written(keep_matching(members, shared, ["key"]), f"{label}-members")
-    many = members.select("node").distinct().count()
-    tested = roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = members.withColumn("root", F.col("node")) if roots is None else members.join(
-            roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if roots is not None:
-            mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-            placed = written(placed.join(mixed.select("key"), "key"), f"{label}-placed")
-            counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-            crossing = counts.groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-            left = crossing.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not left:
-                break
-            last = turn == PIVOT_ROUNDS or left <= EASY * many
-        else:
-            last = False
-        if last:
-            kinds = placed.groupBy("key", "root").agg(F.count("*").alias("n")).drop("n")
-            x, y = kinds.withColumnRenamed("root", "x"), kinds.withColumnRenamed("root", "y")
-            ways = x.join(y, "key").where("x < y")
-            pairs = ways.join(placed.select("key", F.col("root").alias("x"), F.col("node").alias("p")), ["key", "x"]).join(
-                placed.select("key", F.col("root").alias("y"), F.col("node").alias("q")), ["key", "y"])
-        else:
-            seed = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-            pivots = placed.groupBy("key").agg(F.min(F.struct(seed.alias("s"), "node", "root")).alias("p")).select(
-                "key", F.col("p.node").alias("p"), F.col("p.root").alias("p_root"))
-            pairs = placed.withColumnRenamed("node", "q").join(pivots, "key").where("p_root != root")
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"{label}-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = written(checked(pairs, fetch(needed), shingles, width, least, multiset), f"{label}-checked")
-        tested = found if tested is None else tested.unionByName(found)
-        if roots is None or not found.where("similar").isEmpty():
-            roots = smallest_reachable(tested.where("similar"), label)
-            roots = written(roots, f"{label}-roots")
-        if last:
-            break
-    return roots
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-shared")
+    small = shared.count() * 24 <= BROADCAST_BYTES
+    members = written(keys.join(F.broadcast(shared) if small else shared, "key"), f"{label}-members")
+    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    ranked = members.join(fame, "node")
+    pivots = ranked.groupBy("key").agg(F.min(F.struct((-F.col("fame")).alias("fame"), "node")).alias("p")).select("key", F.col("p.node").alias("p"))
+    pairs = members.join(pivots, "key").where("p != node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
+    pairs = written(pairs.distinct(), f"{label}-pairs")
+    first = written(checked(pairs, fetch(ends_of(pairs)), shingles, width, least, multiset), f"{label}-checked")
+    roots = written(smallest_reachable(first.where("similar"), label), f"{label}-roots")
+
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    placed = written(placed.join(mixed, "key"), f"{label}-placed")
+    few = placed.where(F.col("n") <= PAIRED).select("key", "node", "root")
+    other = few.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    pairs = few.join(other, "key").where("node < other and root != other_root").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = written(pairs.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), f"{label}-cross")
+    many = placed.where(F.col("n") > PAIRED)
+    cross = checked(pairs, fetch(ends_of(pairs)), shingles, width, least, multiset)
+    blocked = linked_in_blocks(many, fetch(many.select("node").distinct()), shingles, width, least, multiset)
+    rest = written(cross.where("similar").unionByName(blocked), f"{label}-rest")
+    if rest.isEmpty():
+        return roots
+    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b"))
+    return written(smallest_reachable(joined, label), f"{label}-roots")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
