@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from clinflow.llm.common import BROADCAST_BYTES, bound_batches, table
 from clinflow.session import send_by_value, written
@@ -161,7 +162,7 @@ def main_text(blocks: list[tuple[str, str, int]], votes: dict[str, int]) -> str:
     return "\n".join(text for path, text, _ in blocks if path == chosen or path.startswith(chosen + "/"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def page_text(pages: pd.Series, paths: pd.Series, votes: pd.Series) -> pd.Series:
     known = (dict(zip(p, v)) if p is not None else {} for p, v in zip(paths, votes))
     return pd.Series([main_text(text_blocks(page), held) for page, held in zip(pages, known)], dtype=object)
