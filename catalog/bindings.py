@@ -13,16 +13,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A text table for work that costs far more than reading it.
-
-    A table in fewer splits than there are cores is spread over them; larger inputs stay as they are.
-    """
-    rows = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 # ---- SQL text helpers -------------------------------------------------------------------------
 
 def text(value) -> str:
@@ -150,6 +140,18 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- documents with vectors -------------------------------------------------------------------
+
+def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a chunk (item_id, vector, content, disease, source); its vector is that of its id's remainder."""
+    vectors = table(spark, sf, "embeddings")
+    size = vectors.agg(F.count("*"))
+    rows = table(spark, sf, "documents").withColumn("vec_id", F.col("doc_id") % size.scalar())
+    return rows.join(vectors, "vec_id").select(
+        F.col("doc_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("text").alias("content"),
+        F.col("lang").alias("disease"), "source")
+
+
 # ---- drugs from part --------------------------------------------------------------------------
 
 DRUGS_SQL = """
@@ -175,7 +177,7 @@ FEATURES_SQL = "features AS " + values(["feature", "pos"], [(f, i) for i, f in e
 SYNONYMS_SQL = "synonyms AS " + values(["phrase", "features"], seeds.SYNONYMS.items())
 DISEASES_SQL = "diseases AS " + values(["disease", "features"], seeds.DISEASE_FEATURES.items())
 BANDS_SQL = "bands AS " + values(
-    ["risk_level", "tests", "advice", "medicine_type"], [(b[1], b[2], b[3], b[4]) for b in RISK_BANDS]
+    ["risk_level", "tests", "advice", "medicine_type"], [(b[1], "|".join(b[2]), b[3], b[4]) for b in RISK_BANDS]
 )
 SEED_DRUGS_SQL = "seed_drugs AS " + values(
     ["disease", "drug_name", "drug_type", "pos"], [(*m, i) for i, m in enumerate(seeds.MEDICINES)]

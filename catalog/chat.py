@@ -57,7 +57,7 @@ def f4(spark, sf):
 
 @query("f4_language_of_documents", f"SELECT doc_id, {language_sql('text')} AS language FROM documents")
 def f4_documents(spark, sf):
-    return b.texts(spark, sf, "documents", "doc_id").select("doc_id", lang.detect_language(F.col("text")).alias("language"))
+    return b.table(spark, sf, "documents").select("doc_id", lang.detect_language(F.col("text")).alias("language"))
 
 
 @query("f5_phrase_translation", f"WITH {b.MESSAGES_SQL} SELECT user_id, seq, {PHRASES_SQL('content')} AS english FROM messages")
@@ -187,7 +187,7 @@ hit AS (SELECT doc_id, w FROM documents, names WHERE w <> '' AND contains(lower(
 SELECT doc_id, w FROM documents LEFT JOIN (SELECT doc_id, min_by(w, (-length(w), w)) AS w FROM hit GROUP BY 1) USING (doc_id)""")
 def j9_documents(spark, sf):
     names = b.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).filter("w <> ''").distinct()
-    return longest_name(b.texts(spark, sf, "documents", "doc_id"), names, "text", "w", "doc_id", "w").select("doc_id", "w")
+    return longest_name(b.table(spark, sf, "documents"), names, "text", "w", "doc_id", "w").select("doc_id", "w")
 
 
 CARRIED_SQL = ENGLISH_SQL + f""", {NAMES_SQL}, named AS (SELECT *, {mentioned_sql('content')} AS mentioned FROM english),
@@ -255,7 +255,8 @@ GUIDE_SQL = "guide AS " + b.values(["keyword", "guidance"], rules.GUIDANCE.items
 REPLY_MAP = "MAP {" + ", ".join(f"{b.text(k)}: {b.text(v)}" for k, v in rules.REPLIES.items()) + "}"
 DOC_SQL = "CASE WHEN doc_id % 4 = 0 THEN 'About Pneumonia. ' || text ELSE text END"
 ON_ENGLISH = lambda sql: sql.replace("content", "english")
-TRIAGE_SQL = CARRIED_SQL + f""", {GUIDE_SQL}, {b.SEED_DRUGS_SQL}, lists AS (SELECT disease, coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'otc'), []) AS otc,
+READ_SQL = CARRIED_SQL.replace(mentioned_sql("content"), mentioned_sql("CASE WHEN role = 'human' THEN english ELSE content END"))
+TRIAGE_SQL = READ_SQL + f""", {GUIDE_SQL}, {b.SEED_DRUGS_SQL}, lists AS (SELECT disease, coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'otc'), []) AS otc,
   coalesce(list(drug_name ORDER BY pos) FILTER (drug_type = 'prescription'), []) AS rx FROM seed_drugs GROUP BY 1),
 docs AS (SELECT doc_id, left(regexp_replace({DOC_SQL}, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g'), 300) AS doc
   FROM documents WHERE trim({DOC_SQL}, {b.WHITE}) <> ''),
@@ -298,12 +299,12 @@ def p5_nested(spark, sf):
 @query("p6_printable_gate", f"""SELECT doc_id, {b.rounded("r", 6)} AS printable_ratio FROM (
   SELECT doc_id, length(regexp_replace(text, '[^\\x20-\\x7E]', '', 'g'))::DOUBLE / greatest(length(text), 1) AS r FROM documents) WHERE r >= 0.7::DOUBLE""")
 def p6(spark, sf):
-    rows = b.texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("content"))
+    rows = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return cleanse.printable_gate(rows).select("doc_id", F.round("printable_ratio", 6).alias("printable_ratio"))
 
 
 @query("p7_context_snippets", f"""SELECT doc_id, left(regexp_replace(text, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g'), 300) AS snippet
 FROM documents WHERE trim(text, {b.WHITE}) <> ''""")
 def p7(spark, sf):
-    rows = b.texts(spark, sf, "documents", "doc_id").filter(~text.is_blank("text"))
+    rows = b.table(spark, sf, "documents").filter(~text.is_blank("text"))
     return rows.select("doc_id", text.context_snippet("text").alias("snippet"))

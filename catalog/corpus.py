@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from clinflow.operators.neighbours import nearest, retrieve
 from clinflow.plans import models
-from clinflow.plans.knowledge import disease_knowledge
+from clinflow.plans.knowledge import knowledge_lists
 from clinflow.session import run_dir
 from clinflow.sources import corpus
 
@@ -77,7 +77,7 @@ def s8(spark, sf):
     return corpus.flashcard_documents(records(spark, sf)).drop("meta")
 
 
-ARTICLE_SQL = f"""raw AS (SELECT doc_id, CASE WHEN doc_id % 6 <> 0 THEN ' Is ' || source || ' ' || left(text, 200) || '? ' END AS question,
+ARTICLE_SQL = f"""raw AS (SELECT doc_id, CASE WHEN doc_id % 6 <> 0 THEN ' Is ' || source || ' ' || text || '? ' END AS question,
   CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END AS long_answer, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS parts,
   CASE WHEN doc_id % 2 = 0 THEN 'yes' END AS decision FROM documents),
 clean AS (SELECT doc_id, {TRIM("coalesce(question, '')")} AS q, {TRIM('long_answer')} AS a, array_to_string(list_transform(parts, lambda p: {TRIM('p')}), ' ') AS c, coalesce(decision, '') AS d FROM raw)"""
@@ -89,7 +89,7 @@ clean AS (SELECT doc_id, {TRIM("coalesce(question, '')")} AS q, {TRIM('long_answ
 def s11(spark, sf):
     number = F.col("doc_id")
     rows = b.table(spark, sf, "documents").select(
-        F.when(number % 6 != 0, F.concat(F.lit(" Is "), "source", F.lit(" "), F.substring("text", 1, 200), F.lit("? "))).alias("question"),
+        F.when(number % 6 != 0, F.concat(F.lit(" Is "), "source", F.lit(" "), "text", F.lit("? "))).alias("question"),
         F.when(number % 10 == 0, " ").otherwise(F.col("text")).alias("long_answer"),
         F.struct(F.split("text", "\n").alias("contexts")).alias("context"),
         F.when(number % 2 == 0, "yes").alias("final_decision"), number.alias("pubid"),
@@ -109,28 +109,36 @@ def s12(spark, sf):
     return corpus.flashcard_records(rows, "cards")
 
 
-@query("s13_page_links", r"""SELECT DISTINCT CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
-  WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || href
-  WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href
-  ELSE CASE WHEN regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://.*/)', 1) = ''
-    THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/'
-    ELSE regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://.*/)', 1) END || href END AS link
-FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages) WHERE contains(href, '/t')""")
+# References that the pages hold; the ampersand comes last, so nothing is decoded twice.
+SIGNS = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
+def decoded_sql(text: str) -> str:
+    for name, sign in SIGNS:
+        text = f"replace({text}, {b.text(name)}, {b.text(sign)})"
+    return text
+
+
+@query("s13_page_links", rf"""WITH tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages),
+raw AS (SELECT url, regexp_extract(tag, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS href FROM tags),
+links AS (SELECT url, trim({decoded_sql("trim(href, chr(34) || chr(39))")}) AS href FROM raw WHERE href <> ''),
+parts AS (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) AS scheme, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS origin,
+  regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*/|/)', 1) AS folder FROM links WHERE contains(href, '/t'))
+SELECT DISTINCT CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href
+  WHEN starts_with(href, '/') THEN origin || href ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS link FROM parts""")
 def s13(spark, sf):
     return corpus.page_links(b.table(spark, sf, "pages"), "/t")
 
 
-TEXT_SQL = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
-for old, new in corpus.ENTITIES:
-    TEXT_SQL = f"replace({TEXT_SQL}, {b.text(old)}, {b.text(new)})"
-TEXT_SQL = f"trim(regexp_replace({TEXT_SQL}, '[\\s\\x{{00A0}}]+', ' ', 'g'), {b.WHITE})"
+TEXT_SQL = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[a-zA-Z/!][^>]*>', ' ', 'g')"
+TEXT_SQL = f"trim(regexp_replace({decoded_sql(TEXT_SQL)}, '[\\s\\x{{00A0}}]+', ' ', 'g'), {b.WHITE})"
 
 
 @query("s14_page_records", f"""WITH t AS (SELECT url, {TEXT_SQL} AS content, string_split(rtrim(url, '/'), '/')[-1] AS slug FROM pages)
 SELECT array_to_string(list_transform(string_split(replace(slug, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title,
   url, 'WHO Fact Sheets' AS source, content FROM t WHERE length(content) >= 100""")
 def s14(spark, sf):
-    return corpus.page_records(b.texts(spark, sf, "pages", "page_id"))
+    return corpus.page_records(b.table(spark, sf, "pages"))
 
 
 @query("u1_corpus_union", f"""WITH {QA_SQL}, {RECORDS_SQL}, kept AS (SELECT * FROM recs WHERE {TRIM('content')} <> '')
@@ -159,14 +167,18 @@ FROM documents, range(0, 100000) AS r(i) WHERE length(text) > 0 AND i <= greates
     "FROM documents, range(0, 100000) AS r(i) WHERE length(text) > 0 AND i <= greatest(ceil((length(text) - 500) / 450.0), 0)",
     "FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0)"))
 def f18(spark, sf):
-    rows = b.texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("content"))
+    rows = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return corpus.chunk_documents(rows)
 
 
-@query("f18_boundary_chunks")
+@query("f18_boundary_chunks", f"""SELECT doc_id, true AS bounded, true AS whole FROM documents WHERE {TRIM('text')} <> ''""")
 def f18_boundaries(spark, sf):
-    rows = b.texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("content"))
-    return corpus.chunk_documents(rows, boundaries=True)
+    """By document: whether all chunks hold at most 500 characters, and together every word of the text."""
+    rows = b.table(spark, sf, "documents").select("doc_id", "text", F.col("text").alias("content"))
+    words = lambda column: F.array_distinct(F.split(column, r"\s+"))
+    chunks = corpus.chunk_documents(rows, boundaries=True).groupBy("doc_id", "text").agg(
+        F.max(F.length("content")).alias("longest"), F.array_distinct(F.flatten(F.collect_list(words("content")))).alias("held"))
+    return chunks.select("doc_id", (F.col("longest") <= 500).alias("bounded"), (F.size(F.array_except(words("text"), "held")) == 0).alias("whole"))
 
 
 NEAR_SQL = """d AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_sum(list_transform(list_zip(q.embedding, i.embedding),
@@ -186,35 +198,51 @@ def e8(spark, sf):
     return nearest(queries, items, 4).select("query_id", "item_id", F.round("distance", 4).alias("score"), "rank")
 
 
-@query("e8_retrieved_chunks", f"""WITH {NEAR_SQL} SELECT query_id, rank, item_id, text AS content, coalesce(lang, 'Unknown') AS disease, source, {b.rounded('distance', 4)} AS score
-FROM near JOIN documents ON doc_id = item_id WHERE rank <= 3""".replace("embeddings i)", "embeddings i WHERE i.vec_id IN (SELECT doc_id FROM documents))"))
+ITEMS_SQL = """size AS (SELECT count(*) AS n FROM embeddings),
+items AS (SELECT doc_id AS item_id, text, lang, source, embedding FROM documents, size JOIN embeddings ON vec_id = doc_id % n)"""
+DISTANCE_SQL = """list_sum(list_transform(list_zip(q.embedding, i.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"""
+
+
+@query("e8_retrieved_chunks", f"""WITH {ITEMS_SQL}, far AS (SELECT q.vec_id AS query_id, i.vec_id AS item_vec, {DISTANCE_SQL} AS distance FROM embeddings q, embeddings i),
+held AS (SELECT item_id, item_id % n AS item_vec, text, lang, source FROM items, size),
+near AS (SELECT * FROM (SELECT query_id, item_id, text, lang, source, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank
+  FROM far JOIN held USING (item_vec)) WHERE rank <= 3)
+SELECT query_id, rank, item_id, text AS content, coalesce(lang, 'Unknown') AS disease, source, {b.rounded('distance', 4)} AS score FROM near""")
 def e8_chunks(spark, sf):
-    rows = vectors(spark, sf)
-    documents = b.table(spark, sf, "documents")
-    chunks = rows.join(documents, rows.vec_id == documents.doc_id).select(
-        F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("text").alias("content"), F.col("lang").alias("disease"), "source"
-    )
-    return retrieve(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), chunks, 3)
+    rows = b.table(spark, sf, "embeddings")
+    return retrieve(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), b.document_chunks(spark, sf), 3)
 
 
-@query("m8_chunk_embedding")
+@query("m8_chunk_embedding", """WITH pieces AS (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS i
+  FROM documents WHERE length(text) > 0)
+SELECT doc_id, i::INT AS chunk_no, 256 AS size, CASE WHEN regexp_matches(substr(text, i * 450 + 1, 500), '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM pieces""")
 def m8(spark, sf):
-    rows = b.texts(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("content"))
+    rows = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     chunks = corpus.chunk_documents(rows)
     path = run_dir(spark, "vectors")
     models.embed(models.text_embedder().fit(chunks), chunks).drop("content").write.parquet(path)
-    return spark.read.parquet(path).select("doc_id", "chunk_no", b.bar(F.transform("vector", lambda x: F.round(x, 4))).alias("vector"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return spark.read.parquet(path).select("doc_id", "chunk_no", F.size("vector").alias("size"), F.round(norm, 3).alias("norm"))
 
 
-@query("e8_disease_knowledge")
+@query("e8_disease_knowledge", f"""WITH {ITEMS_SQL}, asked AS (SELECT text AS disease, embedding FROM benchmark, size JOIN embeddings ON vec_id = item_id % n),
+far AS (SELECT q.disease, i.vec_id AS item_vec, {DISTANCE_SQL} AS distance FROM asked q, embeddings i),
+near AS (SELECT disease, text, row_number() OVER (PARTITION BY disease ORDER BY distance, item_id) AS rank FROM far JOIN (SELECT *, item_id % n AS item_vec FROM items, size) USING (item_vec))
+SELECT disease, (rank - 1)::INT AS at, text AS content FROM near WHERE rank <= 3""")
 def e8_knowledge(spark, sf):
-    rows = b.texts(spark, sf, "documents", "doc_id").select(
-        "doc_id", F.col("text").alias("content"), F.col("lang").alias("disease"), "source"
-    )
-    chunks = corpus.chunk_documents(rows)
-    model = models.text_embedder(64).fit(chunks)
-    item = F.concat(F.col("doc_id"), F.lit("-"), F.col("chunk_no")).alias("item_id")
-    held = models.embed(model, chunks).select(item, "vector", "content", "disease", "source")
-    names = b.table(spark, sf, "benchmark").select(F.col("text").alias("disease"))
-    out = disease_knowledge(names, model, held)
+    vectors = b.table(spark, sf, "embeddings")
+    asked = b.table(spark, sf, "benchmark").withColumn("vec_id", F.col("item_id") % vectors.agg(F.count("*")).scalar()).join(vectors, "vec_id")
+    out = knowledge_lists(asked.select(F.col("text").alias("query_id"), F.col("embedding").alias("vector")), b.document_chunks(spark, sf))
     return out.select("disease", F.posexplode("knowledge").alias("at", "k")).select("disease", "at", F.col("k.content").alias("content"))
+
+
+@query("m8_nearest_chunk", "SELECT doc_id, true AS found FROM documents WHERE length(text) > 0")
+def m8_nearest(spark, sf):
+    """Whether a document's own first chunk, asked as a question, finds a chunk at distance 0 among all chunks of all documents."""
+    rows = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    chunks = corpus.chunk_documents(rows)
+    held = models.embed(models.text_embedder(64).fit(chunks), chunks).select(
+        F.concat(F.col("doc_id"), F.lit("-"), F.col("chunk_no")).alias("item_id"), "doc_id", "chunk_no", "vector")
+    asked = held.filter("chunk_no = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    best = nearest(asked, held.select("item_id", "vector"), 1)
+    return best.select(F.col("query_id").alias("doc_id"), (F.round("distance", 6) == 0).alias("found"))

@@ -11,6 +11,7 @@ from clinflow.lookups import language, seeds, tables as lookups
 from clinflow.lookups.severity import SEVERITY_WEIGHTS
 from clinflow.operators import cleanse, learning, mapping, medicines, ranking
 from clinflow.plans import scoring
+from clinflow.plans.knowledge import knowledge_lists
 from clinflow.sinks import tables
 from clinflow.sources import matrix
 
@@ -191,9 +192,24 @@ def j3(spark, sf):
     return mapping.fuzzy_levenshtein(entered_norms(spark, sf), lookups.features(spark))
 
 
-@query("j3_fuzzy_ratio")
+# The matching blocks of difflib: the longest common part, first in the name, then in the term; then both sides of it.
+LONGEST_SQL = """list_filter(flatten(list_transform(range(least(length(x), length(y)), 0, -1), lambda k: list_transform(range(1, length(x) - k + 2),
+  lambda i: {'k': k, 'i': i}))), lambda p: contains(y, substr(x, p.i, p.k)))[1]"""
+
+
+@query("j3_fuzzy_ratio", f"""WITH RECURSIVE {b.REQUESTS_SQL.strip()}, {b.FEATURES_SQL}, terms AS (
+  SELECT DISTINCT replace(lower(trim(raw)), ' ', '_') AS norm FROM (SELECT unnest(symptoms) AS raw FROM requests)),
+parts AS (SELECT norm, feature, feature AS x, norm AS y FROM terms, features WHERE norm <> ''
+  UNION ALL SELECT norm, feature, s.x, s.y FROM (SELECT norm, feature, unnest([
+      {{'x': substr(x, 1, p.i - 1), 'y': substr(y, 1, strpos(y, substr(x, p.i, p.k)) - 1)}},
+      {{'x': substr(x, p.i + p.k), 'y': substr(y, strpos(y, substr(x, p.i, p.k)) + p.k)}}]) AS s
+    FROM (SELECT *, {LONGEST_SQL} AS p FROM parts) WHERE p IS NOT NULL) WHERE s.x <> '' AND s.y <> ''),
+ratios AS (SELECT norm, feature, 2.0::DOUBLE * sum(coalesce(p.k, 0)) / (length(norm) + length(feature)) AS score
+  FROM (SELECT *, {LONGEST_SQL} AS p FROM parts) GROUP BY norm, feature),
+best AS (SELECT norm, max((score, feature)) AS top FROM ratios GROUP BY norm HAVING max(score) >= 0.55)
+SELECT norm, top[2] AS feature, {b.rounded('top[1]', 6)} AS score FROM best""")
 def j3_ratio(spark, sf):
-    return mapping.fuzzy_ratio(entered_norms(spark, sf), lookups.features(spark))
+    return mapping.fuzzy_ratio(entered_norms(spark, sf), lookups.features(spark)).withColumn("score", F.round("score", 6))
 
 
 MESSAGE_TEXTS_SQL = "RECURSIVE " + b.MESSAGES_SQL.strip() + f", {b.FEATURES_SQL}, {b.SYNONYMS_SQL}, texts AS (SELECT DISTINCT content AS raw FROM messages)"
@@ -248,7 +264,7 @@ MODEL_SQL = b.SCORES_SQL + f""", model AS (SELECT request_id, disease, {b.rounde
 BLEND_SQL = OVERLAP_SQL + ", " + MODEL_SQL.strip() + f""", both_sides AS (
   SELECT coalesce(o.request_id, m.request_id) AS request_id, coalesce(o.disease, m.disease) AS disease,
     coalesce(o.confidence * 0.7::DOUBLE, 0) + coalesce(m.confidence * 0.3::DOUBLE, 0) AS score, o.pos AS o, m.pos AS m
-  FROM overlap o FULL OUTER JOIN model m ON o.request_id = m.request_id AND o.disease = m.disease),
+  FROM overlap o FULL OUTER JOIN (SELECT * FROM model WHERE request_id IN (SELECT request_id FROM matched WHERE len(matched) > 0)) m ON o.request_id = m.request_id AND o.disease = m.disease),
 ranked AS (SELECT request_id, disease, {b.rounded('score', 4)} AS confidence, score,
   row_number() OVER (PARTITION BY request_id ORDER BY score DESC, o ASC NULLS LAST, m ASC NULLS LAST) AS rank FROM both_sides),
 blend AS (SELECT request_id, disease, confidence, rank FROM ranked WHERE rank <= 3 AND score > 0)"""
@@ -266,8 +282,7 @@ def e4(spark, sf):
 
 @query("j7_blended_ranking", f"WITH {BLEND_SQL} SELECT * FROM blend")
 def j7(spark, sf):
-    overlap = ranking.overlap_scores(matched(spark, sf), lookups.disease_features(spark))
-    return ranking.blend_scores(overlap, ranking.top_probabilities(b.model_scores(spark, sf)))
+    return scoring.blended(matched(spark, sf), lookups.disease_features(spark), b.model_scores(spark, sf))
 
 
 VIGNETTE_SQL = OVERLAP_SQL + ", " + b.SCORES_SQL.strip() + f""", expected AS (SELECT request_id, {b.text(b.DISEASES)}[request_id % {len(b.DISEASES)} + 1] AS name FROM requests),
@@ -351,7 +366,7 @@ LABELS_SQL = """labels_raw AS (SELECT p_partkey, [' ' || p_name || ' ', p_brand]
   CASE WHEN p_size % 2 = 0 THEN [p_name || ' forte', p_type || ' salt'] END AS substance, 'For ' || p_type || ' and ' || p_name || ', see ' || p_brand AS indication FROM part),
 names AS (SELECT p_partkey, indication, list_sort(list_distinct(list_transform(list_concat(brand, generic, coalesce(substance, [])),
   lambda n: array_to_string(list_transform(string_split(trim(n), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')))) AS all_names FROM labels_raw),
-label_names AS (SELECT p_partkey, indication, all_names[1:4] AS names FROM names)"""
+label_names AS (SELECT p_partkey, indication, all_names AS names FROM names)"""
 
 
 def drug_labels(spark, sf):
@@ -374,11 +389,10 @@ def s10(spark, sf):
 
 @query("j12_label_drugs", f"""WITH {LABELS_SQL}, terms AS (
   SELECT p_type AS disease, unnest([p_type || ' and small', 'brand#1', 'ring']) AS term, unnest([0, 1, 2]) AS pos FROM (SELECT DISTINCT p_type FROM part)),
-hit AS (SELECT lower(term) AS t, p_partkey FROM (SELECT DISTINCT term FROM terms WHERE pos < 2), label_names WHERE contains(lower(indication), lower(term))),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p_partkey) AS rn FROM hit) WHERE rn <= 3)
+kept AS (SELECT lower(term) AS t, p_partkey FROM (SELECT DISTINCT term FROM terms), label_names WHERE contains(lower(indication), lower(term)))
 SELECT disease, unnest(names) AS drug_name, 'prescription' AS drug_type, left(indication, 200) AS description, pos AS term_pos,
   p_partkey AS label_pos, unnest(range(0, len(names))) AS name_pos
-FROM kept JOIN terms ON t = lower(term) JOIN label_names USING (p_partkey) WHERE pos < 2""")
+FROM kept JOIN terms ON t = lower(term) JOIN label_names USING (p_partkey)""")
 def j12(spark, sf):
     terms = b.table(spark, sf, "part").select(F.col("p_type").alias("disease")).distinct().select(
         "disease", F.posexplode(F.array(F.concat("disease", F.lit(" and small")), F.lit("brand#1"), F.lit("ring"))).alias("pos", "term")
@@ -397,23 +411,25 @@ sev AS (SELECT request_id, user_id, symptoms, duration_days, age, least(trunc(ba
   * CASE WHEN age > 60 OR age < 5 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END)::INT, 100) AS severity FROM weighted JOIN requests USING (request_id)),
 risk AS (SELECT *, CASE WHEN severity >= 70 THEN 'HIGH' WHEN severity >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM sev),
 lists AS (SELECT request_id, list(disease ORDER BY rank) AS ds, list(confidence ORDER BY rank) AS cs FROM blend GROUP BY 1),
-docs AS (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY 1),
-knowledge AS (SELECT d.disease, text AS content FROM (SELECT *, row_number() OVER (ORDER BY disease) - 1 AS i FROM diseases) d
-  JOIN docs ON source = 'src' || i JOIN documents USING (doc_id)),
+size AS (SELECT count(*) AS n FROM embeddings),
+asked AS (SELECT disease, embedding FROM (SELECT *, row_number() OVER (ORDER BY disease) - 1 AS i FROM diseases), size JOIN embeddings ON vec_id = i % n),
+far AS (SELECT q.disease, i.vec_id, list_sum(list_transform(list_zip(q.embedding, i.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS distance
+  FROM asked q, embeddings i),
+closest AS (SELECT f.disease, d.lang, d.text, row_number() OVER (PARTITION BY f.disease ORDER BY distance, doc_id) AS rank
+  FROM documents d, size JOIN far f ON f.vec_id = d.doc_id % n),
+knowledge AS (SELECT disease, list(coalesce(lang, 'Unknown') ORDER BY rank) AS ks, list(text ORDER BY rank) AS content FROM closest WHERE rank <= 3 GROUP BY 1),
 scored AS (SELECT request_id, user_id, symptoms, severity, risk_level, tests, advice, ds, cs, coalesce(ds[1], 'Unknown') AS top_disease,
-  coalesce(s.otc, {b.text(seeds.DEFAULT_OTC)}) AS otc, coalesce(s.rx, {b.text(seeds.DEFAULT_PRESCRIPTION)}) AS rx, medicine_type, content
+  coalesce(s.otc, {b.text(seeds.DEFAULT_OTC)}) AS otc, coalesce(s.rx, {b.text(seeds.DEFAULT_PRESCRIPTION)}) AS rx, medicine_type, ks, content
   FROM risk JOIN bands USING (risk_level) LEFT JOIN lists USING (request_id)
   LEFT JOIN seed_lists s ON s.disease = coalesce(ds[1], 'Unknown') LEFT JOIN knowledge k ON k.disease = coalesce(ds[1], 'Unknown'))"""
 
 
 def scored(spark, sf):
-    documents = b.table(spark, sf, "documents")
-    first = documents.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    texts = documents.join(first, "doc_id", "left_semi")
-    names = lookups.values_table(spark, ["disease", "source"], [(d, f"src{i}") for i, d in enumerate(sorted(b.DISEASES))])
-    knowledge = texts.join(names, "source").select(
-        "disease", F.array(F.struct("disease", F.col("text").alias("content"))).alias("knowledge")
-    )
+    """Scored requests with the three documents nearest to each disease; a disease asks with a vector of its own."""
+    vectors = b.table(spark, sf, "embeddings")
+    names = lookups.values_table(spark, ["query_id", "i"], [(d, i) for i, d in enumerate(sorted(b.DISEASES))])
+    asked = names.withColumn("vec_id", F.col("i") % vectors.agg(F.count("*")).scalar()).join(vectors, "vec_id")
+    knowledge = knowledge_lists(asked.select("query_id", F.col("embedding").alias("vector")), b.document_chunks(spark, sf))
     held = scoring.Lookups(
         lookups.features(spark), lookups.synonyms(spark), lookups.disease_features(spark), lookups.risk_bands(spark),
         [("static", medicines.tier_lists(lookups.medicines(spark), "pos"))], knowledge,
@@ -430,7 +446,7 @@ def pairs(column):
 
 @query("j11_scored_requests", f"""WITH {SCORED_SQL} SELECT request_id, coalesce({PAIRS}, '') AS predictions, severity, risk_level, tests, advice, top_disease,
   {b.joined('otc')} AS otc, {b.joined('rx')} AS prescription, {b.joined("CASE WHEN medicine_type = 'otc' THEN otc ELSE rx END")} AS recommended,
-  coalesce(top_disease || ':' || content, '') AS knowledge FROM scored""")
+  coalesce(array_to_string(list_transform(range(1, len(content) + 1), lambda i: ks[i] || ':' || content[i]), '|'), '') AS knowledge FROM scored""")
 def j11(spark, sf):
     out = scored(spark, sf)
     return out.select(
@@ -441,7 +457,7 @@ def j11(spark, sf):
 
 
 @query("p10_response", f"""WITH {SCORED_SQL} SELECT request_id, coalesce({PAIRS}, '') AS predictions, severity AS severity_score, risk_level, top_disease AS disease,
-  coalesce(top_disease || ':' || left(content, 300), '') AS knowledge FROM scored""")
+  coalesce(array_to_string(list_transform(range(1, len(content) + 1), lambda i: ks[i] || ':' || left(content[i], 300)), '|'), '') AS knowledge FROM scored""")
 def p10(spark, sf):
     out = scoring.responses(scored(spark, sf))
     return out.select(
@@ -455,7 +471,7 @@ LINES = "array_to_string(list_transform(range(1, len(ds) + 1), lambda i: '  ' ||
 
 @query("f20_advisory_text", f"""WITH {SCORED_SQL} SELECT request_id, array_to_string(['Top predicted conditions:', coalesce({LINES}, ''),
   'Risk level: ' || risk_level || ' (severity score ' || severity || '/100)', 'Advice: ' || advice, 'Knowledge:',
-  coalesce(left(content, 200), 'No additional context.'),
+  coalesce(array_to_string(list_transform(content[1:2], lambda c: left(c, 200)), chr(10)), 'No additional context.'),
   'OTC medicines: ' || CASE WHEN len(otc) > 0 THEN array_to_string(otc[1:3], ', ') ELSE 'see a pharmacist' END,
   'Prescription medicines: ' || CASE WHEN len(rx) > 0 THEN array_to_string(rx[1:2], ', ') ELSE 'consult a doctor' END], chr(10)) AS request_text FROM scored""")
 def f20(spark, sf):
@@ -481,9 +497,9 @@ def k6(spark, sf):
 
 
 @query("k7_topic_records", f"""WITH {b.REQUESTS_SQL} SELECT 'symptom-input' AS topic, user_id::VARCHAR AS key,
-  '{{"request_id":' || request_id || ',"user_id":' || user_id || ',"duration_days":' || duration_days || ',"age":' || age || '}}' AS value FROM requests""")
+  '{{"request_id":' || request_id || ',"user_id":' || user_id || ',"symptoms":' || to_json(symptoms) || ',"duration_days":' || duration_days || ',"age":' || age || '}}' AS value FROM requests""")
 def k7(spark, sf):
-    rows = b.requests(spark, sf).select("request_id", "user_id", "duration_days", "age")
+    rows = b.requests(spark, sf).select("request_id", "user_id", "symptoms", "duration_days", "age")
     return tables.topic_records(rows, "symptom-input", "user_id")
 
 
@@ -517,10 +533,10 @@ def s4(spark, sf):
 
 
 @query("a9_disease_map", f"""WITH {b.REQUESTS_SQL}, {b.FEATURES_SQL}, t AS (
-  SELECT l.top_disease AS disease, replace(lower(trim(raw)), ' ', '_') AS feature FROM (SELECT top_disease, unnest(symptoms) AS raw FROM logs WHERE severity > 40) l)
+  SELECT l.top_disease AS disease, replace(lower(trim(raw)), ' ', '_') AS feature FROM (SELECT top_disease, unnest(symptoms) AS raw FROM logs) l)
 SELECT disease, string_agg(feature, '|' ORDER BY pos) AS features FROM (SELECT DISTINCT disease, feature, pos FROM t JOIN features USING (feature)) GROUP BY 1""")
 def a9(spark, sf):
-    rows = b.logs(spark, sf).filter("severity > 40")
+    rows = b.logs(spark, sf)
     vectors = mapping.feature_vector(rows, seeds.FEATURES)
     wide = vectors.select(*[F.get("vector", F.lit(i)).alias(name) for i, name in enumerate(seeds.FEATURES)], F.col("top_disease").alias("label"))
     return matrix.disease_symptoms(wide).select("disease", b.bar("features").alias("features"))

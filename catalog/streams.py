@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
+from catalog.scoring import OVERLAP_SQL, pairs
 from clinflow import schemas
 from clinflow.lookups import tables as lookups
 from clinflow.operators.medicines import tier_lists
@@ -30,7 +31,10 @@ CHATS = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 
 
 def event_stream(spark, sf):
-    return events.read_table_files(spark, sf, EVENTS, "events.parquet")
+    """The events in four files, one for each micro-batch."""
+    folder = run_dir(spark, "events")
+    b.table(spark, sf, "events").repartition(4, "event_id").write.parquet(folder)
+    return events.read_table_files(spark, folder, EVENTS, files_per_trigger=1)
 
 
 def log_stream(spark, sf):
@@ -43,11 +47,12 @@ def log_stream(spark, sf):
 
 def symptom_topic(spark, sf):
     """Symptom events as JSON text, one in fifty of them cut off."""
-    at = F.expr(f"CAST(event_id % {b.N_TERMS} AS INT)")
+    at = f"CAST((event_id * 7 + i * 11 + event_id DIV 13) % {b.N_TERMS} AS INT)"
+    terms = "array(" + ", ".join("'" + t + "'" for t in b.TERMS) + ")"
     body = F.to_json(F.struct(
         F.col("event_id").cast("string").alias("log_id"), F.col("user_id").cast("string").alias("user_id"),
-        F.array(F.get(F.lit(b.TERMS), at)).alias("symptoms"), F.lit(3).alias("duration"),
-        (F.col("user_id") % 90).cast("int").alias("age"),
+        F.expr(f"transform(sequence(0, CAST(event_id % 5 AS INT)), i -> element_at({terms}, {at} + 1))").alias("symptoms"),
+        F.lit(3).alias("duration"), (F.col("user_id") % 90).cast("int").alias("age"),
     ))
     value = F.when(F.col("event_id") % 50 == 49, F.substring(body, 1, 20)).otherwise(body)
     return event_stream(spark, sf).select(
@@ -55,6 +60,9 @@ def symptom_topic(spark, sf):
     )
 
 
+BODY_SQL = """'{"log_id":"' || log_id || '","user_id":"' || user_id || '","symptoms":' || to_json(symptoms) || ',"duration":3,"age":' || age || '}'"""
+
+
 def lookup_tables(spark):
     return Lookups(
         lookups.features(spark), lookups.synonyms(spark), lookups.disease_features(spark), lookups.risk_bands(spark),
@@ -68,42 +76,47 @@ def scored_stream(spark, sf):
     return out
 
 
-SCORED = "log_id STRING, user_id STRING, severity INT, risk_level STRING"
+SCORED = "log_id STRING, user_id STRING, severity INT, risk_level STRING, predictions ARRAY<STRUCT<disease: STRING, confidence: DOUBLE>>"
 
 
-@query("t1_scoring_stream", f"""WITH {b.WEIGHTS_SQL}, t AS (
-  SELECT event_id, user_id, user_id % 90 AS age, replace(lower(trim({b.text(b.TERMS)}[event_id % {b.N_TERMS} + 1])), ' ', '_') AS symptom FROM events WHERE event_id % 50 <> 49),
-s AS (SELECT event_id::VARCHAR AS log_id, user_id::VARCHAR AS user_id, least(trunc(coalesce(weight, 5) * (1.0::DOUBLE + 3 * 0.1::DOUBLE)
-  * CASE WHEN age > 60 OR age < 5 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END)::INT, 100) AS severity FROM t LEFT JOIN weights USING (symptom))
-SELECT *, 'prediction-result' AS topic, user_id AS key, CASE WHEN severity >= 70 THEN 'HIGH' WHEN severity >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s""")
+@query("t1_scoring_stream", f"""WITH {OVERLAP_SQL}, {b.WEIGHTS_SQL}, base AS (
+  SELECT request_id, sum(coalesce(weight, 5))::INT AS base FROM (SELECT request_id, replace(lower(trim(raw)), ' ', '_') AS symptom
+    FROM (SELECT request_id, unnest(symptoms) AS raw FROM requests)) LEFT JOIN weights USING (symptom) GROUP BY 1),
+s AS (SELECT request_id, user_id, least(trunc(base * (1.0::DOUBLE + 3 * 0.1::DOUBLE)
+  * CASE WHEN age > 60 OR age < 5 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END)::INT, 100) AS severity FROM requests JOIN base USING (request_id)),
+lists AS (SELECT request_id, string_agg(disease || '=' || printf('%.4f', {b.rounded('confidence * 0.7::DOUBLE', 4)}), '|' ORDER BY confidence * 0.7::DOUBLE DESC, pos) AS predictions
+  FROM overlap WHERE pos <= 3 GROUP BY 1)
+SELECT 'prediction-result' AS topic, user_id::VARCHAR AS key, request_id::VARCHAR AS log_id, user_id::VARCHAR AS user_id, severity,
+  CASE WHEN severity >= 70 THEN 'HIGH' WHEN severity >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, coalesce(predictions, '') AS predictions
+FROM s LEFT JOIN lists USING (request_id) WHERE request_id % 50 <> 49""")
 def t1(spark, sf):
     out = scored_stream(spark, sf)
-    return spark.read.parquet(f"{out}/results").select("topic", "key", F.from_json("value", SCORED).alias("v")).select("topic", "key", "v.*")
+    rows = spark.read.parquet(f"{out}/results").select("topic", "key", F.from_json("value", SCORED).alias("v")).select("topic", "key", "v.*")
+    return rows.withColumn("predictions", pairs("predictions"))
 
 
-@query("t1_dead_letters", "SELECT count(*) FILTER (event_id % 50 = 49) AS letters FROM events")
+@query("t1_dead_letters", f"WITH {b.LOGS_SQL} SELECT left({BODY_SQL}, 20) AS value, 'not readable' AS reason FROM logs WHERE log_id % 50 = 49")
 def t1_letters(spark, sf):
-    out = scored_stream(spark, sf)
-    return spark.read.parquet(f"{out}/dead_letters").agg(F.count("*").alias("letters"))
+    return spark.read.parquet(f"{scored_stream(spark, sf)}/dead_letters").select("value", "reason")
 
 
-@query("t2_audit_mirror", "SELECT 'symptom-input' AS type, count(*) AS n FROM events")
+@query("t2_audit_mirror", f"WITH {b.LOGS_SQL} SELECT 'symptom-input' AS type, CASE WHEN log_id % 50 = 49 THEN left({BODY_SQL}, 20) ELSE {BODY_SQL} END AS payload FROM logs")
 def t2(spark, sf):
     out = run_dir(spark, "audit")
     rows = jobs.audit_mirror(symptom_topic(spark, sf), "symptom-input")
     jobs.table_stream(rows, out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.schema("type STRING, payload STRING").parquet(out).groupBy("type").agg(F.count("*").alias("n"))
+    return spark.read.schema("type STRING, payload STRING").parquet(out)
 
 
-@query("t3_topic_routing", "SELECT event_type AS topic, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("t3_topic_routing", "SELECT event_type AS topic, props AS value FROM events WHERE event_type = 'click'")
 def t3(spark, sf):
     out = run_dir(spark, "routed")
     topics = event_stream(spark, sf).select(F.col("event_type").alias("topic"), F.col("props").alias("value"))
     jobs.table_stream(events.of_topic(topics, "click"), out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.schema("topic STRING, value STRING").parquet(out).groupBy("topic").agg(F.count("*").alias("n"))
+    return spark.read.schema("topic STRING, value STRING").parquet(out)
 
 
-@query("s9_event_source", "SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events")
+@query("s9_event_source", "SELECT event_id::VARCHAR AS log_id FROM events")
 def s9(spark, sf):
     folder = run_dir(spark, "lines")
     lines = b.table(spark, sf, "events").select(F.to_json(F.struct(
@@ -113,7 +126,7 @@ def s9(spark, sf):
     stream = events.parse(events.of_topic(events.read_event_files(spark, folder), "symptom-input"), schemas.SYMPTOM_EVENT)
     good, _ = events.good_and_bad(stream)
     jobs.table_stream(good.select("log_id"), out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.schema("log_id STRING").parquet(out).agg(F.count("*").alias("events"), F.count_distinct("log_id").alias("ids"))
+    return spark.read.schema("log_id STRING").parquet(out)
 
 
 @query("t4_chat_memory", """WITH pairs AS (SELECT h.conv_id::VARCHAR AS user_id, h.turn, h.text AS message, a.text AS reply,
@@ -127,10 +140,11 @@ def t4(spark, sf):
     asked = rows.filter("role = 'user'").selectExpr("conv_id", "turn", "text AS message")
     said = rows.filter("role = 'assistant'").selectExpr("conv_id", "turn - 1 AS turn", "text AS reply")
     folder = run_dir(spark, "chats")
+    # Three files, a micro-batch each, with every third turn: later batches bring earlier messages.
     asked.join(said, ["conv_id", "turn"]).selectExpr(
-        "CAST(conv_id AS STRING) AS user_id", "message", "reply", "timestamp_seconds(1704067200 + turn * 60) AS ts"
-    ).write.parquet(folder)
-    stream = events.read_table_files(spark, folder, "user_id STRING, message STRING, reply STRING, ts TIMESTAMP")
+        "CAST(conv_id AS STRING) AS user_id", "message", "reply", "timestamp_seconds(1704067200 + turn * 60) AS ts", "turn"
+    ).repartition(3, "turn").drop("turn").write.parquet(folder)
+    stream = events.read_table_files(spark, folder, "user_id STRING, message STRING, reply STRING, ts TIMESTAMP", files_per_trigger=1)
     out = run_dir(spark, "memory")
 
     def keep(batch, batch_id):
@@ -138,11 +152,13 @@ def t4(spark, sf):
 
     jobs.chat_memory(stream).writeStream.outputMode("update").foreachBatch(keep).option(
         "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/memory").select("user_id", "seq", "role", "content")
+    held = spark.read.parquet(f"{out}/memory")
+    newest = held.groupBy("user_id").agg(F.max("batch_id").alias("batch_id"))
+    return held.join(newest, ["user_id", "batch_id"]).select("user_id", "seq", "role", "content")
 
 
-@query("t5_retrain_triggers", """SELECT count(*) FILTER (event_id % 3 = 0 AND NOT (event_id % 5 = 0)) AS labelled,
-  false AS force FROM events""")
+@query("t5_retrain_triggers", """SELECT i * 50 AS labelled, false AS force
+FROM (SELECT unnest(range(1, count(*) FILTER (event_id % 3 = 0 AND NOT (event_id % 5 = 0)) // 50 + 1)) AS i FROM events)""")
 def t5(spark, sf):
     out = run_dir(spark, "triggers")
     jobs.retrain_triggers(log_stream(spark, sf), out, f"{out}/checkpoint").awaitTermination()

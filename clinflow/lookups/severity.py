@@ -112,9 +112,9 @@ UNKNOWN_WEIGHT = 5
 
 # Lowest score of each band, and what goes with the band.
 RISK_BANDS = [
-    (70, "HIGH", "Complete Blood Count (CBC)|Liver Function Test (LFT)|Chest X-Ray|ECG|Blood Culture",
+    (70, "HIGH", ["Complete Blood Count (CBC)", "Liver Function Test (LFT)", "Chest X-Ray", "ECG", "Blood Culture"],
      "Seek immediate medical attention. Visit a specialist or emergency room.", "prescription"),
-    (40, "MEDIUM", "Basic Blood Test|Urine Analysis",
+    (40, "MEDIUM", ["Basic Blood Test", "Urine Analysis"],
      "Consult a doctor within 24-48 hours. Monitor symptoms closely.", "otc"),
-    (None, "LOW", "", "Rest and stay hydrated. Use OTC medicines if needed.", "otc"),
+    (None, "LOW", [], "Rest and stay hydrated. Use OTC medicines if needed.", "otc"),
 ]

@@ -35,7 +35,7 @@ def risk_bands(spark: SparkSession) -> DataFrame:
     """One row per band, with the upper end of its score range."""
     rows, upper = [], None
     for low, level, tests, advice, kind in severity.RISK_BANDS:
-        rows.append((low, upper, level, tests.split("|") if tests else [""], advice, kind))
+        rows.append((low, upper, level, tests or [""], advice, kind))
         upper = low
     table = values_table(spark, ["min_score", "below_score", "risk_level", "tests", "advice", "medicine_type"], rows)
     return table.withColumn("tests", F.array_remove("tests", ""))

@@ -66,13 +66,12 @@ def prompt_frames(messages: DataFrame, documents: str | None = None, back: int =
     return held.select("user_id", "seq", F.concat(*parts).alias("messages"))
 
 
-def carried_disease(messages: DataFrame, names: DataFrame, back: int = CARRY_TURNS) -> DataFrame:
+def carried_disease(messages: DataFrame, names: DataFrame, back: int = CARRY_TURNS, text: str = "content") -> DataFrame:
     """Adds `carried`, the disease the assistant named last in the messages before.
 
-    `names` has (disease); the message's own disease is in `mentioned`.
+    `names` has (disease); the message's own disease is in `mentioned`. `text` is the column to look in.
     """
-    keyed = messages.withColumn("_key", F.struct("user_id", "seq"))
-    named = longest_name(keyed, names, "content", "disease", "_key", "mentioned").drop("_key")
+    named = longest_name(messages, names, text, "disease", "user_id", "mentioned")
     said = F.when(F.col("role") == "ai", F.col("mentioned"))
     return framed(
         named.withColumn("_said", said), "user_id", "seq", back,
@@ -92,6 +91,13 @@ def document_disease(messages: DataFrame, names: DataFrame) -> DataFrame:
     return messages.join(found.select("_key.user_id", "_key.seq", "from_documents"), ["user_id", "seq"], "left")
 
 
+def in_english(messages: DataFrame, supplied: str | None = None) -> DataFrame:
+    """Adds `language` and `english`, the message in English; `supplied` names a column of translations, null where none."""
+    rows = messages.withColumn("language", lang.detect_language(F.col("content")))
+    given = F.col(supplied) if supplied else None
+    return rows.withColumn("english", lang.translate_to_english(F.col("content"), F.col("language"), given))
+
+
 def triage_routes(messages: DataFrame, guidance: DataFrame, medicines: DataFrame) -> DataFrame:
     """F16: route and reply of each message.
 

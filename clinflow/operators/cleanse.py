@@ -23,11 +23,13 @@ def as_terms(requests: DataFrame, column: str = "symptoms") -> DataFrame:
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Defaults, integer casts and a `reason` (null when valid); the first failing rule wins.
 
-    `duration_days` and `age` may be text. Works on streams as well.
+    `duration_days` and `age` may be text, which must be a whole number, or numbers, which lose their fraction.
+    Works on streams as well.
     """
     requests = as_terms(requests)
     duration, age = F.col("duration_days").cast("string"), F.col("age").cast("string")
-    as_int = lambda value: F.expr(f"try_cast(trim({value}) as int)")
+    texts = {name for name, kind in requests.dtypes if kind == "string"}
+    as_int = lambda name: F.expr(f"try_cast({f'trim({name})' if name in texts else name} as int)")
     bad_number = (duration.isNotNull() & as_int("duration_days").isNull()) | (age.isNotNull() & as_int("age").isNull())
     reason = (
         F.when(bad_number, F.lit("not an integer"))

@@ -6,57 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinflow.functions.text import let
-from clinflow.operators.joining import is_small, lookup_join
 
-LIST_ROWS = 1_000
-GRAM = 4
-NAME_PARTS = 8
 
-
-def contained_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, key: list[str],
-                    rows: int = LIST_ROWS) -> DataFrame:
+def contained_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, key: list[str]) -> DataFrame:
     """(key…, name) for every distinct name that is part of the text; both sides as given, case and all.
 
-    A short list goes along with every row. A longer one is met through the first `GRAM`
-    characters of a name, looked up among the character runs of the text.
+    The names, a vocabulary, go along with every row as one array; texts are searched where they are and
+    never shuffled. Empty and null names are part of no text.
     """
-    listed = names.select(F.col(name)).distinct()
-    if is_small(listed, rows):
-        held = texts.withColumn("_names", listed.agg(F.collect_list(name)).scalar())
-        return held.select(*key, F.explode(F.filter("_names", lambda n: F.contains(F.col(text), n))).alias(name))
-    starts = listed.filter(F.col(name) != "").withColumn("_gram", F.substring(name, 1, GRAM))
-    # Characters are cut once: substrings by position would scan the text again for each.
-    def runs_of(chars, n: int):
-        starts_at = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
-        return F.transform(starts_at, lambda c, at: F.concat(c, *[F.get(chars, at + step) for step in range(1, n)]))
-
-    runs = let(F.split(text, ""), lambda chars: F.array_distinct(
-        F.flatten(F.array(*[runs_of(chars, n) for n in range(1, GRAM + 1)]))
-    ))
-    met = lookup_join(texts.select(*key, F.explode(runs).alias("_gram")), starts, ["_gram"], "inner", spread=key)
-    # The texts come back once per part of their candidate names, not once per candidate.
-    part = F.pmod(F.xxhash64(name), F.lit(NAME_PARTS))
-    listed = met.groupBy(*key, part.alias("_part")).agg(F.collect_set(name).alias("_names"))
-    return texts.select(*key, text).join(listed, key).select(
-        *key, F.explode(F.filter("_names", lambda n: F.contains(F.col(text), n))).alias(name)
-    )
-
-
-def longest_name(texts: DataFrame, names: DataFrame, text: str, name: str, key: str, out: str,
-                 rows: int = LIST_ROWS) -> DataFrame:
+    listed = names.filter(F.col(name) != "").agg(F.array_sort(F.collect_set(name)))
+    held = texts.withColumn("_names", listed.scalar())
+    return held.select(*key, F.explode(F.filter("_names", lambda n: F.contains(F.col(text), n))).alias(name))
+
+
+def longest_name(texts: DataFrame, names: DataFrame, text: str, name: str, key: str, out: str) -> DataFrame:
     """Adds `out`, the longest name contained in the text in any case, or null.
 
-    Equally long names: the alphabetically first.
+    Equally long names: the alphabetically first. Empty and null names are never found. `key` names
+    the rows for callers that need it; no row moves.
     """
-    if is_small(names, rows):
-        entry = F.struct((-F.length(name)).alias("n"), F.col(name).alias("v"), F.lower(name).alias("low"))
-        held = texts.withColumn("_names", names.agg(F.array_sort(F.collect_set(entry))).scalar())
-        hits = let(F.lower(text), lambda low: F.filter("_names", lambda n: F.contains(low, n["low"])))
-        return held.withColumn(out, F.get(hits, F.lit(0))["v"]).drop("_names")
-    lowered = names.select(F.col(name), F.lower(name).alias("_lower"))
-    pairs = contained_pairs(texts.select(key, F.lower(text).alias("_text")), lowered, "_text", "_lower", [key], rows)
-    best = (
-        lookup_join(pairs, lowered, ["_lower"], "inner", spread=[key])
-        .groupBy(key).agg(F.min_by(name, F.struct(-F.length(name), F.col(name))).alias(out))
-    )
-    return texts.join(best, key, "left")
+    entry = F.struct((-F.length(name)).alias("n"), F.col(name).alias("v"), F.lower(name).alias("low"))
+    listed = names.filter(F.col(name) != "").agg(F.array_sort(F.collect_set(entry)))
+    hits = let(F.lower(text), lambda low: F.filter("_names", lambda n: F.contains(low, n["low"])))
+    return texts.withColumn("_names", listed.scalar()).withColumn(out, F.get(hits, F.lit(0))["v"]).drop("_names")

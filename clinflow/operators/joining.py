@@ -5,32 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
-
-
-def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether the table is proven to stay below both bounds. Reads at most `rows + 1` rows."""
-    width = F.length(F.to_json(F.struct(*table.columns)))
-    found = table.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("size")).first()
-    return found.n <= rows and (found.size or 0) <= size
-
-
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], how: str = "left",
-                spread: list[str] | None = None, rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
-    """Join facts to a lookup table.
+                spread: list[str] | None = None, salts: int = 1) -> DataFrame:
+    """Join facts to a lookup table; a plan only, no job.
 
-    The table is broadcast when its size is proven small. Beyond that the facts are spread over
-    `SALTS` parts of every key by a hash of `spread`, and each table row goes to all parts, so a
-    key with a third of all facts is joined by many tasks. `small` carries the result of an
-    earlier check of the same table.
+    The adaptive engine broadcasts a table that turns out to be small, and splits the partitions of a hot
+    key. Where that is not enough, `salts` cuts every key of the facts into that many parts by a
+    hash of `spread`, and each row of the table goes to all parts.
     """
-    if is_small(table, rows) if small is None else small:
-        return facts.join(F.broadcast(table), on, how)
+    if salts <= 1:
+        return facts.join(table, on, how)
     spread = spread or [name for name in facts.columns if name not in on]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

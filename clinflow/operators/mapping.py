@@ -13,12 +13,11 @@ from clinflow.functions.batched import best_ratio
 from clinflow.functions.scoring import severity_score
 from clinflow.functions.text import let, normalise_term, strip
 from clinflow.lookups.severity import UNKNOWN_WEIGHT
-from clinflow.operators.containment import contained_pairs
-from clinflow.operators.joining import SALTS, first, is_small, lookup_join
-from clinflow.session import written
+from clinflow.operators.joining import first, lookup_join
 
 FUZZY_CUTOFF = 0.55
-PHRASE_ROWS = 5_000
+#: Parts of the names of one length, so that a list of candidates stays short.
+PARTS = 32
 
 
 def exploded_terms(requests: DataFrame, key: str = "request_id") -> DataFrame:
@@ -54,13 +53,13 @@ def dictionary(features: DataFrame, synonyms: DataFrame) -> DataFrame:
     return first(exact.unionByName(listed), ["norm"], F.col("stage"))
 
 
-def _stage(terms: DataFrame, meanings: DataFrame, small: bool) -> DataFrame:
+def _stage(terms: DataFrame, meanings: DataFrame) -> DataFrame:
     """Exact, synonym and plural stages: adds stage and features to distinct `norm` terms."""
     norm = F.col("norm")
     single = F.when(norm.endswith("s") & (F.length(norm) > 3), F.rtrim(norm, F.lit("s")))
     plural = meanings.select(F.col("norm").alias("_single"), F.col("features").alias("_plural"))
-    rows = lookup_join(terms.withColumn("_single", single), meanings, ["norm"], small=small)
-    rows = lookup_join(rows, plural, ["_single"], small=small)
+    rows = lookup_join(terms.withColumn("_single", single), meanings, ["norm"])
+    rows = lookup_join(rows, plural, ["_single"])
     return rows.select(
         *terms.columns, F.coalesce("stage", F.when(F.col("_plural").isNotNull(), F.lit("plural"))).alias("stage"),
         F.coalesce("features", "_plural").alias("features"),
@@ -71,7 +70,7 @@ def _by_length(vocabulary: DataFrame) -> DataFrame:
     """Names of one length, in parts of bounded size."""
     return (
         vocabulary.select("feature").distinct()
-        .groupBy(F.length("feature").alias("size"), F.pmod(F.xxhash64("feature"), F.lit(SALTS)).alias("part"))
+        .groupBy(F.length("feature").alias("size"), F.pmod(F.xxhash64("feature"), F.lit(PARTS)).alias("part"))
         .agg(F.array_sort(F.collect_list("feature")).alias("candidates"))
         .drop("part")
     )
@@ -129,19 +128,19 @@ def known_phrases(features: DataFrame, synonyms: DataFrame) -> DataFrame:
     return names.select(F.replace("phrase", F.lit("_"), F.lit(" ")).alias("phrase")).distinct()
 
 
-def extract_phrases(terms: DataFrame, phrases: DataFrame, column: str = "raw", rows: int = PHRASE_ROWS) -> DataFrame:
+def extract_phrases(terms: DataFrame, phrases: DataFrame, column: str = "raw") -> DataFrame:
     """Adds `found`, the phrases pulled out of run-on text, longest first.
 
     Each step takes the longest phrase still contained (equal lengths: alphabetical), puts a
-    blank in its place, collapses blanks, and starts over. A short phrase list goes along with
-    every row; of a longer one, each text only gets the phrases it can contain.
+    blank in its place, collapses blanks, and starts over. The phrases, a vocabulary, go along with every
+    row as one array; a text only keeps those it contains before it starts, as taking a phrase out
+    leaves a blank and so makes no new word.
     """
-    if is_small(phrases, rows):
-        ordered = phrases.agg(_longest_first("phrase").alias("p"))
-        listed = terms.withColumn("_phrases", ordered.scalar())
-    else:
-        listed = _own_phrases(terms, phrases, column)
-    return listed.withColumn("found", _pull(F.lower(strip(column)), F.col("_phrases"))).drop("_phrases")
+    ordered = phrases.filter("phrase <> ''").distinct().agg(_longest_first("phrase").alias("p"))
+    listed = terms.withColumn("_phrases", ordered.scalar())
+    text = F.lower(strip(column))
+    own = F.filter("_phrases", lambda p: F.forall(F.split(p, " "), lambda w: F.contains(text, w)))
+    return listed.withColumn("_phrases", own).withColumn("found", _pull(text, F.col("_phrases"))).drop("_phrases")
 
 
 def _longest_first(phrase: str) -> Column:
@@ -149,23 +148,6 @@ def _longest_first(phrase: str) -> Column:
     return F.transform(order, lambda p: p["phrase"])
 
 
-def _own_phrases(terms: DataFrame, phrases: DataFrame, column: str) -> DataFrame:
-    """Phrases whose longest word is part of the text.
-
-    Taking a phrase out leaves a blank, so the words of any phrase found later were part of the
-    text from the start.
-    """
-    longest = F.array_max(F.transform(F.split("phrase", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = phrases.select("phrase", longest["w"].alias("word"))
-    texts = terms.select(column).distinct().withColumn("_text", F.lower(strip(column)))
-    words = contained_pairs(texts, keyed.select("word").distinct(), "_text", "word", [column], rows=0)
-    own = (
-        lookup_join(words, keyed, ["word"], "inner", spread=[column])
-        .groupBy(column).agg(_longest_first("phrase").alias("_phrases"))
-    )
-    return lookup_join(terms, own, [column])
-
-
 def _pull(start: Column, ordered: Column) -> Column:
     state = F.struct(start.alias("rest"), F.array().cast("array<string>").alias("found"), F.lit(False).alias("done"))
 
@@ -198,9 +180,8 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
     """
     fuzzy = fuzzy_levenshtein if native else fuzzy_ratio
     meanings = dictionary(features, synonyms)
-    small = is_small(meanings)
     keyed = terms.select("raw").distinct().withColumn("norm", normalise_term("raw")).filter(F.col("norm") != "")
-    staged = written(_stage(keyed, meanings, small), "terms")
+    staged = _stage(keyed, meanings)
     open_terms = staged.filter(F.col("stage").isNull()).select("norm").distinct()
     close = fuzzy(open_terms, features, cutoff).select("norm", F.col("feature").alias("_close"))
     direct = staged.join(close, "norm", "left").select(
@@ -212,7 +193,7 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
     # A known phrase is a feature or a listed synonym by construction.
     found = pulled.select("raw", F.explode("found").alias("phrase")).withColumn("norm", normalise_term("phrase"))
     extracted = (
-        lookup_join(found, meanings.select("norm", F.col("features").alias("_features")), ["norm"], spread=["raw"], small=small)
+        lookup_join(found, meanings.select("norm", F.col("features").alias("_features")), ["norm"], spread=["raw"])
         .groupBy("raw")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_features")))).alias("_pulled"))
     )
@@ -228,7 +209,7 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
 def map_symptoms(requests: DataFrame, features: DataFrame, synonyms: DataFrame, key: str = "request_id",
                  cutoff: float = FUZZY_CUTOFF, native: bool = False) -> DataFrame:
     """(key, matched): sorted distinct features per request; requests without any get an empty list."""
-    resolved = written(resolve_terms(exploded_terms(requests, key), features, synonyms, cutoff, native), "resolved")
+    resolved = resolve_terms(exploded_terms(requests, key), features, synonyms, cutoff, native)
     # Outer: a request without terms keeps a row, so no join back to the requests is needed.
     terms = requests.select(key, F.explode_outer("symptoms").alias("raw"))
     return lookup_join(terms, resolved.select("raw", "features"), ["raw"], "left", spread=[key]).groupBy(key).agg(

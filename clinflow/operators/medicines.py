@@ -12,10 +12,6 @@ from clinflow.lookups.seeds import DEFAULT_OTC, DEFAULT_PRESCRIPTION
 from clinflow.operators.containment import contained_pairs
 from clinflow.operators.joining import first, lookup_join, top_rows
 
-TERMS_PER_DISEASE = 2
-LABELS_PER_TERM = 3
-NAMES_PER_LABEL = 4
-
 
 def tier_lists(drugs: DataFrame, order: str) -> DataFrame:
     """(disease, otc, rx): both lists of a drug table in `order`, each name once.
@@ -55,8 +51,8 @@ def suggest_medicines(requests: DataFrame, tiers: list[tuple[str, DataFrame]], l
     )
 
 
-def label_names(labels: DataFrame) -> DataFrame:
-    """Adds `names` (sorted, distinct, at most four) and `description` to drug labels.
+def label_names(labels: DataFrame, names_per_label: int | None = None) -> DataFrame:
+    """Adds `names` (sorted, distinct; the first `names_per_label`, by default all) and `description` to drug labels.
 
     `labels` has openfda struct arrays brand_name, generic_name and substance_name, and
     indications_and_usage.
@@ -65,22 +61,25 @@ def label_names(labels: DataFrame) -> DataFrame:
     parts = [F.coalesce(F.col(f"openfda.{name}"), none) for name in ("brand_name", "generic_name", "substance_name")]
     names = F.array_sort(F.array_distinct(F.transform(F.concat(*parts), lambda n: F.initcap(strip(n)))))
     indication = F.coalesce(F.get("indications_and_usage", F.lit(0)), F.lit(""))
-    return labels.withColumn("names", F.slice(names, 1, NAMES_PER_LABEL)).withColumn(
+    kept = names if names_per_label is None else F.slice(names, 1, names_per_label)
+    return labels.withColumn("names", kept).withColumn(
         "description", F.substring(indication, 1, 200)
     ).withColumn("indication", indication)
 
 
-def label_drugs(labels: DataFrame, terms: DataFrame, order: str) -> DataFrame:
+def label_drugs(labels: DataFrame, terms: DataFrame, order: str, terms_per_disease: int | None = None,
+                labels_per_term: int | None = None) -> DataFrame:
     """Drug rows of labels whose indication contains a search term of a disease.
 
-    `labels` comes from `label_names`; `terms` has (disease, term, pos). First two terms per
-    disease, first three labels (by `order`) per term, all names of `label_names`.
+    `labels` comes from `label_names`; `terms` has (disease, term, pos). All terms of a disease and
+    all labels of a term by default; `terms_per_disease` and `labels_per_term` (by `order`) keep the first ones.
     """
-    used = terms.filter(F.col("pos") < TERMS_PER_DISEASE).withColumn("_term", F.lower("term"))
+    few = terms if terms_per_disease is None else terms.filter(F.col("pos") < terms_per_disease)
+    used = few.withColumn("_term", F.lower("term"))
     texts = labels.select(F.col(order).alias("_label"), F.lower("indication").alias("_text"))
     pairs = contained_pairs(texts, used.select("_term"), "_text", "_term", ["_label"])
     # A common term may sit in most labels: its first labels are limited before the shuffle.
-    kept = top_rows(pairs, ["_term"], [F.asc("_label")], LABELS_PER_TERM)
+    kept = pairs if labels_per_term is None else top_rows(pairs, ["_term"], [F.asc("_label")], labels_per_term)
     chosen = kept.join(used, "_term").join(
         labels.select(F.col(order).alias("_label"), "names", "description"), "_label"
     )

@@ -6,60 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinflow.functions.scoring import f1_score
-from clinflow.functions.text import let
-from clinflow.operators.joining import is_small, lookup_join, top_rows
+from clinflow.operators.joining import lookup_join, top_rows
 
 OVERLAP_SHARE = 0.7
 MODEL_SHARE = 0.3
 SCORER_TOP = 10
-LIST_ROWS = 500
 
 
 def overlap_scores(matched: DataFrame, diseases: DataFrame, key: str = "request_id", top: int | None = SCORER_TOP,
-                   places: int | None = 4, rows: int = LIST_ROWS) -> DataFrame:
+                   places: int | None = 4, salts: int = 1) -> DataFrame:
     """(key, disease, confidence, overlap, pos) of diseases that share features with the request.
 
     `matched` has (key, matched array), one row per request; `diseases` has (disease, features array).
-    A short disease list goes along with every row, and a request is scored without any shuffle.
-    A longer one is joined by feature.
+    Both meet by feature, so a request only sees diseases that share one. Rows that repeat a disease
+    are one disease with the features of all.
     """
-    if is_small(diseases, rows):
-        return _scored_in_row(matched, diseases, key, top, places)
-    return _scored_by_feature(matched, diseases, key, top, places)
-
-
-def _scored_in_row(matched: DataFrame, diseases: DataFrame, key: str, top: int | None, places: int | None) -> DataFrame:
-    listed = diseases.agg(F.collect_list(F.struct("disease", F.array_distinct("features").alias("features"))))
-    held = matched.select(key, F.array_distinct("matched").alias("_wanted"), listed.scalar().alias("_diseases"))
-
-    def scored(wanted: Column) -> Column:
-        shared = F.filter(
-            F.transform("_diseases", lambda d: F.struct(
-                F.size(F.array_intersect(wanted, d["features"])).cast("long").alias("n"), F.size(d["features"]).alias("known"),
-                d["disease"].alias("disease"),
-            )),
-            lambda d: d["n"] > 0,
-        )
-        return F.array_sort(F.transform(shared, lambda d: F.struct(
-            (-f1_score(d["n"], F.size(wanted), d["known"], places)).alias("order"), (-d["n"]).alias("n"), d["disease"].alias("disease"),
-        )))
-
-    ranked = let(F.col("_wanted"), scored)
-    kept = ranked if top is None else F.slice(ranked, 1, top)
-    rows = held.select(key, F.posexplode(kept).alias("at", "_s"))
-    columns = [key, F.col("_s.disease"), (-F.col("_s.order")).alias("confidence"), (-F.col("_s.n")).alias("overlap")]
-    return rows.select(*columns) if top is None else rows.select(*columns, (F.col("at") + 1).alias("pos"))
-
-
-def _scored_by_feature(matched: DataFrame, diseases: DataFrame, key: str, top: int | None, places: int | None) -> DataFrame:
     wanted = matched.select(
         key, F.size(F.array_distinct("matched")).alias("wanted"), F.explode(F.array_distinct("matched")).alias("feature")
     )
-    known = diseases.select(
-        "disease", F.size(F.array_distinct("features")).alias("known"), F.explode(F.array_distinct("features")).alias("feature")
-    )
+    whole = diseases.select("disease", F.explode("features").alias("feature")).groupBy("disease").agg(
+        F.collect_set("feature").alias("features"))
+    known = whole.select("disease", F.size("features").alias("known"), F.explode("features").alias("feature"))
     shared = (
-        lookup_join(wanted, known, ["feature"], "inner", spread=[key])
+        lookup_join(wanted, known, ["feature"], "inner", spread=[key], salts=salts)
         .groupBy(key, "disease")
         .agg(F.count("*").alias("overlap"), F.first("wanted").alias("wanted"), F.first("known").alias("known"))
     )

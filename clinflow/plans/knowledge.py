@@ -21,7 +21,12 @@ def disease_knowledge(diseases: DataFrame, model: PipelineModel, chunks: DataFra
     asked = diseases.select("disease").distinct().select(
         F.col("disease").alias("query_id"), F.format_string(QUESTION, "disease").alias("content")
     )
-    found = retrieve(embed(model, asked).select("query_id", "vector"), chunks, k, **sizes)
+    return knowledge_lists(embed(model, asked).select("query_id", "vector"), chunks, k, **sizes)
+
+
+def knowledge_lists(asked: DataFrame, chunks: DataFrame, k: int = 3, **sizes: int) -> DataFrame:
+    """(disease, knowledge) for (query_id, vector) of diseases: their k nearest chunks, best first."""
+    found = retrieve(asked, chunks, k, **sizes)
     best = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "disease", "content"))).alias("r"))
     return best.select(
         F.col("query_id").alias("disease"),

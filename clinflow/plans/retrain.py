@@ -31,10 +31,10 @@ def original_matrix(matrix: DataFrame, features: list[str], key: str) -> DataFra
 
 
 def retrain(logs: DataFrame, original: DataFrame | None, features: list[str], classes: DataFrame, base: str,
-            version: str, as_of: Column, estimator=None, kind: str = "forest", force: bool = False) -> tuple[DataFrame, DataFrame]:
+            version: str, as_of: Column, estimator=None, kind: str = "boosted", force: bool = False) -> tuple[DataFrame, DataFrame]:
     """One status row, and the logs with the used samples marked (only when deployed).
 
-    `original` comes from `original_matrix`, `base` is the model folder. Only single gate rows
+    Without an `estimator` boosted trees are trained. `original` comes from `original_matrix`, `base` is the model folder. Only single gate rows
     reach the driver; the training rows are written once to the shared folder.
     """
     spark: SparkSession = logs.sparkSession
@@ -57,7 +57,7 @@ def retrain(logs: DataFrame, original: DataFrame | None, features: list[str], cl
         return status("error", "insufficient class diversity"), logs
     table = models.vector_from_array(rows, "vector")
     train, test = table.filter("not is_test"), table.filter("is_test")
-    model = models.fit(train, estimator or models.forest())
+    model = models.fit(train, estimator or models.boosted())
     current = tables.load_current(spark, base)
     old = models.predictions(current, test) if current else None
     result = learning.ab_gate(old, models.predictions(model, test), force=force).first()

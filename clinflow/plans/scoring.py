@@ -37,13 +37,20 @@ def with_severity(requests: DataFrame, bands: DataFrame, weights: dict[str, int]
 
 def predictions(requests: DataFrame, lookups: Lookups, model_scores: DataFrame | None = None, top: int = 3,
                 native: bool = False) -> DataFrame:
-    """J2 → J6 (+ E4) → J7: ranked conditions per request."""
-    matched = mapping.map_symptoms(requests, lookups.features, lookups.synonyms, native=native)
-    overlap = ranking.overlap_scores(matched.filter(F.size("matched") > 0), lookups.diseases)
+    """J2 → J6 (+ E4) → J7: ranked conditions per request; a request that matches no feature has none."""
+    matched = mapping.map_symptoms(requests, lookups.features, lookups.synonyms, native=native).filter(F.size("matched") > 0)
+    return blended(matched, lookups.diseases, model_scores, top)
+
+
+def blended(matched: DataFrame, diseases: DataFrame, model_scores: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """J6 (+ E4) → J7 of (request_id, matched). The model only speaks for requests with a matched feature."""
+    matched = matched.filter(F.size("matched") > 0)
+    overlap = ranking.overlap_scores(matched, diseases)
     if model_scores is None:
         none = overlap.limit(0).select("request_id", "disease", "confidence", "pos")
         return ranking.blend_scores(overlap, none, top=top)
-    return ranking.blend_scores(overlap, ranking.top_probabilities(model_scores), top=top)
+    asked = model_scores.join(matched.select("request_id"), "request_id", "left_semi")
+    return ranking.blend_scores(overlap, ranking.top_probabilities(asked), top=top)
 
 
 def score_requests(requests: DataFrame, lookups: Lookups, model_scores: DataFrame | None = None,

@@ -53,8 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused folder below the application's part of the shared folder."""
+    return os.path.join(work_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder, with all its work tables."""
+    return os.path.join(shared_dir(spark), f"work-{spark.sparkContext.applicationId}")
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work tables of this application: for jobs that have written their results."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _work: ContextVar[str | None] = ContextVar("work", default=None)

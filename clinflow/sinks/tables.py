@@ -94,6 +94,17 @@ def topic_records(rows: DataFrame, topic: str, key: str | None = None) -> DataFr
     return rows.select(F.lit(topic).alias("topic"), name.alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
+def publish(records: DataFrame, form: str = "kafka", **options: str):
+    """K7: send `topic_records` to the topics that their rows name.
+
+    A batch is written at once; a stream gives its started query, for which `checkpointLocation` is needed. The
+    options are those of the sink, such as `kafka.bootstrap.servers`.
+    """
+    if records.isStreaming:
+        return records.writeStream.format(form).options(**options).start()
+    return records.write.format(form).options(**options).mode("append").save()
+
+
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Rows of one micro-batch in a part of their own: a repeated batch replaces itself."""
     rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(

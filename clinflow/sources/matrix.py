@@ -44,9 +44,13 @@ def first_matrix(spark: SparkSession, paths: list[str], features: list[str]) ->
     """The first file that exists and has a label, aligned; None if there is none."""
     for path in paths:
         try:
-            return align_matrix(read_matrix(spark, path), features)
-        except (AnalysisException, ValueError):
+            table = read_matrix(spark, path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
+        if any("prognosis" in name or "disease" in name for name in clean_header(table.columns)):
+            return align_matrix(table, features)
     return None
 
 

@@ -8,7 +8,6 @@ leaves no doubled rows.
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +21,7 @@ from clinflow.operators.cleanse import split_valid, validate_requests
 from clinflow.operators.learning import MIN_SAMPLES, new_samples
 from clinflow.operators.trends import windowed_trend
 from clinflow.plans.scoring import Lookups, score_requests
-from clinflow.session import send_by_value, work_in
+from clinflow.session import send_by_value
 from clinflow.sinks.tables import topic_records, write_batch
 from clinflow.sources.events import good_and_bad, parse
 
@@ -64,12 +63,13 @@ def scoring_stream(events: DataFrame, lookups: Lookups, out: str, checkpoint: st
     """T1 + T2: scores, audit rows and dead letters of each micro-batch below `out`."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
-        with work_in(f"{out}/work"):
+        try:
             results, audit, letters = score_batch(held, lookups, native)
             write_batch(results, f"{out}/results", batch_id)
             write_batch(audit, f"{out}/audit", batch_id)
             write_batch(letters, f"{out}/dead_letters", batch_id)
-        held.unpersist()
+        finally:
+            held.unpersist()
 
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})
@@ -91,20 +91,17 @@ def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     if state.hasTimedOut:
         state.remove()
         return
-    held = deque(json.loads(state.get[0]) if state.exists else [], maxlen=HISTORY)
-    new: list[tuple] = []
+    # The state holds (milliseconds, message, reply), so that a late exchange finds its place.
+    held = [tuple(entry) for entry in json.loads(state.get[0])] if state.exists else []
     for rows in batches:
+        at = [int(pd.Timestamp(ts).timestamp() * 1000) for ts in rows["ts"]]
         # Only the newest exchanges can stay; older ones of a large group are dropped batch by batch.
-        new += list(rows[["ts", "message", "reply"]].itertuples(index=False, name=None))
-        new = sorted(new, key=lambda row: row[0])[-(HISTORY // 2):]
-    for _, message, reply in new:
-        held.append(["human", message])
-        held.append(["ai", reply])
-    state.update((json.dumps(list(held)),))
-    newest = max(int(pd.Timestamp(ts).timestamp() * 1000) for ts, _, _ in new)
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + HISTORY_MS)
+        held = sorted([*held, *zip(at, rows["message"], rows["reply"])], key=lambda row: row[0])[-(HISTORY // 2):]
+    state.update((json.dumps(held),))
+    state.setTimeoutTimestamp(max(held[-1][0], state.getCurrentWatermarkMs()) + HISTORY_MS)
+    said = [(role, text) for _, message, reply in held for role, text in (("human", message), ("ai", reply))]
     yield pd.DataFrame(
-        [(key[0], at, role, content) for at, (role, content) in enumerate(held)],
+        [(key[0], at, role, content) for at, (role, content) in enumerate(said)],
         columns=["user_id", "seq", "role", "content"],
     )
 
@@ -112,7 +109,7 @@ def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def chat_memory(chats: DataFrame, late: str = "1 hour") -> DataFrame:
     """T4: the last 20 messages per user as keyed state, forgotten 24 hours (of event time) after the last.
 
-    Emits the whole memory of a user whenever it changes. Rows of a user arrive in Arrow batches,
+    Emits the whole memory of a user, in the order of event time, whenever it changes. Rows of a user arrive in Arrow batches,
     of which only the last ten exchanges are kept at any time.
     """
     timed = chats.select("user_id", "ts", "message", "reply").withWatermark("ts", late)
@@ -122,19 +119,22 @@ def chat_memory(chats: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def retrain_triggers(logs: DataFrame, out: str, checkpoint: str, least: int = MIN_SAMPLES, **trigger) -> StreamingQuery:
-    """T5: one trigger row each time another `least` new labelled logs have come in.
+    """T5: a trigger row for every further `least` new labelled logs; `labelled` is the total that fires it.
 
-    Counts per micro-batch are kept as a small table; a repeated batch replaces its own count.
+    The running total is kept with its micro-batch, one row each: a repeated batch replaces its own total and
+    triggers. The last total is the largest one of earlier batches.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(new_samples(batch).agg(F.count("*").alias("n")), f"{out}/counts", batch_id)
-        sums = spark.read.parquet(f"{out}/counts").agg(
-            F.coalesce(F.sum(F.when(F.col("batch_id") < batch_id, F.col("n"))), F.lit(0)).alias("before"),
-            F.sum(F.when(F.col("batch_id") <= batch_id, F.col("n"))).alias("now"),
-        )
-        fired = sums.filter(F.floor(F.col("now") / least) > F.floor(F.col("before") / least))
-        write_batch(fired.select(F.lit(False).alias("force"), F.col("now").alias("labelled")), f"{out}/triggers", batch_id)
+        before = 0
+        if batch_id:
+            totals = spark.read.schema("total BIGINT, batch_id BIGINT").parquet(f"{out}/totals")
+            before = totals.filter(F.col("batch_id") < batch_id).agg(F.max("total")).first()[0] or 0
+        now = before + new_samples(batch).count()
+        write_batch(spark.range(1).select(F.lit(now).cast("long").alias("total")), f"{out}/totals", batch_id)
+        fired = spark.range(before // least + 1, now // least + 1).select(
+            F.lit(False).alias("force"), (F.col("id") * least).alias("labelled"))
+        write_batch(fired, f"{out}/triggers", batch_id)
 
     return logs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})

@@ -20,11 +20,12 @@ def test_qa_csv(spark, tmp_path):
 def test_json_corpora(spark, tmp_path):
     path = tmp_path / "a.json"
     path.write_text(json.dumps([{"title": "T" * 130, "content": " text ", "pubid": "7"}, {"content": "  "}, {"content": "c"}]))
-    records = corpus.read_json_records(spark, str(path))
+    records = corpus.read_json_records(spark, str(path), "array")
     got = {r.content: (r.disease, r.meta["pubid"]) for r in corpus.article_documents(records).collect()}
     assert got == {"text": ("T" * 120, "7"), "c": ("General", "")}
-    assert corpus.article_documents(records.withColumn("at", F.monotonically_increasing_id()), "at", 2).count() == 1
     assert corpus.read_json_records(spark, str(tmp_path / "none.json")).count() == 0
+    records.coalesce(1).write.json(str(tmp_path / "lines"))
+    assert sorted(map(repr, corpus.read_json_records(spark, str(tmp_path / "lines")).collect())) == sorted(map(repr, records.collect()))
     assert [r.disease for r in corpus.flashcard_documents(records).collect()] == ["General Medical"] * 2
 
 
@@ -113,3 +114,25 @@ def test_matrix(spark, tmp_path):
 def test_failed_part_is_left_out(spark, tmp_path):
     out = corpus.union_readable([lambda: spark.range(2), lambda: spark.read.parquet(str(tmp_path / "none"))])
     assert out.count() == 2
+
+
+def test_links_as_a_browser_reads_them(rows):
+    html = """<a href='/a/x'>1</a><a class=k href=b/x?q=1&amp;r=2>2</a><A HREF = "../x">3</A><a href="./c/../x#f">4</a><a data-href="/no/x">5</a>
+      <a title="a > b" href="&#47;e&#x2F;x">6</a><a href=" /pad/x ">7</a><a href="?x">8</a><a href="mailto:x@y">9</a><abbr href="/no/x">"""
+    pages = rows("url STRING, html STRING", ("http://h/one/two?z", html))
+    assert {r.link for r in corpus.page_links(pages, "x").collect()} == {
+        "http://h/a/x", "http://h/one/b/x?q=1&r=2", "http://h/x", "http://h/one/x#f", "http://h/e/x", "http://h/pad/x", "http://h/one/two?x", "mailto:x@y"}
+
+
+def test_text_keeps_comparisons_and_all_signs(rows):
+    html = "<p class='a>b'>5 < 6 and a > b</p><!-- <p>no</p> --><p>&copy; &middot; &eacute; &#233; &#xE9; &amp;lt; &bogus; R&D &#128512;</p>"
+    got = rows("html STRING", (html,)).select(corpus.visible_text(F.col("html")).alias("t")).first().t
+    assert got == "5 < 6 and a > b © · é é é &lt; &bogus; R&D \U0001F600"
+
+
+def test_a_mistyped_column_is_not_a_missing_corpus(spark, rows):
+    from pyspark.errors import AnalysisException
+    import pytest
+
+    with pytest.raises(AnalysisException):
+        corpus.union_readable([lambda: rows("a INT", (1,)).select("b")])

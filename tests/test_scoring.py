@@ -92,9 +92,9 @@ def test_phrase_order_for_short_and_long_lists(spark, rows):
         "High fever  severe headache joint pain skin rash": ["severe headache", "high fever", "joint pain", "skin rash"],
         "nothing": [], "": [], "skin skin rash rash": ["skin rash", "skin rash"], "coughcough": ["cough", "cough"],
     }
-    for limit in (5_000, 1):
-        out = mapping.extract_phrases(texts, phrases, rows=limit)
-        assert {r.raw: r.found for r in out.collect()} == want, limit
+    assert {r.raw: r.found for r in mapping.extract_phrases(texts, phrases).collect()} == want
+    many = phrases.unionByName(spark.range(6_000).selectExpr("concat('unheard of phrase ', id) AS phrase"))
+    assert {r.raw: r.found for r in mapping.extract_phrases(texts, many).collect()} == want
 
 
 def test_fuzzy_matches_brute_force(spark, rows):
@@ -116,7 +116,7 @@ def test_lookup_join_past_the_broadcast_bound(spark):
     facts = spark.range(10_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     table = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("left", "inner", "left_semi", "left_anti"):
-        wide = joining.lookup_join(facts, table, ["k"], how, spread=["id"], rows=5)
+        wide = joining.lookup_join(facts, table, ["k"], how, spread=["id"], salts=5)
         near = joining.lookup_join(facts, table, ["k"], how)
         assert sorted(map(tuple, wide.select(*near.columns).collect()), key=repr) == sorted(map(tuple, near.collect()), key=repr)
 
@@ -125,8 +125,10 @@ def test_overlap_and_blend(spark, rows):
     matched = rows("request_id INT, matched ARRAY<STRING>", (1, ["a", "b"]), (2, ["z"]), (3, ["a"]))
     diseases = rows("disease STRING, features ARRAY<STRING>", ("D1", ["a", "b"]), ("D2", ["a", "c", "d"]), ("D3", ["q"]))
     overlap = ranking.overlap_scores(matched, diseases)
-    by_feature = ranking.overlap_scores(matched, diseases, rows=1)
-    assert sorted(map(tuple, overlap.collect())) == sorted(map(tuple, by_feature.collect()))
+    salted = ranking.overlap_scores(matched, diseases, salts=4)
+    assert sorted(map(tuple, overlap.collect())) == sorted(map(tuple, salted.collect()))
+    twice = ranking.overlap_scores(matched, diseases.unionByName(rows("disease STRING, features ARRAY<STRING>", ("D1", ["a"]))))
+    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, overlap.collect()))
     assert {(r.request_id, r.disease): (r.confidence, r.overlap, r.pos) for r in overlap.collect()} == {
         (1, "D1"): (1.0, 2, 1), (1, "D2"): (0.4, 1, 2), (3, "D1"): (0.6667, 1, 1), (3, "D2"): (0.5, 1, 2)}
     model = ranking.top_probabilities(rows("request_id INT, disease STRING, probability DOUBLE",
@@ -159,3 +161,36 @@ def test_whole_scoring(spark, rows):
     assert got[2].top_disease == "Unknown" and got[2].predictions == []
     assert responses(scored).count() == 2
     assert "1. Malaria" in {r.request_id: r.request_text for r in advisory_requests(scored).collect()}[1]
+
+
+def test_numbers_lose_their_fraction_but_texts_must_be_whole(rows):
+    from clinflow.operators.cleanse import validate_requests
+
+    numbers = rows("symptoms ARRAY<STRING>, duration_days DOUBLE, age DOUBLE", (["a"], 2.7, 40.0), (["a"], None, None))
+    assert [(r.duration_days, r.age, r.reason) for r in validate_requests(numbers).collect()] == [(2, 40, None), (1, 30, None)]
+    texts = rows("symptoms ARRAY<STRING>, duration_days STRING, age STRING", (["a"], "2.7", "40"))
+    assert validate_requests(texts).first().reason == "not an integer"
+
+
+def test_the_model_is_silent_for_unmatched_requests(spark, rows):
+    lookups = Lookups(tables.features(spark), tables.synonyms(spark), tables.disease_features(spark), tables.risk_bands(spark),
+                      [("static", medicines.tier_lists(tables.medicines(spark), "pos"))])
+    requests = rows("request_id INT, user_id STRING, symptoms ARRAY<STRING>, duration_days INT, age INT",
+                    (1, "u", ["fever"], 2, 30), (2, "u", ["hair fall"], 1, 30))
+    model = rows("request_id INT, disease STRING, probability DOUBLE", (1, "Dengue", 0.9), (2, "Dengue", 0.9))
+    got = {r.request_id: r for r in score_requests(requests, lookups, model).collect()}
+    assert "Dengue" in [p.disease for p in got[1].predictions]
+    assert got[2].predictions == [] and got[2].top_disease == "Unknown"
+
+
+def test_plans_run_no_job_while_they_are_built(spark, rows):
+    requests = rows("request_id INT, user_id STRING, symptoms ARRAY<STRING>, duration_days INT, age INT", (1, "u", ["fever"], 2, 30))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no job")
+    try:
+        lookups = Lookups(tables.features(spark), tables.synonyms(spark), tables.disease_features(spark), tables.risk_bands(spark),
+                          [("static", medicines.tier_lists(tables.medicines(spark), "pos"))])
+        score_requests(requests, lookups, rows("request_id INT, disease STRING, probability DOUBLE", (1, "Dengue", 0.9)))
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

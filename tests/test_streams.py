@@ -109,7 +109,7 @@ def test_trend_alerts_and_triggers(spark, rows, tmp_path):
     alerts = [r.log_id for r in spark.read.parquet(str(tmp_path / "a")).collect()]
     assert len(alerts) == len(set(alerts)) == logs.filter("risk_level = 'HIGH'").select("log_id").distinct().count()
     jobs.retrain_triggers(stream(), str(tmp_path / "r"), str(tmp_path / "rc")).awaitTermination()
-    assert [r.labelled for r in spark.read.parquet(str(tmp_path / "r") + "/triggers").collect()] == [120]
+    assert [r.labelled for r in spark.read.parquet(str(tmp_path / "r") + "/triggers").collect()] == [50, 100]
 
 
 def test_schemas_parse(spark):
