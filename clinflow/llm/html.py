@@ -38,7 +38,7 @@ CONTAINERS = frozenset("article body center div main section table tbody td tr b
 #: An open element of the second set ends when one of the first begins.
 ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
-FAR = 0.9
+FAR = 0.8
 SEMANTIC = 1.5
 DIGITS = re.compile(r"\d+")
 WORDS = re.compile(r"[a-z]+")

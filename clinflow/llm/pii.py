@@ -29,7 +29,7 @@ ISLAND = re.compile(r"[^\s]*[0-9@][^\s]*(?:[ \t][^\s]*[0-9@][^\s]*)*")
 ATOM = re.compile(r"[0-9A-Za-z]+|\s+|.", re.S)
 KEY = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Za-z]{16,}")
 #: Islands that the field is fitted on at most, chosen by a hash of their text.
-SAMPLE_ISLANDS = 800
+SAMPLE_ISLANDS = 500
 EPOCHS = 5
 RATE = 0.3
 #: A span is added if its score is so much above that of its atoms outside spans.
@@ -111,6 +111,8 @@ def segment_features(atoms: list[str], shapes: list[str], first: int, last: int,
         "any", f"n{last - first}", f"shape {pattern}", f"kinds {''.join(sorted(set(pattern)))}",
         f"digits {min(len(digits), 20)}", f"letters {min(letters // 4, 6)}", f"edge {pattern[0]}{pattern[-1]}", f"out {left}{right}",
     ]
+    if digits and not letters:
+        out.append(f"dial {9 <= len(digits) <= 15}")
     if "@" in text:
         out.append(f"at {text.count('@')} {'.' in text.rpartition('@')[2]}")
     if 12 <= len(digits) <= 19 and not letters:
@@ -229,8 +231,15 @@ def seeds(island: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def side_by_side(left: tuple, right: tuple) -> tuple:
+    """One lesson from two: the atoms of both with a space between."""
+    at = len(left[0]) + 1
+    gold = left[2] | {(at - 1, at): 0} | {(first + at, last + at): kind for (first, last), kind in right[2].items()}
+    return [*left[0], " ", *right[0]], left[1], gold
+
+
 def fitted(sample: list[tuple[str, str]]) -> Field:
-    """The field of (island, word before), in the order given."""
+    """The field of (island, word before), in the order given; neighbours are also shown as one island."""
     field, squares = Field(), {}
     lessons = []
     for island, before in sample:
@@ -238,6 +247,7 @@ def fitted(sample: list[tuple[str, str]]) -> Field:
         gold = gold_segments(atoms, seeds(island)) if len(atoms) <= 64 else None
         if gold is not None:
             lessons.append((atoms, before, gold))
+    lessons += [side_by_side(a, b) for a, b in zip(lessons, lessons[1:]) if len(a[0]) + len(b[0]) < 64]
     for _ in range(EPOCHS):
         for atoms, before, gold in lessons:
             field.step(atoms, before, gold, squares)

@@ -25,7 +25,7 @@ def test_text_without_containers_is_kept():
 
 def test_hosts_agree_on_a_path(spark):
     shell = "<html><body><div class='story-{0}'><p>{1}</p></div><div class='extra'><p>{2}</p></div></body></html>"
-    rows = [(i, f"https://user@Site.example.com:80/p{i}?q", shell.format(i, f"main {i} " * 20, "extra words " * 5)) for i in range(20)]
+    rows = [(i, f"https://user@Site.example.com:80/p{i}?q", shell.format(i, f"main {i} " * 20, "extra words " * 2)) for i in range(20)]
     rows.append((20, "http://site.example.com/odd", shell.format(20, "short", "a long extra block " * 30)))  # outvoted by its host
     rows.append((21, "http://other.example.com/odd", shell.format(21, "short", "a long extra block " * 30)))
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
