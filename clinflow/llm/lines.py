@@ -1,11 +1,10 @@
 """Fuzzy duplicates of lines by MinHash of their character shingles."""
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from clinflow.llm.common import bound_batches, keep_matching, table
 from clinflow.llm.hashing import band_keys, blocks, char_shingles, mix
@@ -16,7 +15,7 @@ send_by_value(__name__)
 
 WIDTH = 5
 LEAST = 0.8
-BANDS, ROWS = 14, 5
+BANDS, ROWS = 16, 6
 #: Bits of a node that hold the number of the line in its document.
 LINE = 2**31
 
@@ -57,20 +56,13 @@ def node(doc_id: str = "doc_id", line: str = "line"):
     return (F.col(doc_id).cast("decimal(19,0)") * F.lit(LINE).cast("decimal(10,0)") + F.col(line)).cast("decimal(31,0)")
 
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, first, second, bands): two hashes of the line, and the band keys of its signature."""
-    bound_batches(docs.sparkSession)
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = list(batch.text)
-            for start, stop in blocks(texts):
-                signatures = min_hash(*char_shingles(texts[start:stop], WIDTH), stop - start, BANDS * ROWS)
-                found = list(band_keys(signatures, BANDS, ROWS))
-                yield batch.iloc[start:stop][["doc_id", "line", "first", "second"]].assign(bands=found)
-
-    sent = lines_of(docs).withColumn("first", F.xxhash64("text")).withColumn("second", F.xxhash64(F.lit("again"), "text"))
-    return sent.mapInPandas(keys, "doc_id long, line int, first long, second long, bands array<long>")
+@F.pandas_udf(ArrayType(LongType()))
+def line_bands(lines: pd.Series) -> pd.Series:
+    """The band keys of the signature of each line."""
+    texts, found = list(lines), []
+    for start, stop in blocks(texts):
+        found += list(band_keys(min_hash(*char_shingles(texts[start:stop], WIDTH), stop - start, BANDS * ROWS), BANDS, ROWS))
+    return pd.Series(found, dtype=object)
 
 
 def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -78,15 +70,17 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     Lines are sets of runs of five characters; two are near duplicates from a Jaccard of `least` on.
     A class is a connected component, and its id is the `node` number of its first line. Equal lines are one
-    item from the beginning. Candidates share one of 14 bands of 5 values each, which misses a pair at 0.8
-    with a chance of 4 in 1,000, and every candidate is checked exactly. A line of fewer than five characters
+    item from the beginning. Candidates share one of 16 bands of 6 values each, which misses a pair at 0.8
+    with a chance of 8 in 1,000, and every candidate is checked exactly. A line of fewer than five characters
     is one shingle, so it is near only to an equal line.
 
     Null and empty texts have no lines. Rows without doc_id are not in the result; rows that repeat a
     doc_id and a line number are linked. An empty table gives no rows. Other columns are not read.
     """
-    signatures = written(signed_lines(docs), "line-signatures")
-    items = signatures.groupBy("first", "second").agg(F.min(node()).alias("node"), F.any_value("bands").alias("bands"))
+    bound_batches(docs.sparkSession)
+    hashed = lines_of(docs).withColumn("first", F.xxhash64("text")).withColumn("second", F.xxhash64(F.lit("again"), "text"))
+    different = hashed.groupBy("first", "second").agg(F.min(node()).alias("node"), F.any_value("text").alias("text"))
+    items = written(different.select("first", "second", "node", line_bands("text").alias("bands")), "line-items")
     nodes = items.groupBy("node").agg(F.flatten(F.collect_set("bands")).alias("bands"))
 
     def fetch(needed: DataFrame) -> DataFrame:
@@ -97,7 +91,7 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     roots = classes(nodes, fetch, char_shingles, WIDTH, least, False, "lines")
     placed = items.select("first", "second", "node").join(roots, "node", "left").select(
         "first", "second", F.coalesce("root", "node").alias("class_id"))
-    return signatures.drop("bands").join(placed, ["first", "second"]).drop("first", "second")
+    return hashed.drop("text").join(placed, ["first", "second"]).drop("first", "second")
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
