@@ -3,6 +3,7 @@
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,16 @@ FILE_OPTIONS = {
 }
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in turn from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+BYTES = byte_characters()
+
+
 class Encoder:
     """Encodes texts word by word and remembers the words.
 
@@ -45,35 +56,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {mark: self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in (".", ",")}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.cores: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        for k, word in enumerate(words, len(self.known)):
-            self.known[word] = k
-        self.ids = np.concatenate([self.ids, *(np.array(x, np.int32) for x in found)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
+        """Ids of new words. Latin letters, with a full stop or comma after them or not, go straight to the model:
+        the steps before it only put them in lower case, cut the mark off and write their bytes as characters."""
+        found: list[list[int] | None] = []
+        others = []
+        tokenize, cores, marks = self.tokenizer.model.tokenize, self.cores, self.marks
+        for word in words:
+            after = marks.get(word[-1:])
+            core = word[:-1] if after else word
+            if core.isalpha() and (core.isascii() or max(core) < "\u0180" and "\u0130" not in core):
+                core = core.lower()
+                ids = cores.get(core)
+                if ids is None:
+                    shown = core if core.isascii() else "".join([BYTES[b] for b in core.encode()])
+                    ids = cores[core] = [t.id for t in tokenize(shown)]
+                found.append(ids + after if after else ids)
+            else:
+                others.append(len(found))
+                found.append(None)
+        for k, e in zip(others, self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False)):
+            found[k] = e.ids
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        self.ids = np.concatenate([self.ids, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, each with the end id after it, and where each text ends."""
         split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        words = list(chain.from_iterable(split))
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        known = self.known
-        new = {word for words in split for word in words if word not in known}
+        known = self.known.get
+        at = np.array([known(word, -1) for word in words], np.int64)
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            self.learn(list(new))
-        lengths = np.diff(self.first)
-        at = np.fromiter((known[word] for words in split for word in words), np.int64)
-        size = lengths[at]
+            self.learn(list(dict.fromkeys([words[k] for k in new])))
+            known = self.known.get
+            at[new] = [known(words[k]) for k in new]
+        size = np.diff(self.first)[at]
         sums = np.concatenate(([0], np.cumsum(size)))
         places = np.arange(sums[-1]) + np.repeat(self.first[at] - sums[:-1], size)
-        ends = sums[np.cumsum([len(words) for words in split])] if split else np.zeros(0, np.int64)
+        ends = sums[np.cumsum([len(part) for part in split])] if split else np.zeros(0, np.int64)
         return np.insert(self.ids[places], ends, END_ID), ends + np.arange(1, len(ends) + 1)
 
 
