@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clinflow.llm.common import bound_batches, partitions_of, prefix_sums, table
 from clinflow.llm.hashing import blocks
-from clinflow.session import run_dir, send_by_value
+from clinflow.session import run_dir, send_by_value, written
 
 send_by_value(__name__)
 
@@ -165,7 +165,8 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame
 
     if ids:
         bound_batches(spark)
-        placed = placed.mapInArrow(checksums, "doc_id long, n_tokens long, file string, row long, ids_crc32 long")
+        sums = placed.mapInArrow(checksums, "doc_id long, n_tokens long, file string, row long, ids_crc32 long")
+        placed = written(sums, "token-sums")  # narrow rows: what comes next reads its input twice
     else:
         placed = placed.drop("tokens")
     return prefix_sums(placed, ["file", "row"], "n_tokens", "token-starts").withColumnRenamed("before", "start").drop(
