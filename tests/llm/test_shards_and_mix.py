@@ -1,5 +1,6 @@
 import math
 import zlib
+from fractions import Fraction
 
 import pytest
 from clinflow.llm import mixing, sharding
@@ -86,3 +87,34 @@ def test_null_source_is_its_own(documents):
 def test_quanta_hold_any_number_of_sources(names):
     slots = mixing.quanta({f"s{i}": i for i in range(names)}, 64) if names else {}
     assert len(slots) == names and all(n >= 1 for n in slots.values())
+
+
+def test_prefixes_of_many_periods_hold_the_true_weights():
+    weights = {f"s{i:03}": 1.0 + i % 7 / 3 for i in range(199)} | {"heavy": 110.0}
+    total = sum(map(Fraction, weights.values()))
+    shares, rest = mixing.whole_shares(weights)
+    names, taken = list(shares), dict.fromkeys(weights, 0)
+    assert not rest
+    for n, (k, j, slot) in enumerate(mixing.dealt(list(shares.values()), [10**9] * len(names)), 1):
+        assert slot == n - 1 and j == taken[names[k]]
+        taken[names[k]] += 1
+        if n % 997 == 0 or n < 100:
+            assert all(abs(taken[name] - Fraction(weights[name]) / total * n) < 1 for name in names)
+        if n == 12 * mixing.PERIOD:
+            break
+
+
+def test_mix_holds_a_heavy_source_among_many(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 50)  # many tasks deal
+    rows = [(i, "x" * 99, "heavy" if i < 2000 else f"s{i % 40}") for i in range(2800)] + [(2800 + i, "x" * 99, "none") for i in range(5)]
+    weights = {f"s{i}": 1.0 for i in range(40)} | {"heavy": 40.0}
+    found = mixing.scheduled(documents(*rows), weights, block_bytes=100).collect()
+    assert sorted(r.doc_id for r in found) == list(range(2805))
+    found.sort(key=lambda r: r._slot)
+    assert len({r._slot for r in found}) == 2805 and {r._source for r in found[-5:]} == {"=none"}
+    counts = {}
+    for n, r in enumerate(found[:1600], 1):  # until the light sources are used up
+        assert r._slot == n - 1
+        counts[r._source] = counts.get(r._source, 0) + 1
+        assert abs(counts.get("=heavy", 0) - n / 2) < 1
+        assert all(abs(counts.get(f"=s{i}", 0) - n / 80) < 1 for i in range(40))
