@@ -65,3 +65,18 @@ def test_odd_rows(spark, odd, documents):
     assert decontam.without_leaks(odd, items).columns == odd.columns
     assert decontam.contaminated(odd, items.limit(0)).where("contaminated").count() == 0
     assert decontam.contaminated(documents(), items).count() == 0
+
+
+def test_short_items_are_found(spark, documents):
+    items = ["What is the capital of Peru?", "2 + 2 = ?", "art", "  ", "秘鲁的首都", "Why?"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = {
+        "He asked: what is  the capital of Peru? Lima": [(0, 0)], "what is the capitol of Peru?": [(0, 1)], "what is a capitel of Peru?": [],
+        "so 2 + 2 = ? is easy": [(1, 0)], "12 + 2 = ?": [], "a party": [], "party art": [(2, 0)], "ART": [(2, 0)], "art2": [], "(art)": [(2, 0)],
+        "请问秘鲁的首都是哪里": [(4, 0)], "Why? Because": [(5, 0)], "why not": [], " ": [],
+    }
+    docs = documents(*texts)
+    found = [list(zip(r.items, r.edits)) for r in decontam.contaminated(docs, table).orderBy("doc_id").collect()]
+    assert found == list(texts.values())
+    kept = [r.text for r in decontam.without_leaks(docs, table).orderBy("doc_id").collect()]
+    assert kept == [text for text, hits in texts.items() if not hits]
