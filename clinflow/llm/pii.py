@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinflow.llm.common import bound_batches, packed, table
-from clinflow.session import send_by_value
+from clinflow.session import send_by_value, written
 
 send_by_value(__name__)
 
@@ -25,11 +25,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Atoms of a segment at most; islands of text around digits and @ are cut in atoms.
 LONGEST = 16
+#: Atoms of an island that the field learns from at most.
+LESSON_ATOMS = 64
 ISLAND = re.compile(r"[^\s]*[0-9@][^\s]*(?:[ \t][^\s]*[0-9@][^\s]*)*")
 ATOM = re.compile(r"[0-9A-Za-z]+|\s+|.", re.S)
 KEY = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Za-z]{16,}")
-#: Islands that the field is fitted on at most, chosen by a hash of their text.
-SAMPLE_ISLANDS = 500
+#: Islands of each seeded kind, and of none, that the field is fitted on at most, chosen by a hash of their text.
+SAMPLE_ISLANDS = 150
 EPOCHS = 5
 RATE = 0.3
 #: A span is added if its score is so much above that of its atoms outside spans.
@@ -231,6 +233,19 @@ def seeds(island: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def lesson(island: str, before: str) -> tuple | None:
+    """(atoms, word before, gold segmentation) of an island that the field can learn from."""
+    atoms = ATOM.findall(island)
+    gold = gold_segments(atoms, seeds(island)) if len(atoms) <= LESSON_ATOMS else None
+    return None if gold is None else (atoms, before, gold)
+
+
+def kinds_of(island: str) -> list[int]:
+    """The kinds of an island's seeds, 0 for one without; none for an island that is no lesson."""
+    learned = lesson(island, "")
+    return [] if learned is None else sorted(set(learned[2].values()) - {0}) or [0]
+
+
 def side_by_side(left: tuple, right: tuple) -> tuple:
     """One lesson from two: the atoms of both with a space between."""
     at = len(left[0]) + 1
@@ -241,13 +256,8 @@ def side_by_side(left: tuple, right: tuple) -> tuple:
 def fitted(sample: list[tuple[str, str]]) -> Field:
     """The field of (island, word before), in the order given; neighbours are also shown as one island."""
     field, squares = Field(), {}
-    lessons = []
-    for island, before in sample:
-        atoms = ATOM.findall(island)
-        gold = gold_segments(atoms, seeds(island)) if len(atoms) <= 64 else None
-        if gold is not None:
-            lessons.append((atoms, before, gold))
-    lessons += [side_by_side(a, b) for a, b in zip(lessons, lessons[1:]) if len(a[0]) + len(b[0]) < 64]
+    lessons = [x for x in (lesson(island, before) for island, before in sample) if x is not None]
+    lessons += [side_by_side(a, b) for a, b in zip(lessons, lessons[1:]) if len(a[0]) + len(b[0]) < LESSON_ATOMS]
     for _ in range(EPOCHS):
         for atoms, before, gold in lessons:
             field.step(atoms, before, gold, squares)
@@ -269,16 +279,31 @@ def added_spans(field: Field, text: str, base: list[tuple[int, int, int]]) -> li
 
 
 def sampled(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most `SAMPLE_ISLANDS` different islands of the corpus, those of the least hashes."""
+    """At most `SAMPLE_ISLANDS` different islands of the corpus of each kind in `KINDS`, those of the least hashes.
+
+    An island is of all kinds that its seeds have, or of the kind `other` if it has none. Only islands that
+    can be lessons are counted, so every kind that the corpus has usable examples of is learned,
+    whatever else the corpus holds.
+    """
 
     @F.pandas_udf("array<struct<island: string, before: string>>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"island": x, "before": y} for _, x, y in islands(text)] for text in texts])
 
+    @F.pandas_udf("array<int>")
+    def kinds(found: pd.Series) -> pd.Series:
+        return pd.Series([kinds_of(island) for island in found])
+
     marked = docs.select("text").where(F.col("text").rlike("[0-9@]"))
     rows = marked.select(F.explode(cut("text")).alias("x")).select("x.*").distinct()
-    chosen = rows.orderBy(F.xxhash64("island", "before"), "island", "before").limit(SAMPLE_ISLANDS)
-    return [(r.island, r.before) for r in chosen.collect()]
+    hashed = rows.select(F.xxhash64("island", "before").alias("h"), "island", "before", F.explode(kinds("island")).alias("kind"))
+    hashed = written(hashed, "pii-islands")
+    chosen = [hashed.where(F.col("kind") == k).orderBy("h", "island", "before").limit(SAMPLE_ISLANDS) for k in range(len(KINDS))]
+    every = chosen[0]
+    for part in chosen[1:]:
+        every = every.unionByName(part)
+    found = sorted({(r.h, r.island, r.before) for r in every.collect()})  # at most SAMPLE_ISLANDS of each kind
+    return [(island, before) for _, island, before in found]
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -287,7 +312,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     Base spans are the leftmost matches of each kind that don't overlap, checked by length, range or Luhn.
     The field reads islands of words with a digit or an @: every segment of up to 16 atoms has features of the
     whole segment, and one dynamic program chooses boundaries and kinds together. It is fitted by likelihood on at
-    most `SAMPLE_ISLANDS` islands of the corpus, whose labels are the base patterns and long mixed keys, and adds
+    most `SAMPLE_ISLANDS` islands of each kind in the corpus, and as many without one, whose labels are the base patterns and long mixed keys, and adds
     spans that overlap no base span: telephone numbers with digits after them, cards and addresses in other
     forms, and keys, as kind `secret`.
 
