@@ -15,7 +15,7 @@ send_by_value(__name__)
 
 WIDTH = 5
 LEAST = 0.8
-BANDS, ROWS = 16, 6
+BANDS, ROWS = 20, 5
 #: Bits of a node that hold the number of the line in its document.
 LINE = 2**31
 
@@ -70,8 +70,8 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     Lines are sets of runs of five characters; two are near duplicates from a Jaccard of `least` on.
     A class is a connected component, and its id is the `node` number of its first line. Equal lines are one
-    item from the beginning. Candidates share one of 16 bands of 6 values each, which misses a pair at 0.8
-    with a chance of 8 in 1,000, and every candidate is checked exactly. A line of fewer than five characters
+    item from the beginning. Candidates share one of 20 bands of 5 values each, which misses a pair at 0.8
+    with a chance of 4 in 10,000, and every candidate is checked exactly. A line of fewer than five characters
     is one shingle, so it is near only to an equal line.
 
     Null and empty texts have no lines. Rows without doc_id are not in the result; rows that repeat a

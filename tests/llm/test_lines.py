@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 from clinflow.llm import lines
+from clinflow.llm.hashing import band_keys
 
 
 def bag(line):
@@ -76,3 +78,15 @@ def test_odd_rows(odd, documents):
     assert sorted(r.doc_id for r in found) == [1, 2, 3, 4, 5, 6]
     assert {r.doc_id: r.n_lines for r in found if r.doc_id != 5} == {1: 0, 2: 0, 3: 0, 4: 2, 6: 1}
     assert lines.deduplicated(documents()).count() == 0
+
+
+@pytest.mark.parametrize("shingles", [18, 36, 72])
+def test_bands_miss_few_pairs_at_the_threshold(shingles):
+    rng, n = np.random.default_rng(1), 20_000
+    shared = shingles * 8 // 9  # of each side's shingles, so that the Jaccard is 0.8
+    own = shingles - shared
+    hashes = rng.integers(0, 2**63, (n, shared + 2 * own)).astype(np.uint64)
+    sides = hashes[:, :shingles], np.concatenate([hashes[:, :shared], hashes[:, shingles:]], axis=1)
+    left, right = (band_keys(lines.min_hash(np.repeat(np.arange(n), shingles), x.ravel(), n, lines.BANDS * lines.ROWS), lines.BANDS, lines.ROWS)
+                   for x in sides)
+    assert 1 - (left == right).any(axis=1).mean() < 0.002
