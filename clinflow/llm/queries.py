@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from clinflow.llm.conversations import CONVERSATION_REPAIR_SQL, op13_conversation_repair
 from clinflow.llm.decontam import op4_decontamination
 from clinflow.llm.html import op10_html_text
 from clinflow.llm.lines import op7_line_dedup
@@ -15,6 +16,6 @@ from clinflow.llm.tokens import op2_token_ids
 from clinflow.llm.toxicity import op8_toxicity
 
 OPERATORS = [op1_sharding, op2_token_ids, op3_quality, op4_decontamination, op5_pii, op6_mixing, op7_line_dedup, op8_toxicity,
-             op9_near_dups, op10_html_text]
+             op9_near_dups, op10_html_text, op13_conversation_repair]
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in OPERATORS}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_conversation_repair": CONVERSATION_REPAIR_SQL}
