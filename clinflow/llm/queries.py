@@ -15,8 +15,9 @@ from clinflow.llm.quality import op3_quality
 from clinflow.llm.sharding import op1_sharding
 from clinflow.llm.tokens import op2_token_ids
 from clinflow.llm.toxicity import op8_toxicity
+from clinflow.llm.whitening import op11_embedding_whitening
 
 OPERATORS = [op1_sharding, op2_token_ids, op3_quality, op4_decontamination, op5_pii, op6_mixing, op7_line_dedup, op8_toxicity,
-             op9_near_dups, op10_html_text, op12_license_scan, op13_conversation_repair]
+             op9_near_dups, op10_html_text, op11_embedding_whitening, op12_license_scan, op13_conversation_repair]
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {"op13_conversation_repair": CONVERSATION_REPAIR_SQL}
