@@ -179,7 +179,7 @@ def mentioned_sql(column: str) -> str:
 @query("j9_disease_in_text", f"WITH {b.MESSAGES_SQL}, {NAMES_SQL} SELECT user_id, seq, {mentioned_sql('content')} AS mentioned FROM messages")
 def j9(spark, sf):
     rows = b.messages(spark, sf).withColumn("key", F.struct(*KEY))
-    return longest_name(rows, lookups.medicines(spark), "content", "disease", "key", "mentioned").select(*KEY, "mentioned")
+    return longest_name(rows, lookups.medicines(spark), "content", "disease", "mentioned").select(*KEY, "mentioned")
 
 
 @query("j9_longest_word_in_documents", """WITH names AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark),
@@ -187,7 +187,7 @@ hit AS (SELECT doc_id, w FROM documents, names WHERE w <> '' AND contains(lower(
 SELECT doc_id, w FROM documents LEFT JOIN (SELECT doc_id, min_by(w, (-length(w), w)) AS w FROM hit GROUP BY 1) USING (doc_id)""")
 def j9_documents(spark, sf):
     names = b.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).filter("w <> ''").distinct()
-    return longest_name(b.table(spark, sf, "documents"), names, "text", "w", "doc_id", "w").select("doc_id", "w")
+    return longest_name(b.table(spark, sf, "documents"), names, "text", "w", "w").select("doc_id", "w")
 
 
 CARRIED_SQL = ENGLISH_SQL + f""", {NAMES_SQL}, named AS (SELECT *, {mentioned_sql('content')} AS mentioned FROM english),

@@ -71,7 +71,7 @@ def carried_disease(messages: DataFrame, names: DataFrame, back: int = CARRY_TUR
 
     `names` has (disease); the message's own disease is in `mentioned`. `text` is the column to look in.
     """
-    named = longest_name(messages, names, text, "disease", "user_id", "mentioned")
+    named = longest_name(messages, names, text, "disease", "mentioned")
     said = F.when(F.col("role") == "ai", F.col("mentioned"))
     return framed(
         named.withColumn("_said", said), "user_id", "seq", back,
@@ -86,7 +86,7 @@ def document_disease(messages: DataFrame, names: DataFrame) -> DataFrame:
     """
     open_rows = messages.filter(F.col("mentioned").isNull() & F.col("carried").isNull())
     texts = open_rows.select(F.struct("user_id", "seq").alias("_key"), F.posexplode("documents").alias("_at", "_text"))
-    named = longest_name(texts.withColumn("_id", F.struct("_key", "_at")), names, "_text", "disease", "_id", "_name")
+    named = longest_name(texts, names, "_text", "disease", "_name")
     found = named.filter(F.col("_name").isNotNull()).groupBy("_key").agg(F.min_by("_name", "_at").alias("from_documents"))
     return messages.join(found.select("_key.user_id", "_key.seq", "from_documents"), ["user_id", "seq"], "left")
 

@@ -13,6 +13,7 @@ from clinflow.functions.batched import best_ratio
 from clinflow.functions.scoring import severity_score
 from clinflow.functions.text import let, normalise_term, strip
 from clinflow.lookups.severity import UNKNOWN_WEIGHT
+from clinflow.operators.containment import possible
 from clinflow.operators.joining import first, lookup_join
 
 FUZZY_CUTOFF = 0.55
@@ -76,50 +77,50 @@ def _by_length(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(terms: DataFrame, vocabulary: DataFrame, shortest: Column, longest: Column) -> DataFrame:
-    """Each term with the candidate lists of every length that can still reach the cutoff."""
-    sizes = F.sequence(F.greatest(shortest, F.lit(1)), F.greatest(longest, F.lit(1)))
-    sized = terms.select("*", F.explode(sizes).alias("size"))
-    return lookup_join(sized, _by_length(vocabulary), ["size"], "inner", spread=["norm"]).drop("size")
+def _levenshtein_best(cutoff: float) -> Column:
+    """The best of `candidates` by 1 - distance / longer length, as (score, feature); null below the cutoff."""
+    alike = F.array_max(F.transform("candidates", lambda name: F.struct(
+        (F.lit(1.0) - F.levenshtein("_open", name) / F.greatest(F.length("_open"), F.length(name))).alias("score"),
+        name.alias("feature"),
+    )))
+    return F.when(alike["score"] >= cutoff, alike)
 
 
-def fuzzy_ratio(terms: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """Best feature per distinct `norm` by matching-block ratio; (norm, feature, score).
+def _ratio_best(cutoff: float) -> Column:
+    found = best_ratio(cutoff)(F.coalesce("_open", F.lit("")), F.coalesce("candidates", F.array().cast("array<string>")))
+    return F.when(found["feature"].isNotNull(), F.struct(found["score"].alias("score"), found["feature"].alias("feature")))
+
+
+def _closest(rows: DataFrame, key: list[str], vocabulary: DataFrame, cutoff: float, native: bool) -> DataFrame:
+    """(key…, _close, _score): the best name of the vocabulary for the text in `_open`, null where it is null or nothing is close.
 
-    The ratio 2m/(a+b) can reach the cutoff only for lengths between cutoff/(2-cutoff) and
-    (2-cutoff)/cutoff times the term's, so terms meet names by length instead of all names.
+    A cutoff bounds the lengths that can reach it: for 1 - distance / longer length the shorter is at least `cutoff` of the longer; for
+    2m / (a + b) it is cutoff / (2 - cutoff). So texts meet names by length. Rows are one chain: each keeps a row, whatever it meets.
     """
-    share = cutoff / (2 - cutoff)
-    size = F.length("norm")
-    pairs = _candidates(
-        terms.select("norm"), vocabulary,
-        F.ceil(size * F.lit(share) - F.lit(1e-9)).cast("int"), F.floor(size / F.lit(share) + F.lit(1e-9)).cast("int"),
-    )
-    scored = pairs.select("norm", best_ratio(cutoff)("norm", "candidates").alias("best"))
-    return (
-        scored.filter(F.col("best.feature").isNotNull())
-        .groupBy("norm").agg(F.max(F.struct("best.score", "best.feature")).alias("top"))
-        .select("norm", "top.feature", "top.score")
-    )
+    share = cutoff if native else cutoff / (2 - cutoff)
+    size = F.length("_open")
+    shortest = F.greatest(F.ceil(size * F.lit(share) - F.lit(1e-9)).cast("int"), F.lit(1))
+    longest = F.greatest(F.floor(size / F.lit(share) + F.lit(1e-9)).cast("int"), F.lit(1))
+    sized = rows.select(*key, "_open", F.explode_outer(F.when(size > 0, F.sequence(shortest, longest))).alias("size"))
+    pairs = lookup_join(sized, _by_length(vocabulary), ["size"], "left", spread=["_open"])
+    best = (_levenshtein_best if native else _ratio_best)(cutoff)
+    top = pairs.select(*key, best.alias("_best")).groupBy(*key).agg(F.max("_best").alias("_top"))
+    return top.select(*key, F.col("_top.feature").alias("_close"), F.col("_top.score").alias("_score"))
+
+
+def _fuzzy(terms: DataFrame, vocabulary: DataFrame, cutoff: float, native: bool) -> DataFrame:
+    found = _closest(terms.select("norm", F.col("norm").alias("_open")), ["norm"], vocabulary, cutoff, native)
+    return found.filter(F.col("_close").isNotNull()).select("norm", F.col("_close").alias("feature"), F.col("_score").alias("score"))
+
+
+def fuzzy_ratio(terms: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+    """Best feature per distinct `norm` by matching-block ratio; (norm, feature, score)."""
+    return _fuzzy(terms, vocabulary, cutoff, False)
 
 
 def fuzzy_levenshtein(terms: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """J3 without Python: similarity 1 - distance / longer length; ties to the larger name."""
-    size = F.length("norm")
-    pairs = _candidates(
-        terms.select("norm"), vocabulary,
-        F.ceil(size * F.lit(cutoff) - F.lit(1e-9)).cast("int"), F.floor(size / F.lit(cutoff) + F.lit(1e-9)).cast("int"),
-    )
-    alike = F.array_max(F.transform("candidates", lambda name: F.struct(
-        (F.lit(1.0) - F.levenshtein("norm", name) / F.greatest(F.length("norm"), F.length(name))).alias("score"),
-        name.alias("feature"),
-    )))
-    return (
-        pairs.select("norm", alike.alias("best"))
-        .groupBy("norm").agg(F.max("best").alias("top"))
-        .filter(F.col("top.score") >= cutoff)
-        .select("norm", "top.feature", F.round("top.score", 4).alias("score"))
-    )
+    return _fuzzy(terms, vocabulary, cutoff, True).withColumn("score", F.round("score", 4))
 
 
 def known_phrases(features: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -128,24 +129,16 @@ def known_phrases(features: DataFrame, synonyms: DataFrame) -> DataFrame:
     return names.select(F.replace("phrase", F.lit("_"), F.lit(" ")).alias("phrase")).distinct()
 
 
-def extract_phrases(terms: DataFrame, phrases: DataFrame, column: str = "raw") -> DataFrame:
+def extract_phrases(terms: DataFrame, phrases: DataFrame, column: str = "raw", key: str | None = None) -> DataFrame:
     """Adds `found`, the phrases pulled out of run-on text, longest first.
 
     Each step takes the longest phrase still contained (equal lengths: alphabetical), puts a
-    blank in its place, collapses blanks, and starts over. The phrases, a vocabulary, go along with every
-    row as one array; a text only keeps those it contains before it starts, as taking a phrase out
-    leaves a blank and so makes no new word.
+    blank in its place, collapses blanks, and starts over. Taking a phrase out leaves a blank and so makes no new word: only
+    phrases whose words are all part of the text are tried, which one pass with an automaton of the words finds.
     """
-    ordered = phrases.filter("phrase <> ''").distinct().agg(_longest_first("phrase").alias("p"))
-    listed = terms.withColumn("_phrases", ordered.scalar())
     text = F.lower(strip(column))
-    own = F.filter("_phrases", lambda p: F.forall(F.split(p, " "), lambda w: F.contains(text, w)))
-    return listed.withColumn("_phrases", own).withColumn("found", _pull(text, F.col("_phrases"))).drop("_phrases")
-
-
-def _longest_first(phrase: str) -> Column:
-    order = F.array_sort(F.collect_list(F.struct((-F.length(phrase)).alias("size"), F.col(phrase).alias("phrase"))))
-    return F.transform(order, lambda p: p["phrase"])
+    listed = possible(terms, phrases, text, "phrase", "_phrases", key or column)
+    return listed.withColumn("found", _pull(text, F.col("_phrases"))).drop("_phrases")
 
 
 def _pull(start: Column, ordered: Column) -> Column:
@@ -163,7 +156,7 @@ def _pull(start: Column, ordered: Column) -> Column:
 
     # Each step takes out at least one character or ends the search.
     steps = F.sequence(F.lit(1), F.greatest(F.length(start), F.lit(1)))
-    return F.when(ordered.isNull(), state["found"]).otherwise(F.aggregate(steps, state, step, lambda acc: acc["found"]))
+    return F.when(F.size(ordered) == 0, state["found"]).otherwise(F.aggregate(steps, state, step, lambda acc: acc["found"]))
 
 
 def _first_as_blank(text: Column, part: Column) -> Column:
@@ -178,31 +171,28 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
     Stages in order: exact, synonym, plural, fuzzy, extracted, unmatched; the first hit stops.
     Phrases pulled out of run-on text go through the first four stages again.
     """
-    fuzzy = fuzzy_levenshtein if native else fuzzy_ratio
     meanings = dictionary(features, synonyms)
     keyed = terms.select("raw").distinct().withColumn("norm", normalise_term("raw")).filter(F.col("norm") != "")
     staged = _stage(keyed, meanings)
-    open_terms = staged.filter(F.col("stage").isNull()).select("norm").distinct()
-    close = fuzzy(open_terms, features, cutoff).select("norm", F.col("feature").alias("_close"))
-    direct = staged.join(close, "norm", "left").select(
-        "raw", "norm",
-        F.coalesce("stage", F.when(F.col("_close").isNotNull(), F.lit("fuzzy"))).alias("stage"),
+    open_norm = F.when(F.col("stage").isNull(), F.col("norm"))
+    close = _closest(staged.withColumn("_open", open_norm), ["raw", "norm", "stage", "features"], features, cutoff, native)
+    direct = close.select(
+        "raw", F.coalesce("stage", F.when(F.col("_close").isNotNull(), F.lit("fuzzy"))).alias("stage"),
         F.coalesce("features", F.when(F.col("_close").isNotNull(), F.array("_close"))).alias("features"),
+        F.when(F.col("stage").isNull() & F.col("_close").isNull(), F.col("raw")).alias("_text"),
     )
-    pulled = extract_phrases(direct.filter(F.col("stage").isNull()).select("raw"), known_phrases(features, synonyms))
-    # A known phrase is a feature or a listed synonym by construction.
-    found = pulled.select("raw", F.explode("found").alias("phrase")).withColumn("norm", normalise_term("phrase"))
-    extracted = (
-        lookup_join(found, meanings.select("norm", F.col("features").alias("_features")), ["norm"], spread=["raw"])
-        .groupBy("raw")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_features")))).alias("_pulled"))
-    )
-    joined = direct.join(extracted, "raw", "left")
+    pulled = extract_phrases(direct, known_phrases(features, synonyms), "_text", "raw")
+    # A known phrase is a feature or a listed synonym by construction. Outer: every term keeps a row.
+    found = pulled.select("raw", "stage", "features", F.explode_outer("found").alias("_phrase")).withColumn("norm", normalise_term("_phrase"))
     none = F.array().cast("array<string>")
+    parts = lookup_join(found, meanings.select("norm", F.col("features").alias("_features")), ["norm"], spread=["raw"])
+    joined = parts.groupBy("raw").agg(
+        F.first("stage").alias("stage"), F.first("features").alias("features"), F.count("_phrase").alias("_n"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_features")))).alias("_pulled"),
+    )
     return joined.select(
-        "raw",
-        F.coalesce("stage", F.when(F.col("_pulled").isNotNull(), F.lit("extracted")), F.lit("unmatched")).alias("stage"),
-        F.coalesce("features", "_pulled", none).alias("features"),
+        "raw", F.coalesce("stage", F.when(F.col("_n") > 0, F.lit("extracted")), F.lit("unmatched")).alias("stage"),
+        F.coalesce("features", F.when(F.col("_n") > 0, F.col("_pulled")), none).alias("features"),
     )
 
 

@@ -128,7 +128,8 @@ def page_links(pages: DataFrame, part: str, base: Column | None = None) -> DataF
     steps `.` and `..` of a path are taken.
     """
     held = base if base is not None else F.col("url")
-    tags = pages.select(held.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("tag"))
+    # Outer: an inner one would be preceded by a filter that searches every page a second time.
+    tags = pages.select(held.alias("base"), F.explode_outer(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("tag"))
     href = F.concat(*[F.regexp_extract("tag", HREF, group) for group in (1, 2, 3)])
     found = tags.filter(F.rlike("tag", F.lit(HREF))).select("base", strip(decode_entities(href)).alias("href")).distinct()
     return found.filter(F.contains("href", F.lit(part))).select(joined_url(F.col("base"), F.col("href")).alias("link")).distinct()
@@ -231,4 +232,5 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 50, bo
     """one row per chunk, with `chunk_no`; whole texts, other columns repeated."""
     pieces = boundary_chunks(size, overlap)("content") if boundaries else fixed_chunks("content", size, overlap)
     kept = [name for name in documents.columns if name != "content"]
-    return documents.select(*kept, F.posexplode(pieces).alias("chunk_no", "content"))
+    chunks = documents.select(*kept, F.posexplode_outer(pieces).alias("chunk_no", "content"))
+    return chunks.filter(F.col("chunk_no").isNotNull())

@@ -6,7 +6,7 @@ from clinflow.functions import language as lang
 from clinflow.functions import text, triage
 from clinflow.lookups import tables
 from clinflow.operators import chat, cleanse
-from clinflow.operators.containment import contained_pairs, longest_name
+from clinflow.operators.containment import contained_pairs, longest_name, possible
 from clinflow.operators.medicines import tier_lists
 from clinflow.plans.triage import triage_messages
 
@@ -48,11 +48,11 @@ def test_containment_for_short_and_long_lists(rows, values):
     texts = rows("id INT, t STRING", (1, "red flu and influenza"), (2, "no"), (3, "b"), (4, ""), (5, "é influenz"))
     names = rows("name STRING", ("flu",), ("influenza",), ("b",), ("a",), ("no",), ("Flu",), ("é",))
     near = contained_pairs(texts, names, "t", "name", ["id"])
-    far = contained_pairs(texts, names, "t", "name", ["id"], rows=1)
+    far = contained_pairs(texts, names, "t", "name", ["id"], block_bytes=20)
     want = sorted([(1, "a"), (1, "flu"), (1, "influenza"), (2, "no"), (3, "b"), (5, "flu"), (5, "é")], key=repr)
     assert values(near) == want and values(far) == want
-    for limit in (100, 1):
-        out = longest_name(texts, names, "t", "name", "id", "hit", rows=limit)
+    for size in (None, 20):
+        out = longest_name(texts, names, "t", "name", "hit", block_bytes=size)
         assert {r.id: r.hit for r in out.collect()} == {1: "influenza", 2: "no", 3: "b", 4: None, 5: "Flu"}
 
 
@@ -98,3 +98,25 @@ def test_documents(spark, rows):
     asked = messages.withColumn("documents", F.array(F.lit("nothing"), F.lit("on migraine"), F.lit("Dengue")))
     out = triage_messages(asked, tables.guidance(spark), tier_lists(tables.medicines(spark), "pos"))
     assert {r.seq: (r.route, r.disease) for r in out.collect()} == {0: ("greeting", "Migraine"), 2: ("medicine", "Migraine")}
+
+
+def test_a_million_names(spark):
+    """Names of several blocks; each text is read once for each of them."""
+    names = spark.range(1_000_000).selectExpr("concat('n', hex(id * 7919), 'x') AS name")
+    texts = spark.range(400).selectExpr("id", "concat('a n', hex(id * 250 * 7919), 'x and N', hex((id * 250 + 1) * 7919), 'X, nzzx') AS t")
+    pairs = contained_pairs(texts, names, "t", "name", ["id"])
+    assert pairs.count() == 400 and pairs.filter("name = concat('n', hex(id * 250 * 7919), 'x')").count() == 400
+    best = longest_name(texts.limit(50), names, "t", "name", "hit")
+    for row in best.collect():
+        both = [f"n{n * 7919:X}x" for n in (row.id * 250, row.id * 250 + 1)]
+        assert row.hit == min(both, key=lambda n: (-len(n), n))
+
+
+def test_phrases_of_several_blocks(spark, rows):
+    phrases = rows("phrase STRING", ("skin rash",), ("cough",), ("rash",), ("dry  cough",), (" ",), ("",), (None,))
+    texts = rows("raw STRING", ("a skin rash with dry cough",), ("nothing",), ("coughing",))
+    for size in (None, 20):
+        out = possible(texts, phrases, F.col("raw"), "phrase", "found", "raw", block_bytes=size)
+        assert {r.raw: r.found for r in out.collect()} == {
+            "a skin rash with dry cough": ["dry  cough", "skin rash", "cough", "rash"], "nothing": [], "coughing": ["cough"]}
+    assert possible(texts, phrases.limit(0), F.col("raw"), "phrase", "found", "raw").filter("size(found) > 0").count() == 0

@@ -86,14 +86,16 @@ def test_drug_entries(rows, values):
         (1, ([" alpha ", "beta"], ["ALPHA"], ["d e", "zeta", "eta"]), ["For Malaria fever"]),
         (2, (["gamma"], None, None), ["malaria"]), (3, None, None), (4, (["four"], None, None), ["malaria"]), (5, (["five"], None, None), ["malaria"]))
     held = medicines.label_names(labels)
-    assert held.filter("pos = 1").first().names == ["Alpha", "Beta", "D E", "Eta"]
+    assert held.filter("pos = 1").first().names == ["Alpha", "Beta", "D E", "Eta", "Zeta"]
     terms = rows("disease STRING, term STRING, pos INT", ("Malaria", "MALARIA", 0), ("Malaria", "nothing", 1), ("Malaria", "fever", 2))
     found = medicines.label_drugs(held, terms, "pos")
-    assert sorted(r.drug_name for r in found.collect()) == ["Alpha", "Beta", "D E", "Eta", "Four", "Gamma"]
+    assert sorted(r.drug_name for r in found.collect()) == ["Alpha", "Alpha", "Beta", "Beta", "D E", "D E", "Eta", "Eta", "Five", "Four", "Gamma", "Zeta", "Zeta"]
+    few = medicines.label_drugs(medicines.label_names(labels, names_per_label=4), terms, "pos", terms_per_disease=2, labels_per_term=3)
+    assert sorted(r.drug_name for r in few.collect()) == ["Alpha", "Beta", "D E", "Eta", "Four", "Gamma"]
     static = rows("disease STRING, drug_name STRING, kind STRING, pos INT", ("Malaria", "Gamma", "otc", 1), ("Malaria", "Gamma", "rx", 2))
     label = found.select("disease", "drug_name", F.lit("rx").alias("kind"), F.col("label_pos").alias("pos"))
     merged = medicines.first_wins([(0, static), (1, label)])
-    assert {r.drug_name: r.kind for r in merged.collect()}["Gamma"] == "otc" and merged.count() == 6
+    assert {r.drug_name: r.kind for r in merged.collect()}["Gamma"] == "otc" and merged.count() == 8
     assert values(medicines.new_drugs(merged, static).select("drug_name"))[0] == ("Alpha",)
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from clinflow.functions import scoring
@@ -183,14 +184,12 @@ def test_the_model_is_silent_for_unmatched_requests(spark, rows):
     assert got[2].predictions == [] and got[2].top_disease == "Unknown"
 
 
-def test_plans_run_no_job_while_they_are_built(spark, rows):
+def test_plans_read_no_request_while_they_are_built(spark, rows):
+    """Vocabularies are counted and sent when a plan is made; the requests themselves would fail if they were read."""
     requests = rows("request_id INT, user_id STRING, symptoms ARRAY<STRING>, duration_days INT, age INT", (1, "u", ["fever"], 2, 30))
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("planning", "no job")
-    try:
-        lookups = Lookups(tables.features(spark), tables.synonyms(spark), tables.disease_features(spark), tables.risk_bands(spark),
-                          [("static", medicines.tier_lists(tables.medicines(spark), "pos"))])
-        score_requests(requests, lookups, rows("request_id INT, disease STRING, probability DOUBLE", (1, "Dengue", 0.9)))
-        assert list(tracker.getJobIdsForGroup("planning")) == []
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    unread = requests.withColumn("symptoms", F.when(F.raise_error(F.lit("read")).isNull(), F.col("symptoms")))
+    lookups = Lookups(tables.features(spark), tables.synonyms(spark), tables.disease_features(spark), tables.risk_bands(spark),
+                      [("static", medicines.tier_lists(tables.medicines(spark), "pos"))])
+    scored = score_requests(unread, lookups, rows("request_id INT, disease STRING, probability DOUBLE", (1, "Dengue", 0.9)))
+    with pytest.raises(Exception, match="read"):
+        scored.collect()
