@@ -38,7 +38,11 @@ def event_stream(spark, sf):
 
 
 def log_stream(spark, sf):
-    return event_stream(spark, sf).selectExpr(
+    return logs_of(event_stream(spark, sf))
+
+
+def logs_of(stream):
+    return stream.selectExpr(
         "event_id AS log_id", "user_id", "event_type AS top_disease", "CAST(least(floor(value), 100) AS DOUBLE) AS severity",
         f"{b.LEVEL} AS risk_level", "CAST(ts AS TIMESTAMP) AS created_at", "event_id % 3 = 0 AS labeled",
         "CASE WHEN event_id % 5 = 0 THEN true WHEN event_id % 5 = 1 THEN false END AS used_for_training",
@@ -161,8 +165,9 @@ def t4(spark, sf):
 FROM (SELECT unnest(range(1, count(*) FILTER (event_id % 3 = 0 AND NOT (event_id % 5 = 0)) // 50 + 1)) AS i FROM events)""")
 def t5(spark, sf):
     out = run_dir(spark, "triggers")
-    jobs.retrain_triggers(log_stream(spark, sf), out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/triggers").select("labelled", "force")
+    rows = jobs.retrain_triggers(log_stream(spark, sf))
+    jobs.table_stream(rows, out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 @query("t6_high_risk_alerts", f"SELECT event_id AS log_id, user_id FROM events WHERE {b.LEVEL} = 'HIGH'")
@@ -173,11 +178,30 @@ def t6(spark, sf):
     return spark.read.schema("log_id BIGINT, user_id BIGINT").parquet(out)
 
 
-@query("t7_trend_stream", """WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type AS top_disease, count(*) AS case_count FROM events GROUP BY 1, 2)
-SELECT window_start, top_disease, case_count FROM w WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
-def t7(spark, sf):
+def trend_rows(spark, sf):
     out = run_dir(spark, "trend")
     rows = jobs.trend_stream(log_stream(spark, sf))
     jobs.table_stream(rows, out, f"{out}-checkpoint").awaitTermination()
-    held = spark.read.schema(rows.schema).parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query("t7_trend_stream", """WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type AS top_disease, count(*) AS case_count FROM events GROUP BY 1, 2)
+SELECT window_start, top_disease, case_count FROM w WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def t7(spark, sf):
+    held = jobs.trend_totals(trend_rows(spark, sf))
     return held.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "top_disease", "case_count")
+
+
+@query("t7_late_rows", """WITH numbered AS (SELECT *, event_id % 4 AS slice FROM events), closed AS (SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM numbered WHERE slice < 3)
+SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type AS top_disease, count(*) AS late_rows FROM numbered, closed
+WHERE slice = 3 AND time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= watermark GROUP BY 1, 2""")
+def t7_late(spark, sf):
+    """Three slices in one batch and the fourth after them: what it has for windows that are closed by then are corrections."""
+    folder, out = run_dir(spark, "events"), run_dir(spark, "trend")
+    table = b.table(spark, sf, "events")
+    for first, keep in ((True, "event_id % 4 < 3"), (False, "event_id % 4 = 3")):
+        table.filter(keep).write.mode("append").parquet(folder)
+        rows = jobs.trend_stream(logs_of(events.read_table_files(spark, folder, EVENTS)))
+        jobs.table_stream(rows, out, f"{out}-checkpoint").awaitTermination()
+    held = spark.read.schema(rows.schema).parquet(out).filter("late").groupBy("window_start", "top_disease").agg(F.sum("case_count").alias("late_rows"))
+    return held.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "top_disease", "late_rows")

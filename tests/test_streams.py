@@ -93,23 +93,50 @@ def test_chat_memory_over_several_batches(spark, rows, tmp_path):
     assert len(memory) == 20 and memory[0][1:] == ("human", "m4") and memory[-1][1:] == ("ai", "r13")
 
 
-def test_trend_alerts_and_triggers(spark, rows, tmp_path):
-    at = dt.datetime(2024, 1, 1)
-    schema = "log_id INT, top_disease STRING, severity DOUBLE, risk_level STRING, created_at TIMESTAMP, labeled BOOLEAN, used_for_training BOOLEAN"
-    logs = rows(schema, *[(i % 110, "ab"[i % 2], 50.0, "HIGH" if i % 4 == 0 else "LOW", at + dt.timedelta(minutes=10 * (i % 110)), True, None) for i in range(120)])
-    path = str(tmp_path / "in")
-    logs.write.parquet(path)
-    stream = lambda: events.read_table_files(spark, path, schema)
-    jobs.table_stream(jobs.trend_stream(stream()), str(tmp_path / "t"), str(tmp_path / "tc")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "t"))
-    closed = F.lit(at + dt.timedelta(minutes=10 * 109 - 60))
-    want = windowed_trend(logs).filter(F.col("window_end") <= closed)
-    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
-    jobs.table_stream(jobs.high_risk_alerts(stream()).select("log_id"), str(tmp_path / "a"), str(tmp_path / "ac")).awaitTermination()
-    alerts = [r.log_id for r in spark.read.parquet(str(tmp_path / "a")).collect()]
-    assert len(alerts) == len(set(alerts)) == logs.filter("risk_level = 'HIGH'").select("log_id").distinct().count()
-    jobs.retrain_triggers(stream(), str(tmp_path / "r"), str(tmp_path / "rc")).awaitTermination()
-    assert [r.labelled for r in spark.read.parquet(str(tmp_path / "r") + "/triggers").collect()] == [50, 100]
+LOGS = ("log_id INT, top_disease STRING, severity DOUBLE, risk_level STRING, created_at TIMESTAMP, labeled BOOLEAN, used_for_training BOOLEAN")
+AT = dt.datetime(2024, 1, 1)
+
+
+def log_rows(rows, n=120):
+    return rows(LOGS, *[(i % 110, "ab"[i % 2], 50.0 if i % 7 else None, "HIGH" if i % 4 == 0 else "LOW", AT + dt.timedelta(minutes=10 * (i % 110)), True, None)
+                        for i in range(n)])
+
+
+def in_steps(spark, make, parts, schema, folder, out):
+    """Each part of the rows as a further file, and the stream run to its end and started again after each."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        frame = make(events.read_table_files(spark, folder, schema, files_per_trigger=1))
+        jobs.table_stream(frame, out, out + "-checkpoint").awaitTermination()
+    return spark.read.schema(frame.schema).parquet(out)
+
+
+def test_trend_of_files_in_any_order(spark, rows, tmp_path):
+    logs = log_rows(rows)
+    late = logs.filter("log_id < 20")
+    for name, parts in {"early": [logs], "late": [logs.filter("log_id >= 20"), late], "mixed": [logs.filter("log_id % 2 = 1"), logs.filter("log_id % 2 = 0")]}.items():
+        held = in_steps(spark, jobs.trend_stream, parts, LOGS, str(tmp_path / name), str(tmp_path / f"{name}-out"))
+        closed = F.lit(AT + dt.timedelta(minutes=10 * 109 - 60))
+        want = windowed_trend(logs).filter(F.col("window_end") <= closed)
+        got = jobs.trend_totals(held)
+        assert got.count() == want.count() > 0 and got.drop("corrected").exceptAll(want.select(*got.drop("corrected").columns)).count() == 0
+        corrected = {r.window_start for r in got.filter("corrected").collect()}
+        assert corrected == ({AT, *([] if name == "late" else [r.window_start for r in got.collect()])} if name != "early" else set())
+
+
+def test_every_high_log_alerts_once(spark, rows, tmp_path):
+    logs = log_rows(rows)
+    want = sorted(r.log_id for r in logs.filter("risk_level = 'HIGH'").select("log_id").distinct().collect())
+    backwards = [logs.filter("log_id >= 60"), logs.filter("log_id < 60"), logs.filter("log_id < 100")]
+    held = in_steps(spark, lambda stream: jobs.high_risk_alerts(stream).select("log_id"), backwards, LOGS, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(r.log_id for r in held.collect()) == want
+
+
+def test_triggers_in_any_order_and_after_a_restart(spark, rows, tmp_path):
+    logs = log_rows(rows, 170)
+    for name, parts in {"one": [logs], "three": [logs.filter("log_id % 3 = 2"), logs.filter("log_id % 3 = 0"), logs.filter("log_id % 3 = 1")]}.items():
+        held = in_steps(spark, jobs.retrain_triggers, parts, LOGS, str(tmp_path / name), str(tmp_path / f"{name}-out"))
+        assert sorted((r.labelled, r.force) for r in held.collect()) == [(50, False), (100, False), (150, False)]
 
 
 def test_schemas_parse(spark):
