@@ -197,9 +197,13 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
 
 
 def map_symptoms(requests: DataFrame, features: DataFrame, synonyms: DataFrame, key: str = "request_id",
-                 cutoff: float = FUZZY_CUTOFF, native: bool = False) -> DataFrame:
-    """(key, matched): sorted distinct features per request; requests without any get an empty list."""
-    resolved = resolve_terms(exploded_terms(requests, key), features, synonyms, cutoff, native)
+                 cutoff: float = FUZZY_CUTOFF, native: bool = False, resolved: DataFrame | None = None) -> DataFrame:
+    """(key, matched): sorted distinct features per request; requests without any get an empty list.
+
+    `resolved` may bring the terms of the requests already resolved, as a `TermStore` does.
+    """
+    if resolved is None:
+        resolved = resolve_terms(exploded_terms(requests, key), features, synonyms, cutoff, native)
     # Outer: a request without terms keeps a row, so no join back to the requests is needed.
     terms = requests.select(key, F.explode_outer("symptoms").alias("raw"))
     return lookup_join(terms, resolved.select("raw", "features"), ["raw"], "left", spread=[key]).groupBy(key).agg(

@@ -36,9 +36,9 @@ def with_severity(requests: DataFrame, bands: DataFrame, weights: dict[str, int]
 
 
 def predictions(requests: DataFrame, lookups: Lookups, model_scores: DataFrame | None = None, top: int = 3,
-                native: bool = False) -> DataFrame:
+                native: bool = False, resolved: DataFrame | None = None) -> DataFrame:
     """J2 → J6 (+ E4) → J7: ranked conditions per request; a request that matches no feature has none."""
-    matched = mapping.map_symptoms(requests, lookups.features, lookups.synonyms, native=native).filter(F.size("matched") > 0)
+    matched = mapping.map_symptoms(requests, lookups.features, lookups.synonyms, native=native, resolved=resolved)
     return blended(matched, lookups.diseases, model_scores, top)
 
 
@@ -54,9 +54,12 @@ def blended(matched: DataFrame, diseases: DataFrame, model_scores: DataFrame | N
 
 
 def score_requests(requests: DataFrame, lookups: Lookups, model_scores: DataFrame | None = None,
-                   native: bool = False) -> DataFrame:
-    """Requests (request_id, user_id, symptoms, duration_days, age; validated) with all results."""
-    ranked = predictions(requests, lookups, model_scores, native=native)
+                   native: bool = False, resolved: DataFrame | None = None) -> DataFrame:
+    """Requests (request_id, user_id, symptoms, duration_days, age; validated) with all results.
+
+    `resolved` may bring the terms already resolved (`TermStore`).
+    """
+    ranked = predictions(requests, lookups, model_scores, native=native, resolved=resolved)
     lists = ranking.prediction_lists(ranked)
     none = F.array().cast("array<struct<disease:string,confidence:double>>")
     scored = with_severity(requests, lookups.bands).join(lists, "request_id", "left")

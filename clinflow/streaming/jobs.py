@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from clinflow import schemas
 from clinflow.operators.cleanse import split_valid, validate_requests
 from clinflow.operators.learning import MIN_SAMPLES, new_samples
-from clinflow.operators.trends import windowed_trend
+from clinflow.operators.terms import TermStore
 from clinflow.plans.scoring import Lookups, score_requests
 from clinflow.session import send_by_value
 from clinflow.sinks.tables import topic_records, write_batch
@@ -53,11 +53,13 @@ def audit_mirror(events: DataFrame, kind: str) -> DataFrame:
     return events.select(F.lit(kind).alias("type"), F.col("value").alias("payload"))
 
 
-def score_batch(batch: DataFrame, lookups: Lookups, native: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """T1 on one micro-batch: result events, audit rows, dead letters."""
+def score_batch(batch: DataFrame, lookups: Lookups, native: bool = False, terms: TermStore | None = None,
+                batch_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """T1 on one micro-batch: result events, audit rows, dead letters. Only terms that `terms` hasn't seen are resolved."""
     parsed, bad = good_and_bad(parse(batch, schemas.SYMPTOM_EVENT))
     valid, rejected = split_valid(validate_requests(requests_of(parsed)))
-    scored = score_requests(valid, lookups, native=native)
+    resolved = terms and terms.resolved(valid.select(F.explode_outer("symptoms").alias("raw")), batch_id)
+    scored = score_requests(valid, lookups, native=native, resolved=resolved)
     results = scored.select(
         "user_id", F.col("request_id").alias("log_id"), "predictions", "risk_level", "severity"
     )
@@ -69,11 +71,13 @@ def score_batch(batch: DataFrame, lookups: Lookups, native: bool = False) -> tup
 
 def scoring_stream(events: DataFrame, lookups: Lookups, out: str, checkpoint: str, native: bool = False,
                    **trigger) -> StreamingQuery:
-    """T1 + T2: scores, audit rows and dead letters of each micro-batch below `out`."""
+    """T1 + T2: scores, audit rows and dead letters of each micro-batch below `out`, and the terms resolved so far."""
+    terms = TermStore(f"{out}/terms", lookups.features, lookups.synonyms, native=native)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            results, audit, letters = score_batch(held, lookups, native)
+            results, audit, letters = score_batch(held, lookups, native, terms, batch_id)
             write_batch(results, f"{out}/results", batch_id)
             write_batch(audit, f"{out}/audit", batch_id)
             write_batch(letters, f"{out}/dead_letters", batch_id)

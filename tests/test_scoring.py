@@ -6,6 +6,7 @@ from clinflow.functions.text import split_form_terms
 from clinflow.lookups import language, tables
 from clinflow.lookups.severity import SEVERITY_WEIGHTS
 from clinflow.operators import cleanse, joining, mapping, medicines, ranking
+from clinflow.operators.terms import TermStore
 from clinflow.plans.scoring import Lookups, advisory_requests, responses, score_requests, with_severity
 
 REQUEST = "request_id INT, symptoms ARRAY<STRING>, duration_days INT, age INT"
@@ -193,3 +194,33 @@ def test_plans_read_no_request_while_they_are_built(spark, rows):
     scored = score_requests(unread, lookups, rows("request_id INT, disease STRING, probability DOUBLE", (1, "Dengue", 0.9)))
     with pytest.raises(Exception, match="read"):
         scored.collect()
+
+
+def test_only_unseen_terms_are_resolved(spark, rows, tmp_path):
+    store = TermStore(str(tmp_path), tables.features(spark), tables.synonyms(spark), native=True)
+    first, second = ["high fever", "body aches", "zzzzqq", " "], ["body aches", "headaches", "zzzzqq", None]
+    frame = lambda words: rows("raw STRING", *[(w,) for w in words])
+    parts = lambda: {r.batch_id: r["count"] for r in spark.read.parquet(store.folder()).groupBy("batch_id").count().collect()}
+    store.resolved(frame(first))
+    assert parts() == {0: 3}
+    store.resolved(frame(second))
+    assert parts() == {0: 3, 1: 1}
+    both = store.resolved(frame([*first, *second]))
+    assert parts() == {0: 3, 1: 1}  # known terms resolve none
+    want = mapping.resolve_terms(frame([*first, *second]), tables.features(spark), tables.synonyms(spark), native=True)
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    again = store.resolved(frame(second), batch_id=1)  # a repeated batch replaces its own part
+    assert parts() == {0: 3, 1: 1} and again.count() == 4
+    other = TermStore(str(tmp_path), tables.features(spark).filter("feature <> 'headache'"), tables.synonyms(spark), native=True)
+    assert other.folder() != store.folder()
+    assert "headache" not in {f for r in other.resolved(frame(["headaches"])).collect() for f in r.features}
+
+
+def test_extraction_runs_on_distinct_terms(spark, rows):
+    """No filter on the extracted phrases may stand below the step that makes the terms distinct."""
+    terms = rows("raw STRING", ("high fever skin rash",), ("high fever skin rash",))
+    resolved = mapping.resolve_terms(terms, tables.features(spark), tables.synonyms(spark), native=True)
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(found" not in plan and plan.count("Generate explode") <= 5
+    bottom = plan[plan.rindex("Aggregate [raw"):]
+    assert "found_in" not in bottom and "aggregate(" not in bottom

@@ -60,6 +60,7 @@ def test_scoring_stream_over_several_batches_and_a_restart(spark, tmp_path):
     got = {json.loads(r.value)["log_id"]: len(json.loads(r.value)["predictions"]) for r in spark.read.parquet(out + "/results").collect()}
     assert set(got) == {"a", "b", "c"} and all(got.values())
     assert spark.read.parquet(out + "/results").count() == 3
+    assert sorted(r.raw for r in spark.read.parquet(out + "/terms/*").collect()) == ["cough", "fever", "skin rash joint pain", "zzzzqq"]
 
 
 def test_unknown_topics_are_ignored(spark, tmp_path):
