@@ -9,7 +9,9 @@ from clinflow.functions.text import normalise_term
 from clinflow.lookups.tables import values_table
 from clinflow.operators import cleanse, trends
 from clinflow.plans.scoring import trend_batch
+from clinflow.session import run_dir
 from clinflow.sinks import tables
+from clinflow.sinks.versioned import VersionedTable
 
 AS_OF = "2024-01-29 12:00:00"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
@@ -211,7 +213,10 @@ def k1(spark, sf):
     stamp = lambda rows, day: rows.drop("window_end").withColumn("updated_at", F.expr(f"TIMESTAMP_NTZ '{day}'"))
     old = stamp(trends.windowed_trend(logs.filter("duration_days < 10")), "2024-02-01 00:00:00")
     new = stamp(trends.windowed_trend(logs), "2024-02-02 00:00:00").filter("window_start >= TIMESTAMP_NTZ '2024-01-15 00:00:00'")
-    return tables.upserted(old, new, tables.TREND_KEY).drop("updated_at")
+    path = run_dir(spark, "trends")
+    tables.upsert_trends(spark, path, old)
+    tables.upsert_trends(spark, path, new)
+    return tables.trend_table(spark, path).read().drop("updated_at")
 
 
 @query("k3_flag_used", f"""WITH {b.LOGS_SQL} SELECT log_id,
@@ -220,7 +225,10 @@ def k1(spark, sf):
 def k3(spark, sf):
     logs = b.logs(spark, sf).withColumn("trained_at", F.lit(None).cast("timestamp_ntz"))
     used = logs.filter("labeled AND NOT coalesce(used_for_training, false)").select("log_id")
-    return tables.flag_used(logs, used, as_of()).select("log_id", "used_for_training", "trained_at")
+    table = VersionedTable(spark, run_dir(spark, "logs"), ["log_id"])
+    table.write(logs.select("log_id", "used_for_training", "trained_at"))
+    tables.mark_used(table, used, as_of())
+    return table.read()
 
 
 @query("k4_update_prediction", f"""WITH {b.LOGS_SQL}, u AS (
@@ -232,7 +240,10 @@ def k4(spark, sf):
     updates = logs.select((F.col("user_id") * 3).alias("log_id"), F.col("top_disease").alias("prediction"),
                           F.col("created_at").alias("updated_at"))
     stored = logs.select("log_id", F.col("top_disease").alias("prediction"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return tables.update_predictions(stored, updates)
+    table = VersionedTable(spark, run_dir(spark, "logs"), ["log_id"])
+    table.write(stored)
+    tables.store_predictions(table, updates)
+    return table.read()
 
 
 @query("f1_term_normalise", f"""WITH {b.LOGS_SQL}, t AS (SELECT unnest(symptoms) AS raw FROM logs)

@@ -10,6 +10,7 @@ from clinflow.operators.mapping import feature_vector
 from clinflow.plans import models
 from clinflow.session import written
 from clinflow.sinks import tables
+from clinflow.sinks.versioned import VersionedTable
 
 STATUS = "status STRING, reason STRING, old_accuracy DOUBLE, new_accuracy DOUBLE, new_samples BIGINT, total_train BIGINT"
 
@@ -31,9 +32,11 @@ def original_matrix(matrix: DataFrame, features: list[str], key: str) -> DataFra
 
 
 def retrain(logs: DataFrame, original: DataFrame | None, features: list[str], classes: DataFrame, base: str,
-            version: str, as_of: Column, estimator=None, kind: str = "boosted", force: bool = False) -> tuple[DataFrame, DataFrame]:
+            version: str, as_of: Column, estimator=None, kind: str = "boosted", force: bool = False,
+            stored: VersionedTable | None = None) -> tuple[DataFrame, DataFrame]:
     """One status row, and the logs with the used samples marked (only when deployed).
 
+    With `stored`, the table that the logs are kept in, the marks are committed to it after the deployment.
     Without an `estimator` boosted trees are trained. `original` comes from `original_matrix`, `base` is the model folder. Only single gate rows
     reach the driver; the training rows are written once to the shared folder.
     """
@@ -64,5 +67,7 @@ def retrain(logs: DataFrame, original: DataFrame | None, features: list[str], cl
     if not result.deploy:
         return status("not_deployed", None, result.old_accuracy, result.new_accuracy), logs
     tables.deploy_model(model, base, version, features, kind, result.old_accuracy, result.new_accuracy, as_of)
+    if stored is not None:
+        tables.mark_used(stored, samples, as_of)
     marked = tables.flag_used(logs, samples.select("log_id"), as_of)
     return status("deployed", None, result.old_accuracy, result.new_accuracy, train.count()), marked

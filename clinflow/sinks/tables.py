@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinflow.operators.joining import latest
+from clinflow.sinks.versioned import VersionedTable
 
 TREND_KEY = ["top_disease", "window_start"]
 
@@ -24,19 +24,14 @@ def upserted(existing: DataFrame, updates: DataFrame, key: list[str], order: str
     return latest(rows, key, F.struct("_new", order)).drop("_new")
 
 
+def trend_table(spark: SparkSession, path: str) -> VersionedTable:
+    """K1: the stored trends, in parts by day."""
+    return VersionedTable(spark, path, TREND_KEY, part=F.to_date("window_start"))
+
+
 def upsert_trends(spark: SparkSession, path: str, updates: DataFrame) -> None:
-    """K1 on a Parquet table parted by day: only the days in `updates` are read and rewritten."""
-    updates = updates.withColumn("window_date", F.to_date("window_start"))
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        merged = latest(updates, TREND_KEY, F.col("updated_at"))
-    else:
-        touched = stored.join(updates.select("window_date").distinct(), "window_date", "left_semi")
-        merged = upserted(touched, updates, TREND_KEY)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_date").parquet(path)
+    """K1 on a stored table: only the days in `updates` are read and rewritten, and seen at once or not at all."""
+    trend_table(spark, path).merge(updates, lambda held, new: upserted(held, new, TREND_KEY))
 
 
 def flag_used(logs: DataFrame, used: DataFrame, trained_at: Column) -> DataFrame:
@@ -63,6 +58,16 @@ def update_predictions(logs: DataFrame, updates: DataFrame) -> DataFrame:
     ).drop("_p", "_at")
 
 
+def mark_used(logs: VersionedTable, used: DataFrame, trained_at: Column) -> int:
+    """K3 on a stored table of logs, keyed by log_id: its new version."""
+    return logs.merge(used.select("log_id"), lambda held, ids: flag_used(held, ids, trained_at))
+
+
+def store_predictions(logs: VersionedTable, updates: DataFrame) -> int:
+    """K4 on a stored table of logs, keyed by log_id: its new version."""
+    return logs.merge(updates, update_predictions)
+
+
 def log_records(scored: DataFrame, created_at: Column) -> DataFrame:
     """K5: the wide log row of a scored request, severity under both of its names."""
     optional = lambda name, other: F.coalesce(name, F.lit(other)) if name in scored.columns else F.lit(other)
@@ -135,18 +140,20 @@ def deploy_model(model: PipelineModel, base: str, version: str, features: list[s
         F.round(F.lit(float(new_accuracy)) - F.lit(float(old_accuracy)), 2).alias("improvement"),
         F.lit(f"{base}/v={before}" if before else None).cast("string").alias("backup_path"),
     )
-    row.coalesce(1).write.mode("append").parquet(f"{base}/deployments")
-    return spark.read.schema(row.schema).parquet(f"{base}/deployments")
+    table = deployments(spark, base)
+    table.merge(row, lambda held, new: held.join(new, "version", "left_anti").unionByName(new))
+    return table.read()
+
+
+def deployments(spark: SparkSession, base: str) -> VersionedTable:
+    """K8: a row for each deployed version of the model."""
+    return VersionedTable(spark, f"{base}/deployments", ["version"], parts=1)
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
-    try:
-        rows = spark.read.parquet(f"{base}/deployments")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return rows.agg(F.max_by("version", F.struct("deployed_at", "version"))).first()[0]
+    """The newest deployment: it is the pointer, and changes with one commit."""
+    table = deployments(spark, base)
+    return table.read().agg(F.max_by("version", F.struct("deployed_at", "version"))).first()[0] if table.versions() else None
 
 
 def load_current(spark: SparkSession, base: str) -> PipelineModel | None:

@@ -86,7 +86,7 @@ def test_retrain(spark, rows, logs, tmp_path):
     assert kept.filter("used_for_training").count() == 0
     forced, _ = retrain.retrain(logs, None, FEATURES, classes, base, "3", F.lit("2024-01-02 00:00:00").cast("timestamp"), tree, force=True)
     assert forced.first().status == "deployed" and tables.current_version(spark, base) == "3"
-    paths = {r.version: r.backup_path for r in spark.read.parquet(f"{base}/deployments").collect()}
+    paths = {r.version: r.backup_path for r in tables.deployments(spark, base).read().collect()}
     assert paths == {"1": None, "3": f"{base}/v=1"}
     one = logs.filter("confirmed_disease = 'X'")
     assert retrain.retrain(one, None, FEATURES, classes, base, "4", when, tree, force=True)[0].first().status == "error"

@@ -62,7 +62,7 @@ def test_upsert_rewrites_touched_days_only(spark, rows, tmp_path):
     tables.upsert_trends(spark, path, first)
     tables.upsert_trends(spark, path, rows(
         "top_disease STRING, case_count INT, window_start TIMESTAMP, updated_at TIMESTAMP", ("Flu", 9, hours(0), hours(-1))))
-    got = {(r.top_disease, r.window_start): r.case_count for r in spark.read.parquet(path).collect()}
+    got = {(r.top_disease, r.window_start): r.case_count for r in tables.trend_table(spark, path).read().collect()}
     assert got == {("Flu", hours(0)): 9, ("Flu", hours(48)): 2, ("Cold", hours(0)): 3}
 
 
