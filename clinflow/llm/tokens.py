@@ -1,24 +1,26 @@
 """Token ids of documents as Parquet list columns that can be read in part."""
 
 import os
+import struct
+import sys
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinflow.llm.common import bound_batches, partitions_of, prefix_sums, table
-from clinflow.llm.hashing import blocks
 from clinflow.session import run_dir, send_by_value, written
 
 send_by_value(__name__)
 
 END_ID = 1
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 300_000
+#: Words whose ids a worker process remembers.
+KNOWN_WORDS = 500_000
 #: How the files are written. Ids repeat and stay in a dictionary; keys and counts are stored as deltas (pages
 #: of version 2 without a dictionary). Row groups and pages are small, and each page has its place and bounds
 #: in the page index, so that a range of doc_id, or the counts alone, can be read without the ids.
@@ -42,6 +44,9 @@ def byte_characters() -> list[str]:
 
 
 BYTES = byte_characters()
+BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+#: Bytes of text at once.
+BLOCK_BYTES = 4_000_000
 
 
 class Encoder:
@@ -56,19 +61,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {mark: self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in (".", ",")}
+        self.marks = {mark: as_bytes(self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in (".", ",")}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.first = np.zeros(1, np.int64)
+        self.cores: dict[str, bytes] = {}
+        self.ids = np.array([END_ID], np.int32)  # entry 0 is the end of a text, which no word stands for
+        self.first = np.array([0, 1], np.int32)
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words. Latin letters, with a full stop or comma after them or not, go straight to the model:
         the steps before it only put them in lower case, cut the mark off and write their bytes as characters."""
-        found: list[list[int] | None] = []
+        found: list[bytes] = []
         others = []
         tokenize, cores, marks = self.tokenizer.model.tokenize, self.cores, self.marks
         for word in words:
@@ -79,37 +84,69 @@ class Encoder:
                 ids = cores.get(core)
                 if ids is None:
                     shown = core if core.isascii() else "".join([BYTES[b] for b in core.encode()])
-                    ids = cores[core] = [t.id for t in tokenize(shown)]
+                    ids = cores[core] = as_bytes([t.id for t in tokenize(shown)])
                 found.append(ids + after if after else ids)
             else:
                 others.append(len(found))
-                found.append(None)
+                found.append(b"")
         for k, e in zip(others, self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False)):
-            found[k] = e.ids
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, ids])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends): the ids of all texts, each with the end id after it, and where each text ends."""
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        words = list(chain.from_iterable(split))
+            found[k] = as_bytes(e.ids)
+        self.known.update(zip(words, range(len(self.first) - 1, len(self.first) - 1 + len(words))))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<i4")])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int32)])
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts, each with the end id after it, and where each text ends.
+
+        Arrow cuts the texts and numbers their words; only the different words of a block are Python strings.
+        """
+        parts = pc.split_pattern(with_blanks(texts), " ")
+        coded = pc.dictionary_encode(parts.flatten())
+        words = coded.dictionary.to_pylist()
         if len(self.known) > KNOWN_WORDS:
             self.forget()
         known = self.known.get
-        at = np.array([known(word, -1) for word in words], np.int64)
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            self.learn(list(dict.fromkeys([words[k] for k in new])))
-            known = self.known.get
-            at[new] = [known(words[k]) for k in new]
+        entries = np.array([known(word, -1) for word in words], np.int32)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            entries[new] = np.arange(len(self.first) - 1, len(self.first) - 1 + len(new))
+            self.learn([words[k] for k in new.tolist()])
+        offsets = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        at = np.insert(entries[coded.indices.to_numpy()], offsets, 0)
         size = np.diff(self.first)[at]
-        sums = np.concatenate(([0], np.cumsum(size)))
-        places = np.arange(sums[-1]) + np.repeat(self.first[at] - sums[:-1], size)
-        ends = sums[np.cumsum([len(part) for part in split])] if split else np.zeros(0, np.int64)
-        return np.insert(self.ids[places], ends, END_ID), ends + np.arange(1, len(ends) + 1)
+        sums = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(size, out=sums[1:])
+        places = np.repeat(self.first[at] - sums[:-1], size)
+        places += np.arange(len(places), dtype=np.int32)
+        return self.ids[places], sums[offsets + np.arange(1, len(offsets) + 1)]
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, so that its tasks share the words they have met."""
+    held = sys.modules.setdefault("clinflow_encoders", ModuleType("clinflow_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+def blocks_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of texts that together have about `BLOCK_BYTES`."""
+    if len(sizes):
+        run = (np.cumsum(sizes, dtype=np.int64) - sizes) // BLOCK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+        yield from zip(cuts, cuts[1:])
+
+
+def with_blanks(texts: pa.StringArray) -> pa.StringArray:
+    """The texts with a space for every tab, line feed and return: bytes of UTF-8 below 128 stand for themselves alone."""
+    _, offsets, data = texts.buffers()
+    plain = (data.to_pybytes() if data else b"").translate(BLANKS)
+    return pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(plain), None, 0, texts.offset)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -117,11 +154,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, last in blocks(texts):
-                ids, ends = encoder.encode(texts[first:last])
+            texts = batch.column("text")
+            for first, last in blocks_of(pc.binary_length(texts).to_numpy()):
+                ids, ends = encoder.encode(pa.concat_arrays([texts.slice(first, last - first)]))
                 offsets = np.concatenate(([0], ends)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, last - first), pa.array(np.diff(offsets).astype(np.int64)),

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from clinflow.llm import tokens
@@ -18,7 +19,7 @@ TEXTS = ["Hello, World!\nNew\tline  two", "", "é ΑΣ Σ. I'LL don't 12 3.5 x
 
 
 def test_ids_equal_the_whole_text(tokenizer):
-    ids, ends = tokens.Encoder(tokens.tokenizer_path()).encode(TEXTS)
+    ids, ends = tokens.Encoder(tokens.tokenizer_path()).encode(pa.array(TEXTS))
     starts = [0, *ends[:-1]]
     for text, a, b in zip(TEXTS, starts, ends):
         assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, tokens.END_ID]
@@ -28,7 +29,7 @@ def test_words_are_forgotten(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN_WORDS", 3)
     encoder = tokens.Encoder(tokens.tokenizer_path())
     for text in ["a b c d e", "f g a", "b c"]:
-        ids, _ = encoder.encode([text])
+        ids, _ = encoder.encode(pa.array([text]))
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
