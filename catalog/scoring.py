@@ -12,6 +12,7 @@ from clinflow.lookups.severity import SEVERITY_WEIGHTS
 from clinflow.operators import cleanse, learning, mapping, medicines, ranking
 from clinflow.plans import scoring
 from clinflow.plans.knowledge import knowledge_lists
+from clinflow.session import run_dir
 from clinflow.sinks import tables
 from clinflow.sources import matrix
 
@@ -487,22 +488,33 @@ def k5(spark, sf):
 
 
 @query("k6_audit_rows", f"""WITH {SCORED_SQL} SELECT 'predict' AS event_type, user_id::VARCHAR AS user_id, array_to_string(symptoms, '|') AS symptoms,
-  top_disease, severity FROM scored""")
+  top_disease, severity, CASE WHEN severity >= 70 THEN 'HIGH' WHEN severity >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM scored""")
 def k6(spark, sf):
     rows = tables.audit_records(scored(spark, sf), F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
     payload = F.from_json("payload", "symptoms ARRAY<STRING>, top_disease STRING, risk_level STRING, severity INT")
     return rows.withColumn("p", payload).select(
-        "event_type", "user_id", b.bar("p.symptoms").alias("symptoms"), "p.top_disease", "p.severity"
+        "event_type", "user_id", b.bar("p.symptoms").alias("symptoms"), "p.top_disease", "p.severity", "p.risk_level"
     )
 
 
-@query("k7_topic_records", f"""WITH {b.REQUESTS_SQL} SELECT 'symptom-input' AS topic, user_id::VARCHAR AS key,
-  '{{"request_id":' || request_id || ',"user_id":' || user_id || ',"symptoms":' || to_json(symptoms) || ',"duration_days":' || duration_days || ',"age":' || age || '}}' AS value FROM requests""")
+TOPIC_SQL = f"""WITH {b.REQUESTS_SQL} SELECT 'symptom-input' AS topic, user_id::VARCHAR AS key,
+  '{{"request_id":' || request_id || ',"user_id":' || user_id || ',"symptoms":' || to_json(symptoms) || ',"duration_days":' || duration_days || ',"age":' || age || '}}' AS value FROM requests"""
+
+
+@query("k7_topic_records", TOPIC_SQL)
 def k7(spark, sf):
     rows = b.requests(spark, sf).select("request_id", "user_id", "symptoms", "duration_days", "age")
     return tables.topic_records(rows, "symptom-input", "user_id")
 
 
+@query("k7_published", TOPIC_SQL)
+def k7_published(spark, sf):
+    """What a sink holds after the records were sent to it; JSON files stand for the broker."""
+    folder = run_dir(spark, "topics")
+    tables.publish(k7(spark, sf), "json", path=folder)
+    return spark.read.schema("topic STRING, key STRING, value STRING").json(folder)
+
+
 # ---- matrices ---------------------------------------------------------------------------------
 
 def raw_matrix(spark, sf):

@@ -6,6 +6,8 @@ finished (term, features) pairs are joined back to the requests.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,22 +69,80 @@ def _stage(terms: DataFrame, meanings: DataFrame) -> DataFrame:
     )
 
 
+def _marks(text: Column) -> Column:
+    """(low, high, spare): a set of 128 bits with one for every letter and its number among equal ones, and how many of them share a bit."""
+    letters = F.array_sort(F.split(text, ""))
+    numbered = let(letters, lambda held: F.transform(held, lambda c, i: F.pmod(F.xxhash64(c, i - F.array_position(held, c)), F.lit(128))))
+
+    def half(first: int) -> Column:
+        inside = F.filter(numbered, lambda bit: (bit >= first) & (bit < first + 64))
+        one = F.lit(1).cast("long")
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda bits, bit: bits.bitwiseOR(F.call_function("shiftleft", one, (bit - first).cast("int"))))
+
+    return let(F.struct(half(0).alias("low"), half(64).alias("high")), lambda m: F.struct(
+        m["low"].alias("low"), m["high"].alias("high"), (F.size(letters) - F.bit_count(m["low"]) - F.bit_count(m["high"])).alias("spare")))
+
+
+def _most_alike(native: bool) -> Callable[[Column], Column]:
+    """For a candidate the largest similarity that the letters in common allow.
+
+    Letters that two texts share share their bits; those of a text that have no bit of their own are at most `spare`. So the
+    letters in common are at most the common bits and the smaller `spare`. An edit distance is at least the longer length less them, and
+    matching blocks hold no more than them.
+    """
+    size = F.length("_open")
+
+    def bound(c: Column) -> Column:
+        bits = F.bit_count(F.col("_marks.low").bitwiseAND(c["marks"]["low"])) + F.bit_count(F.col("_marks.high").bitwiseAND(c["marks"]["high"]))
+        common = F.least(bits + F.least(F.col("_marks.spare"), c["marks"]["spare"]), size, F.length(c["name"]))
+        return common / F.greatest(size, F.length(c["name"])) if native else 2 * common / (size + F.length(c["name"]))
+
+    return bound
+
+
 def _by_length(vocabulary: DataFrame) -> DataFrame:
-    """Names of one length, in parts of bounded size."""
+    """Names of one length with their marks, in parts of bounded size."""
     return (
         vocabulary.select("feature").distinct()
         .groupBy(F.length("feature").alias("size"), F.pmod(F.xxhash64("feature"), F.lit(PARTS)).alias("part"))
-        .agg(F.array_sort(F.collect_list("feature")).alias("candidates"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("feature").alias("name"), _marks(F.col("feature")).alias("marks")))).alias("candidates"))
         .drop("part")
     )
 
 
+def _alike(name: Column) -> Column:
+    return F.lit(1.0) - F.levenshtein("_open", name) / F.greatest(F.length("_open"), F.length(name))
+
+
+def _candidates(rows: DataFrame, key: list[str], vocabulary: DataFrame, cutoff: float, native: bool) -> DataFrame:
+    """Each row of `_open` with the lists of names that can still be its best one; a row without any keeps a row.
+
+    A cutoff bounds the lengths that can reach it: for 1 - distance / longer length the shorter is at least `cutoff` of the longer; for
+    2m / (a + b) it is cutoff / (2 - cutoff). So texts meet names by length. Of these names those remain whose letters in common allow the
+    cutoff; for the edit distance also the best similarity among the most promising names of all lists, which a first pass scores.
+    """
+    share = cutoff if native else cutoff / (2 - cutoff)
+    size, bound = F.length("_open"), _most_alike(native)
+    shortest = F.greatest(F.ceil(size * F.lit(share) - F.lit(1e-9)).cast("int"), F.lit(1))
+    longest = F.greatest(F.floor(size / F.lit(share) + F.lit(1e-9)).cast("int"), F.lit(1))
+    marked = rows.withColumn("_marks", F.when(size > 0, _marks(F.col("_open"))))
+    sized = marked.select(*key, "_open", "_marks", F.explode_outer(F.when(size > 0, F.sequence(shortest, longest))).alias("size"))
+    lists = _by_length(vocabulary)
+    pairs = lookup_join(sized, lists, ["size"], "left", spread=["_open"])
+    least = F.lit(cutoff)
+    if native:
+        hopeful = F.array_max(F.transform("candidates", lambda c: F.struct(bound(c).alias("bound"), c["name"].alias("name"))))
+        scored = pairs.filter(F.col("_open").isNotNull()).select("_open", hopeful.alias("_hope"))
+        floor = scored.filter(F.col("_hope.bound") >= cutoff - 1e-9).groupBy("_open").agg(F.max(_alike(F.col("_hope.name"))).alias("_least"))
+        pairs = pairs.join(floor, "_open", "left")
+        least = F.greatest(F.coalesce("_least", F.lit(0.0)), F.lit(cutoff))
+    near = F.filter("candidates", lambda c: bound(c) >= least - 1e-9)
+    return pairs.select(*key, "_open", F.transform(near, lambda c: c["name"]).alias("candidates"), F.size("candidates").alias("_listed"))
+
+
 def _levenshtein_best(cutoff: float) -> Column:
     """The best of `candidates` by 1 - distance / longer length, as (score, feature); null below the cutoff."""
-    alike = F.array_max(F.transform("candidates", lambda name: F.struct(
-        (F.lit(1.0) - F.levenshtein("_open", name) / F.greatest(F.length("_open"), F.length(name))).alias("score"),
-        name.alias("feature"),
-    )))
+    alike = F.array_max(F.transform("candidates", lambda name: F.struct(_alike(name).alias("score"), name.alias("feature"))))
     return F.when(alike["score"] >= cutoff, alike)
 
 
@@ -92,17 +152,8 @@ def _ratio_best(cutoff: float) -> Column:
 
 
 def _closest(rows: DataFrame, key: list[str], vocabulary: DataFrame, cutoff: float, native: bool) -> DataFrame:
-    """(key…, _close, _score): the best name of the vocabulary for the text in `_open`, null where it is null or nothing is close.
-
-    A cutoff bounds the lengths that can reach it: for 1 - distance / longer length the shorter is at least `cutoff` of the longer; for
-    2m / (a + b) it is cutoff / (2 - cutoff). So texts meet names by length. Rows are one chain: each keeps a row, whatever it meets.
-    """
-    share = cutoff if native else cutoff / (2 - cutoff)
-    size = F.length("_open")
-    shortest = F.greatest(F.ceil(size * F.lit(share) - F.lit(1e-9)).cast("int"), F.lit(1))
-    longest = F.greatest(F.floor(size / F.lit(share) + F.lit(1e-9)).cast("int"), F.lit(1))
-    sized = rows.select(*key, "_open", F.explode_outer(F.when(size > 0, F.sequence(shortest, longest))).alias("size"))
-    pairs = lookup_join(sized, _by_length(vocabulary), ["size"], "left", spread=["_open"])
+    """(key…, _close, _score): the best name of the vocabulary for the text in `_open`, null where it is null or nothing is close."""
+    pairs = _candidates(rows, key, vocabulary, cutoff, native)
     best = (_levenshtein_best if native else _ratio_best)(cutoff)
     top = pairs.select(*key, best.alias("_best")).groupBy(*key).agg(F.max("_best").alias("_top"))
     return top.select(*key, F.col("_top.feature").alias("_close"), F.col("_top.score").alias("_score"))

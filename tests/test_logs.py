@@ -72,3 +72,18 @@ def test_flags_updates_and_records(spark, rows):
     assert got == {1: (True, DAY), 2: (True, hours(9)), 3: (False, None)}
     topic = tables.topic_records(rows("user_id STRING, n INT", ("u", 1), (None, 2)), "t", "user_id")
     assert sorted((r.topic, r.key, r.value) for r in topic.collect()) == [("t", "", '{"n":2}'), ("t", "u", '{"user_id":"u","n":1}')]
+
+
+def test_records_are_published_once_in_batch_and_stream(spark, rows, values, tmp_path):
+    records = tables.topic_records(rows("user_id STRING, n INT", ("u", 1), (None, 2)), "t", "user_id")
+    tables.publish(records, "json", path=str(tmp_path / "batch"))
+    want = [("t", "", '{"n":2}'), ("t", "u", '{"user_id":"u","n":1}')]
+    read = lambda name: values(spark.read.schema("topic STRING, key STRING, value STRING").json(str(tmp_path / name)))
+    assert read("batch") == want
+    records.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds nothing new
+        stream = spark.readStream.schema(records.schema).parquet(str(tmp_path / "in"))
+        query = tables.publish(stream, "json", path=str(tmp_path / "stream"), checkpointLocation=str(tmp_path / "c"))
+        query.processAllAvailable()
+        query.stop()
+    assert read("stream") == want

@@ -224,3 +224,19 @@ def test_extraction_runs_on_distinct_terms(spark, rows):
     assert "size(found" not in plan and plan.count("Generate explode") <= 5
     bottom = plan[plan.rindex("Aggregate [raw"):]
     assert "found_in" not in bottom and "aggregate(" not in bottom
+
+
+def test_letters_in_common_bound_the_work_and_lose_nothing(spark):
+    """A vocabulary of 100,000 names: few of the pairs of a possible length are scored, and the best name is that of all names."""
+    digits = "concat(conv(pmod(xxhash64(id), 1679616), 10, 36), conv(pmod(xxhash64(id, 1), 1679616), 10, 36))"
+    names = spark.range(100_000).selectExpr(f"lower({digits}) AS feature").distinct()
+    held = [r.feature for r in names.filter("pmod(xxhash64(feature, 3), 10000) = 0").orderBy("feature").limit(6).collect()]
+    words = [w[:3] + ("x" if w[3] != "x" else "y") + w[4:] for w in held[:3]] + [w[::-1] for w in held[3:]] + ["zzzzzzzz", "é漢𝄞é"]
+    terms = spark.createDataFrame([(w,) for w in words], "norm STRING")
+    rows = terms.withColumn("_open", F.col("norm"))
+    work = mapping._candidates(rows, ["norm"], names, 0.55, True).agg(F.sum("_listed").alias("listed"), F.sum(F.size("candidates")).alias("scored")).first()
+    assert 0 < work.scored <= 0.05 * work.listed
+    alike = F.lit(1.0) - F.levenshtein("norm", "feature") / F.greatest(F.length("norm"), F.length("feature"))
+    every = terms.join(F.broadcast(names), F.length("feature") > 0).groupBy("norm").agg(F.max(F.struct(alike.alias("score"), "feature")).alias("top"))
+    want = {r.norm: r.top.feature for r in every.collect() if r.top.score >= 0.55}
+    assert {r.norm: r.feature for r in mapping.fuzzy_levenshtein(terms, names).collect()} == want and len(want) >= 3
