@@ -221,9 +221,9 @@ def test_extraction_runs_on_distinct_terms(spark, rows):
     terms = rows("raw STRING", ("high fever skin rash",), ("high fever skin rash",))
     resolved = mapping.resolve_terms(terms, tables.features(spark), tables.synonyms(spark), native=True)
     plan = resolved._jdf.queryExecution().optimizedPlan().toString()
-    assert "size(found" not in plan and plan.count("Generate explode") <= 5
+    assert plan.count("aggregate(sequence(1") == 1 and plan.count("Generate explode") <= 6
     bottom = plan[plan.rindex("Aggregate [raw"):]
-    assert "found_in" not in bottom and "aggregate(" not in bottom
+    assert "aggregate(sequence(1" not in bottom
 
 
 def test_letters_in_common_bound_the_work_and_lose_nothing(spark):
