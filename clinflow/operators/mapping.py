@@ -115,13 +115,13 @@ def _alike(name: Column) -> Column:
 
 
 def _candidates(rows: DataFrame, key: list[str], vocabulary: DataFrame, cutoff: float, native: bool,
-                asked: DataFrame | None = None) -> DataFrame:
+                first_pass: bool = True) -> DataFrame:
     """Each row of `_open` with the lists of names that can still be its best one; a row without any keeps a row.
 
     A cutoff bounds the lengths that can reach it: for 1 - distance / longer length the shorter is at least `cutoff` of the longer; for
     2m / (a + b) it is cutoff / (2 - cutoff). So texts meet names by length. Of these names those remain whose letters in common allow the
-    cutoff; for the edit distance also the best similarity among the most promising names of all lists, which a first pass over `asked` scores
-    (texts in `_open`, by default those of the rows).
+    cutoff; for the edit distance also the best similarity among the most promising names of all lists, which a `first_pass` over the rows scores. That pays
+    for large vocabularies, and computes the rows twice.
     """
     share = cutoff if native else cutoff / (2 - cutoff)
     size, bound = F.length("_open"), _most_alike(native)
@@ -135,10 +135,9 @@ def _candidates(rows: DataFrame, key: list[str], vocabulary: DataFrame, cutoff:
         return lookup_join(sized, lists, ["size"], "left", spread=["_open"])
 
     pairs, least = met(rows, key), F.lit(cutoff)
-    if native:
+    if native and first_pass:
         hopeful = F.array_max(F.transform("candidates", lambda c: F.struct(bound(c).alias("bound"), c["name"].alias("name"))))
-        texts = (rows if asked is None else asked).select("_open").filter(F.col("_open").isNotNull())
-        scored = met(texts, []).select("_open", hopeful.alias("_hope"))
+        scored = met(rows.select("_open").filter(F.col("_open").isNotNull()), []).select("_open", hopeful.alias("_hope"))
         floor = scored.filter(F.col("_hope.bound") >= cutoff - 1e-9).groupBy("_open").agg(F.max(_alike(F.col("_hope.name"))).alias("_least"))
         pairs = pairs.join(floor, "_open", "left")
         least = F.greatest(F.coalesce("_least", F.lit(0.0)), F.lit(cutoff))
@@ -158,9 +157,9 @@ def _ratio_best(cutoff: float) -> Column:
 
 
 def _closest(rows: DataFrame, key: list[str], vocabulary: DataFrame, cutoff: float, native: bool,
-             asked: DataFrame | None = None) -> DataFrame:
+             first_pass: bool = True) -> DataFrame:
     """(key…, _close, _score): the best name of the vocabulary for the text in `_open`, null where it is null or nothing is close."""
-    pairs = _candidates(rows, key, vocabulary, cutoff, native, asked)
+    pairs = _candidates(rows, key, vocabulary, cutoff, native, first_pass)
     best = (_levenshtein_best if native else _ratio_best)(cutoff)
     top = pairs.select(*key, best.alias("_best")).groupBy(*key).agg(F.max("_best").alias("_top"))
     return top.select(*key, F.col("_top.feature").alias("_close"), F.col("_top.score").alias("_score"))
@@ -233,8 +232,7 @@ def resolve_terms(terms: DataFrame, features: DataFrame, synonyms: DataFrame,
     keyed = terms.select("raw").distinct().withColumn("norm", normalise_term("raw")).filter(F.col("norm") != "")
     staged = _stage(keyed, meanings)
     open_norm = F.when(F.col("stage").isNull(), F.col("norm"))
-    close = _closest(staged.withColumn("_open", open_norm), ["raw", "norm", "stage", "features"], features, cutoff, native,
-                     keyed.select(F.col("norm").alias("_open")))
+    close = _closest(staged.withColumn("_open", open_norm), ["raw", "norm", "stage", "features"], features, cutoff, native, first_pass=False)
     direct = close.select(
         "raw", F.coalesce("stage", F.when(F.col("_close").isNotNull(), F.lit("fuzzy"))).alias("stage"),
         F.coalesce("features", F.when(F.col("_close").isNotNull(), F.array("_close"))).alias("features"),
