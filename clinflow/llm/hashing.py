@@ -89,21 +89,13 @@ def word_shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndar
 
 def char_shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(owner, hash) of the runs of `width` characters of each text; a shorter text is one shingle."""
-    owners, starts, parts, at = [], [], [], 0
-    for i, text in enumerate(texts):
-        codes = codes_of(text)
-        if len(codes):
-            n = max(len(codes) - width + 1, 1)
-            starts.append(np.arange(at, at + n))
-            owners.append(np.full(n, i))
-            parts.append(codes)
-            at += len(codes)
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    owner, first = np.concatenate(owners), np.concatenate(starts)
-    bounds = np.cumsum([len(p) for p in parts])
-    stop = bounds[np.searchsorted(bounds, first, side="right")]
-    return owner, span_hashes(np.concatenate(parts), first, np.minimum(first + width, stop))
+    codes = codes_of("".join(texts))
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    stop = np.cumsum(size)
+    runs = np.where(size > 0, np.maximum(size - width + 1, 1), 0)
+    owner = np.repeat(np.arange(len(texts)), runs)
+    first = np.arange(len(owner)) + np.repeat(stop - size - (np.cumsum(runs) - runs), runs)
+    return owner, span_hashes(codes, first, np.minimum(first + width, stop[owner]))
 
 
 def counted(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,6 +126,26 @@ def overlaps(left: tuple, right: tuple, n: int, multiset: bool) -> np.ndarray:
     return np.where(total == 0, 1.0, shared / np.maximum(total - shared, 1))
 
 
+def set_overlaps(left: tuple, right: tuple, n: int) -> np.ndarray:
+    """Jaccard of the sets of pairs 0 … n-1 from (owner, hash) of both sides; 1 where both are empty.
+
+    Owner and the upper bits of the hash (40 at least) share a 64-bit number, so that plain sorts do the work.
+    """
+    bits = np.uint64(max(int(n).bit_length(), 1))
+    assert bits <= 24
+    sides = []
+    for owner, hashes in (left, right):
+        found = np.sort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits))
+        new = np.ones(len(found), bool)
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        sides.append(found[new])
+    total = sum(np.bincount((x >> (np.uint64(64) - bits)).astype(np.int64), minlength=n) for x in sides)
+    both = np.sort(np.concatenate(sides))
+    twice = both[1:][both[1:] == both[:-1]]
+    shared = np.bincount((twice >> (np.uint64(64) - bits)).astype(np.int64), minlength=n)
+    return np.where(total == 0, 1.0, shared / np.maximum(total - shared, 1))
+
+
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band of each signature (an array of unsigned 64-bit integers)."""
     keys = np.zeros((len(signatures), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)

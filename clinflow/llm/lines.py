@@ -1,14 +1,15 @@
 """Fuzzy duplicates of lines by MinHash of their character shingles."""
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from clinflow.llm.common import bound_batches, keep_matching, table
+from clinflow.llm.common import bound_batches, keep_matching, partitions_of, table
 from clinflow.llm.hashing import band_keys, blocks, char_shingles, mix
-from clinflow.llm.similar import classes
+from clinflow.llm.similar import linked
 from clinflow.session import send_by_value, written
 
 send_by_value(__name__)
@@ -28,7 +29,7 @@ def min_hash(owner: np.ndarray, hashes: np.ndarray, n: int, size: int) -> np.nda
     """
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     signature = np.full(n * size, none)
-    np.minimum.at(signature, owner * size + (hashes % np.uint64(size)).astype(np.int64), mix(hashes))
+    np.minimum.at(signature, owner * size + (hashes % np.uint64(size)).astype(np.int64), hashes)
     dense = signature.copy()
     filled = np.zeros(n, bool)
     filled[owner] = True
@@ -37,7 +38,7 @@ def min_hash(owner: np.ndarray, hashes: np.ndarray, n: int, size: int) -> np.nda
     while len(empty):
         turn += 1
         row, column = np.divmod(empty, size)
-        other = (mix(column.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(turn)) % np.uint64(size)).astype(np.int64)
+        other = (mix(np.arange(size, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(turn)) % np.uint64(size)).astype(np.int64)[column]
         value = signature[row * size + other]
         found = value != none
         dense[empty[found]] = mix(value[found] ^ column[found].astype(np.uint64))
@@ -56,13 +57,54 @@ def node(doc_id: str = "doc_id", line: str = "line"):
     return (F.col(doc_id).cast("decimal(19,0)") * F.lit(LINE).cast("decimal(10,0)") + F.col(line)).cast("decimal(31,0)")
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def line_bands(lines: pd.Series) -> pd.Series:
-    """The band keys of the signature of each line."""
-    texts, found = list(lines), []
-    for start, stop in blocks(texts):
-        found += list(band_keys(min_hash(*char_shingles(texts[start:stop], WIDTH), stop - start, BANDS * ROWS), BANDS, ROWS))
-    return pd.Series(found, dtype=object)
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """`lines_of` with a hash of 128 bits of the line's text in two columns."""
+    return lines_of(docs).withColumn("first", F.xxhash64("text")).withColumn("second", F.xxhash64(F.lit("again"), "text"))
+
+
+def text_key(first: str = "first", second: str = "second"):
+    """The hash of a text as one value, 16 bytes."""
+    return F.unhex(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(second), 16, "0")))
+
+
+def line_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, first, second, bands): the band keys of the signatures of the lines; once for the equal lines of a batch."""
+    for batch in batches:
+        _, once = np.unique(np.stack([batch["first"].to_numpy(), batch["second"].to_numpy()]), axis=1, return_index=True)
+        batch = batch.take(pa.array(np.sort(once)))
+        texts, found = batch["text"].to_pylist(), [np.zeros((0, BANDS), np.int64)]
+        for start, stop in blocks(texts):
+            found.append(band_keys(min_hash(*char_shingles(texts[start:stop], WIDTH), stop - start, BANDS * ROWS), BANDS, ROWS))
+        keys = pa.array(np.concatenate(found).ravel())
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), keys)
+        yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "line", "first", "second"]).columns, bands],
+                                         ["doc_id", "line", "first", "second", "bands"])
+
+
+def buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n), the `n` texts of every band key that different texts share, and (node, text) of these texts.
+
+    Signatures are made where the lines are, so no text moves for them. Most keys are those of one text: the keys are
+    grouped with the least and the greatest check number of their texts, combined before they are sent, and only those that
+    have two go on to be joined.
+    """
+    items = written(hashed_lines(docs).select("doc_id", "line", "first", "second", "text").mapInArrow(
+        line_bands, "doc_id long, line int, first long, second long, bands array<long>"), "line-items")
+    check = F.shiftright("second", 32).cast("int")
+    keys = items.select(F.explode("bands").alias("key"), check.alias("check"))
+    extremes = keys.groupBy("key").agg(F.min("check").alias("x"), F.max("check").alias("y"))
+    shared = written(extremes.where("x != y").select("key"), "line-shared")
+    known = items.select("doc_id", "line", text_key().alias("node"), F.explode("bands").alias("key"))
+    placed = written(keep_matching(known, shared, ["key"]), "line-placed")
+    distinct = placed.select("key", "node").distinct()
+    sizes = distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(distinct.join(sizes, "key"), "line-members")
+    homes = placed.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("home")).select("node", "home.*")
+    homes = written(homes.join(members.select("node").distinct(), "node", "left_semi"), "line-homes")
+    near = keep_matching(docs.select("doc_id", "text"), homes.select("doc_id").distinct(), ["doc_id"])
+    texts = lines_of(near).join(homes, ["doc_id", "line"]).where(
+        text_key(F.xxhash64("text"), F.xxhash64(F.lit("again"), "text")) == F.col("node"))
+    return members, written(texts.select("node", "text"), "line-texts")
 
 
 def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -72,26 +114,31 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     A class is a connected component, and its id is the `node` number of its first line. Equal lines are one
     item from the beginning. Candidates share one of 20 bands of 5 values each, which misses a pair at 0.8
     with a chance of 4 in 10,000, and every candidate is checked exactly. A line of fewer than five characters
-    is one shingle, so it is near only to an equal line.
+    is one shingle, so it is near only to an equal line. A line is signed and compared whole, however long it is.
 
     Null and empty texts have no lines. Rows without doc_id are not in the result; rows that repeat a
-    doc_id and a line number are linked. An empty table gives no rows. Other columns are not read.
+    doc_id share its line numbers, so classes that begin with the same number have the same id. An empty table gives no rows.
+    Other columns are not read.
     """
     bound_batches(docs.sparkSession)
-    hashed = lines_of(docs).withColumn("first", F.xxhash64("text")).withColumn("second", F.xxhash64(F.lit("again"), "text"))
-    different = hashed.groupBy("first", "second").agg(F.min(node()).alias("node"), F.any_value("text").alias("text"))
-    items = written(different.select("first", "second", "node", line_bands("text").alias("bands")), "line-items")
-    nodes = items.groupBy("node").agg(F.flatten(F.collect_set("bands")).alias("bands"))
-
-    def fetch(needed: DataFrame) -> DataFrame:
-        ids = needed.select(F.floor(F.col("node") / LINE).cast("long").alias("doc_id")).distinct()
-        found = lines_of(keep_matching(docs.select("doc_id", "text"), ids, ["doc_id"]))
-        return keep_matching(found.select(node().alias("node"), "text"), needed, ["node"], 32)
-
-    roots = classes(nodes, fetch, char_shingles, WIDTH, least, False, "lines")
-    placed = items.select("first", "second", "node").join(roots, "node", "left").select(
-        "first", "second", F.coalesce("root", "node").alias("class_id"))
-    return hashed.drop("text").join(placed, ["first", "second"]).drop("first", "second")
+    members, texts = buckets(docs)
+    roots = linked(members, lambda needed: keep_matching(texts, needed, ["node"], 48), char_shingles, WIDTH, least, False, "lines")
+
+    hashed = written(hashed_lines(docs).drop("text"), "line-hashes")
+    different = hashed.groupBy("first", "second").agg(F.min(node()).alias("own"), F.count("*").alias("n"))
+    different = written(different.join(roots.withColumnRenamed("node", "_key"), text_key() == F.col("_key"), "left").drop("_key"), "line-different")
+    heads = different.where("root is not null").groupBy("root").agg(F.min("own").alias("head"))
+    classed = different.join(heads, "root", "left").select("first", "second", "n", F.coalesce("head", "own").alias("class_id"), "own")
+    # A text that stands once and has no earlier one is its own class; only the others are looked up.
+    classed = written(classed.where("n > 1 or class_id != own").drop("own"), "line-classes")
+    # Texts with more rows than a task's share are few (as many as there are shares), so they are broadcast and their rows stay where they are.
+    share = max(hashed.count() // (4 * partitions_of(docs.sparkSession)), 1)
+    hot = F.broadcast(classed.where(F.col("n") > share).drop("n"))
+    rest = classed.where(F.col("n") <= share).drop("n")
+    keys = ["first", "second"]
+    usual = hashed.join(hot.select(*keys), keys, "left_anti").join(rest, keys, "left")
+    found = hashed.join(hot, keys).unionByName(usual)
+    return found.select("doc_id", "line", F.coalesce("class_id", node()).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinflow.llm.common import BROADCAST_BYTES, bound_batches, smallest_reachable
-from clinflow.llm.hashing import blocks, counted, mix, overlaps
+from clinflow.llm.hashing import blocks, counted, mix, overlaps, set_overlaps
 from clinflow.session import send_by_value, written
 
 send_by_value(__name__)
@@ -33,7 +33,8 @@ def checked(pairs: DataFrame, texts: DataFrame, shingles: Callable, width: int,
         for batch in batches:
             left, right = list(batch.text_a), list(batch.text_b)
             for first, last in blocks([x + y for x, y in zip(left, right)]):
-                alike = overlaps(shingles(left[first:last], width), shingles(right[first:last], width), last - first, multiset)
+                sides = shingles(left[first:last], width), shingles(right[first:last], width)
+                alike = overlaps(*sides, last - first, True) if multiset else set_overlaps(*sides, last - first)
                 part = batch.iloc[first:last][["a", "b"]]
                 yield part.assign(similar=alike >= least)
 
@@ -108,6 +109,18 @@ def classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingles:
     `nodes` has (node, bands): different items, and the keys of their bands. Items that share a band
     key are candidates, and `fetch` gives (node, text) for a table of nodes. A class is a connected
     component of the candidate pairs whose similarity is at least `least`.
+    """
+    bound_batches(nodes.sparkSession)
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-shared")
+    small = shared.count() * 24 <= BROADCAST_BYTES
+    members = written(keys.join(F.broadcast(shared) if small else shared, "key"), f"{label}-members")
+    return linked(members, fetch, shingles, width, least, multiset, label)
+
+
+def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingles: Callable, width: int, least: float,
+           multiset: bool, label: str) -> DataFrame:
+    """(node, root) as `classes` gives it, from the buckets: (key, node, n), n items with the key.
 
     First the items of every bucket are checked against its pivot, the item that shares its keys with most
     others: the original of many copies, as a rule. That is one pair for an item of a bucket, however large.
@@ -115,11 +128,6 @@ def classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingles:
     compared: pair by pair in buckets of at most `PAIRED`, in blocks of items in larger ones, where a task
     gives back no more links than join its items. Together no candidate pair is lost.
     """
-    bound_batches(nodes.sparkSession)
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-shared")
-    small = shared.count() * 24 <= BROADCAST_BYTES
-    members = written(keys.join(F.broadcast(shared) if small else shared, "key"), f"{label}-members")
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     ranked = members.join(fame, "node")
     pivots = ranked.groupBy("key").agg(F.min(F.struct((-F.col("fame")).alias("fame"), "node")).alias("p")).select("key", F.col("p.node").alias("p"))
