@@ -2,8 +2,10 @@
 
 Items are grouped around pivots. The distances of items to their pivot bound how far the k-th
 neighbour of a query can be, so a query only visits cells that can hold a nearer item (triangle
-inequality). Cells are cut into blocks of bounded size on both sides; each block pair yields at
-most k rows per query, and the k best of those are the answer.
+inequality). Cells are cut into blocks of bounded size on both sides. Blocks hold an approximation of each
+item, a byte for each dimension and the length of what it leaves out, which gives a lower and an upper bound of
+every distance. Only items whose lower bound is within the k-th upper bound of a query are
+compared by their own vectors.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from clinflow.operators.joining import top_rows
 from clinflow.session import send_by_value, written
@@ -48,13 +51,27 @@ def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _with_cell(items: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     held = items.sparkSession.sparkContext.broadcast(pivots)
 
-    @F.pandas_udf("struct<cell:int,reach:double>")
-    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
-        found = _distances(_matrix(vectors), held.value)
+    @F.pandas_udf("struct<cell:int,reach:double,code:binary,low:double,step:double,error:double>")
+    def placed(vectors: pd.Series) -> pd.DataFrame:
+        points = _matrix(vectors)
+        found = _distances(points, held.value)
         cell = found.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": found[np.arange(len(cell)), cell]})
+        codes, low, step, error = _approximated(points)
+        return pd.DataFrame({"cell": cell.astype("int32"), "reach": found[np.arange(len(cell)), cell],
+                             "code": [row.tobytes() for row in codes], "low": low, "step": step, "error": error})
 
-    return items.withColumn("_c", nearest_pivot(vector)).select("*", "_c.cell", "_c.reach").drop("_c")
+    return items.withColumn("_c", placed(vector)).select("*", "_c.*", F.xxhash64(vector).alias("mark")).drop("_c")
+
+
+def _approximated(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, low, step, error): each vector as low + step * code, and the distance of that to the vector."""
+    low = points.min(1)
+    step = (points.max(1) - low) / 255
+    held = np.where(step > 0, step, 1)
+    scaled = np.rint((points - low[:, None]) / held[:, None])
+    codes = np.clip(np.nan_to_num(scaled), 0, 255).astype(np.uint8)
+    error = np.sqrt(((points - (low[:, None] + step[:, None] * codes)) ** 2).sum(1))
+    return codes, low, step, error
 
 
 def _visited_cells(queries: DataFrame, vector: str, pivots: np.ndarray, k: int,
@@ -81,33 +98,51 @@ def _visited_cells(queries: DataFrame, vector: str, pivots: np.ndarray, k: int,
     return queries.withColumn("cells", cells(vector))
 
 
-def _best_in_block(k: int):
-    def best(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+def _bounds_in_block(k: int):
+    """(query_id, item_id, lower, upper) of the items of a block that can be among the k nearest of its items."""
+
+    def bounds(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(items):
-            points, ids = _matrix(items["vector"]), _plain(items["item_id"])
+            ids, mark, error = _plain(items["item_id"]), items["mark"].to_numpy(), items["error"].to_numpy()
+            order = np.lexsort((ids, error, mark))  # of equal vectors the k first ids are enough
+            new = np.ones(len(order), bool)
+            new[1:] = (mark[order][1:] != mark[order][:-1]) | (error[order][1:] != error[order][:-1])
+            turn = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            chosen = np.sort(order[turn < k])
+            ids, error = ids[chosen], error[chosen] * (1 + 1e-9)
+            held = items.iloc[chosen]
+            codes = np.stack([np.frombuffer(code, np.uint8) for code in held["code"]])
+            points = held["low"].to_numpy()[:, None] + held["step"].to_numpy()[:, None] * codes
             norms = (points ** 2).sum(1)
             for start in range(0, len(queries), TILE):
                 part = queries.iloc[start:start + TILE]
                 asked = _matrix(part["vector"])
                 square = (asked ** 2).sum(1)
                 rough = square[:, None] + norms[None, :] - 2 * asked @ points.T
-                at = min(k, len(ids)) - 1
-                edge = np.partition(rough, at, axis=1)[:, at]
-                slack = 1e-9 * (1 + square + norms.max())
-                row, col = np.nonzero(rough <= (edge + slack)[:, None])
-                exact = ((asked[row] - points[col]) ** 2).sum(1)
-                order = np.lexsort((ids[col], exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = rank < k
-                out.append((_plain(part["query_id"])[row[keep]], ids[col[keep]], exact[keep]))
-        names = ("query_id", "item_id", "distance")
+                slack = (1e-9 * (1 + square + norms.max()))[:, None]
+                lower = np.sqrt(np.maximum(rough - slack, 0)) - error[None, :]
+                upper = np.sqrt(np.maximum(rough, 0) + slack) + error[None, :]
+                edge = np.partition(upper, k - 1, axis=1)[:, k - 1] if k <= len(ids) else np.full(len(part), np.inf)
+                row, col = np.nonzero(lower <= edge[:, None])
+                out.append((_plain(part["query_id"])[row], ids[col], lower[row, col], upper[row, col]))
+        names = ("query_id", "item_id", "lower", "upper")
         none = np.array([], dtype=object)
-        parts = zip(*out) if out else ([none], [none], [none.astype(float)])
+        parts = zip(*out) if out else ([none], [none], [none.astype(float)], [none.astype(float)])
         return pd.DataFrame({name: _column(np.concatenate(arrays)) for name, arrays in zip(names, parts)})
 
-    return best
+    return bounds
+
+
+@F.pandas_udf(DoubleType())
+def _exact(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series(((_matrix(left) - _matrix(right)) ** 2).sum(1) if len(left) else np.array([], float))
+
+
+def _candidates(bounded: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id) of the pairs that can be among the k nearest of a query over all blocks."""
+    edge = top_rows(bounded, ["query_id"], [F.asc("upper"), F.asc("item_id")], k).groupBy("query_id").agg(F.max("upper").alias("edge"))
+    return bounded.join(edge, "query_id").where("lower <= edge").select("query_id", "item_id").distinct()
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVOTS,
@@ -119,10 +154,10 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVO
     """
     spark: SparkSession = items.sparkSession
     kinds = dict(items.dtypes), dict(queries.dtypes)
-    schema = f"query_id {kinds[1]['query_id']}, item_id {kinds[0]['item_id']}, distance double"
+    schema = f"query_id {kinds[1]['query_id']}, item_id {kinds[0]['item_id']}, lower double, upper double"
     chosen = items.orderBy(F.xxhash64("item_id"), "item_id").limit(pivots).select("vector").collect()
     if not chosen:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], f"query_id {kinds[1]['query_id']}, item_id {kinds[0]['item_id']}, distance double, rank int")
     points = np.array([row.vector for row in chosen], dtype=np.float64)
     # Written once: the figures below then read two small columns instead of all vectors again.
     placed = written(_with_cell(items.select("item_id", "vector"), "vector", points), "cells")
@@ -147,10 +182,11 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVO
     left = visits.withColumn("turn", F.pmod(F.xxhash64("query_id"), turns_of).cast("int")).withColumn("part", upto(parts_of))
     right = placed.withColumn("part", F.pmod(F.xxhash64("item_id"), parts_of).cast("int")).withColumn("turn", upto(turns_of))
     keys = ["cell", "part", "turn"]
-    pairs = left.groupBy(*keys).cogroup(right.select(*keys, "item_id", "vector").groupBy(*keys)).applyInPandas(
-        _best_in_block(k), schema
-    )
-    return top_rows(pairs, ["query_id"], [F.asc("distance"), F.asc("item_id")], k, "rank")
+    shown = right.select(*keys, "item_id", "mark", "code", "low", "step", "error")
+    bounded = written(left.groupBy(*keys).cogroup(shown.groupBy(*keys)).applyInPandas(_bounds_in_block(k), schema), "bounds")
+    near_by = _candidates(bounded, k).join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
+    exact = near_by.join(placed.select("item_id", "vector"), "item_id").select("query_id", "item_id", _exact("asked", "vector").alias("distance"))
+    return top_rows(exact, ["query_id"], [F.asc("distance"), F.asc("item_id")], k, "rank")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 3, **sizes: int) -> DataFrame:

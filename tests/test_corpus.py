@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinflow.functions.batched import boundary_chunks_of
-from clinflow.operators import medicines
+from clinflow.operators import medicines, neighbours
 from clinflow.operators.neighbours import nearest
 from clinflow.sources import corpus, matrix
 
@@ -138,3 +138,40 @@ def test_a_mistyped_column_is_not_a_missing_corpus(spark, rows):
 
     with pytest.raises(AnalysisException):
         corpus.union_readable([lambda: rows("a INT", (1,)).select("b")])
+
+
+def test_few_pairs_are_compared_exactly(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("embedding is not null")
+    items = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    seen = []
+    kept = neighbours._candidates
+
+    def counted(bounded, k):
+        seen.append(kept(bounded, k).count())
+        return kept(bounded, k)
+
+    monkeypatch.setattr(neighbours, "_candidates", counted)
+    asked = items.withColumnRenamed("item_id", "query_id")
+    got = {(r.query_id, r.rank): r.item_id for r in nearest(asked, items, 4, pivots=8, block_items=100).collect()}
+    held = sorted((r.item_id, list(r.vector)) for r in items.collect())
+    ids, points = np.array([i for i, _ in held]), np.array([v for _, v in held], np.float64)
+    assert seen[0] < 0.1 * len(ids) ** 2
+    for i, point in zip(ids, points):
+        order = np.lexsort((ids, ((points - point) ** 2).sum(1)))[:4]
+        assert [got[i, k] for k in range(1, 5)] == list(ids[order])
+
+
+def test_copies_of_a_vector_are_taken_by_id(spark):
+    items = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(900, [1.0, 2.001]), (901, [5.0, 5.0])], "item_id int, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.001]), (3, [5.0, 5.0])], "query_id int, vector array<double>")
+    got = nearest(asked, items, 3, pivots=2, block_items=50).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.item_id) for r in got] == [(1, 0), (1, 1), (1, 2), (2, 900), (2, 0), (2, 1), (3, 901), (3, 900), (3, 0)]
+
+
+def test_approximations_bound_the_rest():
+    points = np.random.default_rng(4).normal(size=(50, 16))
+    points[0] = 3.0
+    codes, low, step, error = neighbours._approximated(points)
+    back = low[:, None] + step[:, None] * codes
+    assert np.allclose(np.sqrt(((points - back) ** 2).sum(1)), error) and error[0] == 0
+    assert (np.abs(points - back) <= step[:, None] * 0.5 + 1e-9).all()
