@@ -67,15 +67,15 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str, label: str) -> Da
     )
 
 
-def smallest_reachable(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
+def smallest_reachable(edges: DataFrame, label: str) -> DataFrame:
     """(node, root): for every node of the undirected edges (a, b) the least node it is connected to.
 
     Alternates the large-star and small-star steps of Kiveris and others (Connected Components in
-    MapReduce and Beyond, 2014); every step is two keyed joins. Each round is written. It ends when
-    the links are stars, each node with one link to its root.
+    MapReduce and Beyond, 2014); every step is two keyed joins. Each round is written. It goes on until
+    the links are stars, each node with one link to its root, however many rounds that takes.
     """
     links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{label}-links")
-    for _ in range(rounds):
+    while True:
         ends = links.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
             links.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         roles = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
