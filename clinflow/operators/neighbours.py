@@ -1,6 +1,9 @@
 """Exact k nearest vectors for tables of queries and items of any size.
 
-Items are grouped around pivots. The distances of items to their pivot bound how far the k-th
+Equal vectors count once: items become classes of equal vectors with their k first ids, queries distinct vectors. A query that has k
+items at its own vector is answered by one join; only the rest are searched for among the classes.
+
+For that, classes are grouped around pivots. The distances of items to their pivot bound how far the k-th
 neighbour of a query can be, so a query only visits cells that can hold a nearer item (triangle
 inequality). Cells are cut into blocks of bounded size on both sides. Blocks hold an approximation of each
 item, a byte for each dimension and the length of what it leaves out, which gives a lower and an upper bound of
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -145,6 +148,13 @@ def _candidates(bounded: DataFrame, k: int) -> DataFrame:
     return bounded.join(edge, "query_id").where("lower <= edge").select("query_id", "item_id").distinct()
 
 
+def _classes(items: DataFrame, k: int) -> DataFrame:
+    """(vector, ids, number): the distinct vectors of the items, each with its `k` first ids in order."""
+    few = top_rows(items.filter(F.col("item_id").isNotNull()).select("item_id", "vector"), ["vector"], [F.asc("item_id")], k)
+    lists = few.groupBy("vector").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    return lists.withColumn("number", F.monotonically_increasing_id())
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVOTS,
             block_items: int = BLOCK_ITEMS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, item_id, distance, rank): the k items at the least squared distance; ties by item_id.
@@ -152,12 +162,35 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVO
     `queries` has (query_id, vector) and `items` (item_id, vector), vectors as float arrays.
     Only pivots and per-cell figures (bounded by `pivots` and k) come to the driver.
     """
-    spark: SparkSession = items.sparkSession
-    kinds = dict(items.dtypes), dict(queries.dtypes)
-    schema = f"query_id {kinds[1]['query_id']}, item_id {kinds[0]['item_id']}, lower double, upper double"
-    chosen = items.orderBy(F.xxhash64("item_id"), "item_id").limit(pivots).select("vector").collect()
+    if dict(queries.dtypes)["vector"] != dict(items.dtypes)["vector"]:
+        queries, items = (rows.withColumn("vector", F.col("vector").cast("array<double>")) for rows in (queries, items))
+    asked = written(queries.filter(F.col("query_id").isNotNull()).select("query_id", "vector"), "asked")
+    classes = written(_classes(items, k), "classes")
+    # Outer from the queries: each distinct vector keeps a row, with the items that lie at it.
+    own = asked.select("vector").distinct().join(classes.select("vector", "ids"), "vector", "left")
+    met = written(own.withColumn("query", F.monotonically_increasing_id()), "met")
+    full = F.coalesce(F.size("ids"), F.lit(0)) >= k
+    found = met.filter(full).select("vector", F.explode("ids").alias("item_id"), F.lit(0.0).alias("distance"))
+    left = met.filter(~full).select("query", "vector")
+    if not left.isEmpty():
+        pairs = _near_pairs(left.withColumnRenamed("query", "query_id"), classes.select(F.col("number").alias("item_id"), "vector"),
+                            k, pivots, block_items, block_queries)
+        ids = classes.select(F.col("number").alias("item_id"), "ids", F.col("vector").alias("held"))
+        both = pairs.join(left.withColumnRenamed("query", "query_id"), "query_id").join(ids, "item_id")
+        far = both.select("vector", "ids", _exact("vector", "held").alias("distance"))
+        found = found.unionByName(top_rows(
+            far.select("vector", F.explode("ids").alias("item_id"), "distance"), ["vector"], [F.asc("distance"), F.asc("item_id")], k))
+    # An id that comes several times has one ranking over the items of all its rows.
+    return top_rows(asked.join(found, "vector").select("query_id", "item_id", "distance"),
+                    ["query_id"], [F.asc("distance"), F.asc("item_id")], k, "rank")
+
+
+def _near_pairs(queries: DataFrame, items: DataFrame, k: int, pivots: int, block_items: int, block_queries: int) -> DataFrame:
+    """(query_id, item_id) of the pairs that can be among the k nearest items of a query; ids are numbers, each once."""
+    schema = "query_id long, item_id long, lower double, upper double"
+    chosen = items.orderBy(F.xxhash64("vector"), "item_id").limit(pivots).select("vector").collect()
     if not chosen:
-        return spark.createDataFrame([], f"query_id {kinds[1]['query_id']}, item_id {kinds[0]['item_id']}, distance double, rank int")
+        return queries.limit(0).select("query_id", F.lit(None).cast("long").alias("item_id"))
     points = np.array([row.vector for row in chosen], dtype=np.float64)
     # Written once: the figures below then read two small columns instead of all vectors again.
     placed = written(_with_cell(items.select("item_id", "vector"), "vector", points), "cells")
@@ -184,9 +217,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3, pivots: int = PIVO
     keys = ["cell", "part", "turn"]
     shown = right.select(*keys, "item_id", "mark", "code", "low", "step", "error")
     bounded = written(left.groupBy(*keys).cogroup(shown.groupBy(*keys)).applyInPandas(_bounds_in_block(k), schema), "bounds")
-    near_by = _candidates(bounded, k).join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
-    exact = near_by.join(placed.select("item_id", "vector"), "item_id").select("query_id", "item_id", _exact("asked", "vector").alias("distance"))
-    return top_rows(exact, ["query_id"], [F.asc("distance"), F.asc("item_id")], k, "rank")
+    return _candidates(bounded, k)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 3, **sizes: int) -> DataFrame:

@@ -175,3 +175,20 @@ def test_approximations_bound_the_rest():
     back = low[:, None] + step[:, None] * codes
     assert np.allclose(np.sqrt(((points - back) ** 2).sum(1)), error) and error[0] == 0
     assert (np.abs(points - back) <= step[:, None] * 0.5 + 1e-9).all()
+
+
+def test_queries_with_copies_among_the_items_meet_no_block(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [float(i % 50), 1.0]) for i in range(200)], "item_id int, vector array<float>")
+    asked = items.filter("item_id < 60").select(F.col("item_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    monkeypatch.setattr(neighbours, "_bounds_in_block", None)
+    got = {}
+    for row in nearest(asked, items, 3).collect():
+        got.setdefault(row.query_id, {})[row.rank] = (row.item_id, row.distance)
+    assert got == {i: {k + 1: (i % 50 + 50 * k, 0.0) for k in range(3)} for i in range(60)}
+
+
+def test_queries_and_items_that_repeat(spark):
+    items = spark.createDataFrame([(1, [0.0]), (1, [0.0]), (2, [1.0]), (2, [4.0]), (3, [9.0])], "item_id int, vector array<float>")
+    asked = spark.createDataFrame([("a", [0.0]), ("a", [0.0]), ("b", [4.0]), ("b", [9.0])], "query_id string, vector array<float>")
+    got = nearest(asked, items, 3, pivots=2, block_items=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.item_id, r.distance) for r in got] == [("a", 1, 0.0), ("a", 1, 0.0), ("a", 1, 0.0), ("b", 2, 0.0), ("b", 3, 0.0), ("b", 2, 9.0)]
