@@ -192,3 +192,15 @@ def test_queries_and_items_that_repeat(spark):
     asked = spark.createDataFrame([("a", [0.0]), ("a", [0.0]), ("b", [4.0]), ("b", [9.0])], "query_id string, vector array<float>")
     got = nearest(asked, items, 3, pivots=2, block_items=2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.item_id, r.distance) for r in got] == [("a", 1, 0.0), ("a", 1, 0.0), ("a", 1, 0.0), ("b", 2, 0.0), ("b", 3, 0.0), ("b", 2, 9.0)]
+
+
+def test_boundary_check_shuffles_no_texts(spark, tmp_path):
+    from catalog.corpus import QUERIES
+
+    text = " ".join(["word"] * 300)
+    data = [(1, text), (1, text), (1, "other"), (2, "x" * 700), (3, "  "), (4, None), (5, "")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["f18_boundary_chunks"](spark, str(tmp_path))
+    shuffled = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "collect_list" in line]
+    assert not shuffled
+    assert sorted(tuple(r) for r in out.collect()) == [(1, True, True), (1, True, True), (2, True, False)]
