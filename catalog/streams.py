@@ -31,10 +31,10 @@ CHATS = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 
 
 def event_stream(spark, sf):
-    """The events in four files, one for each micro-batch."""
-    folder = run_dir(spark, "events")
-    b.table(spark, sf, "events").repartition(4, "event_id").write.parquet(folder)
-    return events.read_table_files(spark, folder, EVENTS, files_per_trigger=1)
+    """The events in four micro-batches, each of as many files as tasks can run: a file of one row group is read by one task."""
+    folder, files = run_dir(spark, "events"), spark.sparkContext.defaultParallelism
+    b.table(spark, sf, "events").repartition(4 * files, "event_id").write.parquet(folder)
+    return events.read_table_files(spark, folder, EVENTS, files_per_trigger=files)
 
 
 def log_stream(spark, sf):

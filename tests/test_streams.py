@@ -143,3 +143,15 @@ def test_triggers_in_any_order_and_after_a_restart(spark, rows, tmp_path):
 def test_schemas_parse(spark):
     for schema in (schemas.SYMPTOM_LOG, schemas.TREND, schemas.SYMPTOM_EVENT, schemas.CHAT_EVENT, schemas.RETRAIN_EVENT, schemas.LOG_EVENT):
         assert spark.createDataFrame([], schema).count() == 0
+
+
+def test_micro_batches_of_events_have_a_file_for_each_task(spark, tmp_path, monkeypatch):
+    from catalog import streams
+
+    spark.range(4000).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1D AS value", "'{}' AS props",
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(streams, "run_dir", lambda spark, label: str(tmp_path / label))
+    streams.event_stream(spark, str(tmp_path))
+    files = list((tmp_path / "events").glob("*.parquet"))
+    assert len(files) == 4 * spark.sparkContext.defaultParallelism
