@@ -21,6 +21,15 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], how: str = "l
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key into as many parts as the session shuffles into, all of which stay.
+
+    The adaptive engine merges parts by their bytes in the shuffle. Ids and repeated names are small there and many times larger in the
+    sorts and hash tables of a task, so a step that keeps every key of a part at once is dealt this way.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def numbered(rows: DataFrame, key: list[str], order: list, bucket: Column, name: str = "ordinal") -> DataFrame:
     """Dense numbers 0, 1, 2 … per key in `order`, without one task seeing a whole key.
 

@@ -16,7 +16,7 @@ from clinflow.functions.scoring import severity_score
 from clinflow.functions.text import let, normalise_term, strip
 from clinflow.lookups.severity import UNKNOWN_WEIGHT
 from clinflow.operators.containment import possible
-from clinflow.operators.joining import first, lookup_join
+from clinflow.operators.joining import by_key, first, lookup_join
 
 FUZZY_CUTOFF = 0.55
 #: Parts of the names of one length, so that a list of candidates stays short.
@@ -263,7 +263,7 @@ def map_symptoms(requests: DataFrame, features: DataFrame, synonyms: DataFrame,
         resolved = resolve_terms(exploded_terms(requests, key), features, synonyms, cutoff, native)
     # Outer: a request without terms keeps a row, so no join back to the requests is needed.
     terms = requests.select(key, F.explode_outer("symptoms").alias("raw"))
-    return lookup_join(terms, resolved.select("raw", "features"), ["raw"], "left", spread=[key]).groupBy(key).agg(
+    return by_key(lookup_join(terms, resolved.select("raw", "features"), ["raw"], "left", spread=[key]), key).groupBy(key).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("features")))).alias("matched")
     )
 

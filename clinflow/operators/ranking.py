@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinflow.functions.scoring import f1_score
-from clinflow.operators.joining import lookup_join, top_rows
+from clinflow.operators.joining import by_key, lookup_join, top_rows
 
 OVERLAP_SHARE = 0.7
 MODEL_SHARE = 0.3
@@ -67,7 +67,7 @@ def blend_scores(overlap: DataFrame, model: DataFrame, key: str = "request_id",
     ).unionByName(model.select(
         key, "disease", (F.col("confidence") * MODEL_SHARE).alias("part"), none.alias("o"), F.col("pos").alias("m")
     ))
-    merged = sides.groupBy(key, "disease").agg(
+    merged = by_key(sides, key).groupBy(key, "disease").agg(
         (F.coalesce(F.max(F.when(F.col("o").isNotNull(), F.col("part"))), F.lit(0.0))
          + F.coalesce(F.max(F.when(F.col("m").isNotNull(), F.col("part"))), F.lit(0.0))).alias("score"),
         F.max("o").alias("o"), F.max("m").alias("m"),

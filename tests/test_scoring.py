@@ -240,3 +240,11 @@ def test_letters_in_common_bound_the_work_and_lose_nothing(spark):
     every = terms.join(F.broadcast(names), F.length("feature") > 0).groupBy("norm").agg(F.max(F.struct(alike.alias("score"), "feature")).alias("top"))
     want = {r.norm: r.top.feature for r in every.collect() if r.top.score >= 0.55}
     assert {r.norm: r.feature for r in mapping.fuzzy_levenshtein(terms, names).collect()} == want and len(want) >= 3
+
+
+def test_steps_that_keep_whole_requests_stay_in_all_parts(spark, rows):
+    matched = mapping.map_symptoms(
+        rows("request_id INT, symptoms ARRAY<STRING>", (1, ["cough"]), (1, ["fever"]), (2, None)), tables.features(spark), tables.synonyms(spark), native=True)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert sorted((r.request_id, len(r.matched)) for r in matched.collect()) == [(1, 2), (2, 0)]
