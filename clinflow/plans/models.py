@@ -12,9 +12,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinflow.operators.forest import DeepForest
 from clinflow.operators.learning import SEED, with_fold
 
 MAX_DEPTH = 30
+SHALLOW = 10
 
 
 def indexer(label: str = "label") -> StringIndexer:
@@ -30,9 +32,10 @@ def vector_from_array(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def forest(trees: int = 200, depth: int = MAX_DEPTH, seed: int = SEED) -> RandomForestClassifier:
-    """M2. MLlib trees end at depth 30."""
-    return RandomForestClassifier(labelCol="label_index", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+def forest(trees: int = 200, depth: int = MAX_DEPTH, seed: int = SEED) -> RandomForestClassifier | DeepForest:
+    """M2. Trees end at depth 30, as those of MLlib, which grows them to their end up to a depth of 10."""
+    trees = RandomForestClassifier(labelCol="label_index", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    return trees if depth <= SHALLOW else DeepForest(trees)
 
 
 def boosted(rounds: int = 300, depth: int = 6, rate: float = 0.1, share: float = 0.8, seed: int = SEED) -> OneVsRest:

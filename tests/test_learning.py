@@ -113,3 +113,51 @@ def test_knowledge_per_disease(spark, rows):
     got = disease_knowledge(rows("disease STRING", ("malaria",), ("dengue",), ("malaria",)), model, chunks, 2)
     best = {r.disease: [k.disease for k in r.knowledge] for r in got.collect()}
     assert {name: (first[0], len(first)) for name, first in best.items()} == {"malaria": ("Malaria", 2), "dengue": ("Dengue", 2)}
+
+
+def noisy(spark, n):
+    values = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).cast("double") for i in range(9)]
+    return models.vector_from_array(spark.range(n).select("id", F.concat(F.lit("c"), F.pmod(F.xxhash64("id"), F.lit(4))).alias("label"), F.array(*values).alias("v")), "v")
+
+
+def test_deep_forests_need_no_jobs_for_each_level(spark):
+    data, context = noisy(spark, 600), spark.sparkContext
+    context.setJobGroup("deep", "deep")
+    try:
+        model = models.fit(data, models.forest(trees=30))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("deep")) < 25
+    # Noise is learned by heart only if the trees go down to single rows.
+    assert learning.accuracy(models.predictions(model, data)).first().accuracy > 95
+
+
+def test_deep_forests_below_a_top_and_after_loading(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from clinflow.operators.forest import DeepForest
+
+    data = noisy(spark, 500)
+    deep = DeepForest(models.forest(trees=20).top, group_rows=100)
+    model = models.fit(data, deep)
+    assert model.stages[1].top.getMaxDepth() > 2
+    assert model.stages[1].nodes.count() > 20 * 4
+    model.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    twice = data.union(data)
+    first, again = (models.probabilities(m, twice, "id").orderBy("id").collect() for m in (model, loaded))
+    assert len(first) == 1000 and first == again and all(abs(sum(r.probability) - 1) < 1e-6 for r in first)
+    assert learning.accuracy(models.predictions(loaded, data)).first().accuracy > 90
+
+
+def test_a_tree_by_hand():
+    import numpy as np
+
+    from clinflow.operators.forest import fall, grow
+
+    bins = np.array([[0, 5], [1, 5], [2, 5], [3, 5], [0, 9]], np.uint8)
+    label = np.array([0, 0, 1, 1, 2])
+    feature, cut, child, shares = grow(bins, label, np.array([1.0, 2, 1, 1, 1]), 3, 30, np.random.default_rng(1))
+    assert shares[fall(bins, feature, cut, child)].argmax(1).tolist() == label.tolist()
+    alone = grow(bins, label, np.array([1.0, 2, 1, 1, 1]), 3, 0, np.random.default_rng(1))
+    assert alone[0].tolist() == [-1] and np.allclose(alone[3], [[3 / 6, 2 / 6, 1 / 6]])
