@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 from clinflow import schemas
 from clinflow.operators.cleanse import split_valid, validate_requests
@@ -30,6 +31,8 @@ HISTORY = 20
 HISTORY_MS = 24 * 60 * 60 * 1000
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of the logs that alerts were given for.
+BUCKETS = 4096
 #: Parts that the rows of one window and disease are spread over.
 SALTS = 16
 
@@ -207,25 +210,51 @@ def retrain_stream(triggers: DataFrame, run, checkpoint: str, **trigger) -> Stre
 
 
 class Once(StatefulProcessor):
-    """The first row of a key, and no other while it is remembered."""
+    """The first row of each log of a bucket, and no other while the log is remembered.
+
+    The logs of a bucket are a list: what is new is appended to it, so a micro-batch costs a few calls for each bucket, not for each log.
+    """
 
     def __init__(self, days: int):
         self.keep = days * 24 * 60 * 60 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "yes boolean")
+        self.seen = handle.getListState("seen", "id string, until long")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batches = list(rows)
-        if not self.seen.exists():
-            top = pd.concat([batch.nsmallest(1, "clock_ms") for batch in batches]).nsmallest(1, "clock_ms")
-            self.seen.update((True,))
-            self.handle.registerTimer(max(int(top["clock_ms"].iloc[0]), timerValues.getCurrentWatermarkInMs()) + self.keep)
-            yield top.drop(columns="clock_ms")
+        first = None
+        for batch in rows:
+            both = batch if first is None else pd.concat([first, batch])
+            first = both.sort_values("clock_ms", kind="stable").drop_duplicates("log_id")
+        known = {name for name, _ in self.seen.get()} if self.seen.exists() else set()
+        ids = [None if pd.isna(name) else name for name in first["log_id"]]
+        first = first[[name not in known for name in ids]]
+        if len(first):
+            until = (first["clock_ms"].clip(lower=timerValues.getCurrentWatermarkInMs()) + self.keep).tolist()
+            self.seen.appendList(list(zip((name for name in ids if name not in known), until)))
+            self.wake(min(until))
+            yield first.drop(columns=["bucket", "clock_ms"])
+
+    def wake(self, at: int) -> None:
+        """The bucket's timer is at the first of its logs to be forgotten."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        kept = [entry for entry in map(tuple, self.seen.get()) if entry[1] > now]
+        self.timer.clear()
+        if kept:
+            self.seen.put(kept)
+            self.wake(min(until for _, until in kept))
+        else:
+            self.seen.clear()
         yield from ()
 
     def close(self) -> None:
@@ -237,12 +266,18 @@ def high_risk_alerts(logs: DataFrame, days: int = 90, late: str = "1 hour") -> D
 
     The watermark drops no row; it only moves the timers that forget a log `days` of event time after it, or after the watermark if the log was later.
     A repeat within that time gives no second alert. Of repeats in one micro-batch the earliest counts; a null event time is the earliest.
+    Logs are dealt into `BUCKETS` by a hash. Whole numbers pass Python as text, as a null beside them would make them floats.
     """
     keep_state_on_disk(logs.sparkSession)
     alerts = logs.filter(F.col("risk_level") == "HIGH").withColumn("created_at", F.col("created_at").cast("timestamp"))
     at = F.coalesce(F.unix_millis("created_at"), F.lit(0))
-    timed = alerts.withColumns({"clock_ms": at, "_clock": F.col("created_at")}).withWatermark("_clock", late).drop("_clock")
-    return timed.groupBy("log_id").transformWithStateInPandas(Once(days), alerts.schema, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("log_id"), F.lit(BUCKETS))
+    timed = alerts.withColumns({"clock_ms": at, "_clock": F.col("created_at"), "bucket": bucket}).withWatermark("_clock", late).drop("_clock")
+    as_text = [field.name for field in alerts.schema if isinstance(field.dataType, IntegralType) or field.name == "log_id"]
+    texts = timed.withColumns({name: F.col(name).cast("string") for name in as_text})
+    kind = StructType([StructField(field.name, StringType() if field.name in as_text else field.dataType) for field in alerts.schema])
+    found = texts.groupBy("bucket").transformWithStateInPandas(Once(days), kind, "append", "eventTime")
+    return found.select(*[F.col(field.name).cast(field.dataType) for field in alerts.schema])
 
 
 TREND_PART = ("window_start timestamp, window_end timestamp, top_disease string, case_count long, severity_count long, severity_sum decimal(28,4), "

@@ -155,3 +155,79 @@ def test_micro_batches_of_events_have_a_file_for_each_task(spark, tmp_path, monk
     streams.event_stream(spark, str(tmp_path))
     files = list((tmp_path / "events").glob("*.parquet"))
     assert len(files) == 4 * spark.sparkContext.defaultParallelism
+
+
+class Held:
+    """The state of one key in a test, and the calls that changed it."""
+
+    def __init__(self):
+        self.lists, self.values, self.timers, self.calls = {}, {}, set(), 0
+
+    def getListState(self, name, schema):
+        held = self
+
+        class State:
+            exists = lambda self: bool(held.lists.get(name))
+            get = lambda self: iter(held.lists[name])
+
+            def appendList(self, more):
+                held.calls += 1
+                held.lists[name] = held.lists.get(name, []) + more
+
+            def put(self, more):
+                held.lists[name] = more
+
+            def clear(self):
+                held.lists[name] = []
+        return State()
+
+    def getValueState(self, name, schema):
+        held = self
+
+        class State:
+            exists = lambda self: name in held.values
+            get = lambda self: held.values[name]
+            update = lambda self, value: held.values.update({name: value})
+            clear = lambda self: held.values.pop(name, None)
+        return State()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, watermark):
+        self.getCurrentWatermarkInMs = lambda: watermark
+
+
+def test_alerts_of_a_bucket_are_one_state(spark):
+    import pandas as pd
+
+    day, held, once = 24 * 60 * 60 * 1000, Held(), jobs.Once(90)
+    once.init(held)
+
+    def alerted(watermark, *logs):
+        batches = [pd.DataFrame([(7, *log)], columns=["bucket", "log_id", "clock_ms"]) for log in logs]
+        return sorted((str(name) for out in once.handleInputRows((7,), iter(batches), At(watermark)) for name in out["log_id"]))
+
+    assert alerted(0, ("a", 5 * day), ("b", 9 * day), ("a", 2 * day), (None, 0)) == ["None", "a", "b"]
+    assert held.calls == 1 and held.timers == {90 * day}
+    assert alerted(0, ("b", 0), (None, 1), ("c", day)) == ["c"]
+    held.timers.clear()
+    list(once.handleExpiredTimer((7,), At(92 * day), None))
+    assert sorted(map(str, held.lists["seen"])) == [str(("b", 99 * day))] and held.timers == {99 * day}
+    assert alerted(92 * day, ("a", 3 * day), ("b", 3 * day)) == ["a"]
+    assert held.timers == {99 * day} and ("a", 182 * day) in held.lists["seen"]
+
+
+def test_alerts_with_large_and_missing_numbers(spark, rows, tmp_path):
+    schema = "log_id BIGINT, user_id BIGINT, risk_level STRING, created_at TIMESTAMP, labeled BOOLEAN"
+    big = 2**53
+    logs = rows(schema, *[(big + i, None if i % 3 else big + 2 * i + 1, "HIGH", AT, None if i % 5 else True) for i in range(300)],
+                (None, 1, "HIGH", AT, True), (None, 1, "HIGH", AT, True), (5, 5, "LOW", AT, True))
+    held = in_steps(spark, jobs.high_risk_alerts, [logs, logs], schema, str(tmp_path / "in"), str(tmp_path / "out"))
+    want = logs.filter("risk_level = 'HIGH'").distinct()
+    assert held.count() == 301 and held.exceptAll(want).isEmpty()
