@@ -55,10 +55,13 @@ def grow(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int,
             cell = (own[:, None] * some + np.arange(some)) * BINS + bins[rows[:, None], looked[own]]
             counts = np.bincount((cell * classes + label[rows][:, None]).ravel(), np.repeat(weight[rows], some), n * some * BINS * classes)
             low = counts.reshape(n, some, BINS, classes).cumsum(axis=2)[:, :, :-1]
-            high = total[nodes][:, None, None] - low
-            n_low, n_high = low.sum(3), high.sum(3)
+            n_low = low.sum(3)
+            n_high = size[nodes][:, None, None] - n_low
             valid = (n_low > 0) & (n_high > 0)
-            pure = np.where(valid, (low**2).sum(3) / np.maximum(n_low, 1) + (high**2).sum(3) / np.maximum(n_high, 1), -np.inf).reshape(n, -1)
+            # Sums of squares of whole numbers, so those of the other side are exact as well.
+            low_squares, cross = np.einsum("nsbc,nsbc->nsb", low, low), np.einsum("nsbc,nc->nsb", low, total[nodes])
+            high_squares = (total[nodes]**2).sum(1)[:, None, None] - 2 * cross + low_squares
+            pure = np.where(valid, low_squares / np.maximum(n_low, 1) + high_squares / np.maximum(n_high, 1), -np.inf).reshape(n, -1)
             choice = pure.argmax(1)
             gains = pure[np.arange(n), choice] - (total[nodes]**2).sum(1) / size[nodes] > 1e-9
             best[nodes[gains]] = looked[np.arange(n), choice // (BINS - 1)][gains]
