@@ -18,8 +18,10 @@ from clinflow.session import send_by_value, written
 send_by_value(__name__)
 
 BINS = 32
-#: Rows below a node from which on a group of rows grows it to its end.
+#: Rows that a node of the top's last level has on average, at most; a group of rows grows it to its end.
 GROUP_ROWS = 16384
+#: No node has more than so many times these rows.
+UNEVEN = 8
 #: Cells of the class counts that are held at a time.
 CELLS = 1 << 20
 NODES = "tree int, leaf int, feature binary, cut binary, child binary, shares binary"
@@ -116,8 +118,8 @@ class DeepForest(Estimator):
     """A random forest whose trees are as deep as their rows allow.
 
     MLlib counts classes by bin for every node in every part of the rows, however few rows a node has: at depth 30 nearly all of its
-    work is for nodes of a few rows. Here `top` goes to the depth where each node has at most `GROUP_ROWS` rows; below, the rows of a
-    node are one group, drawn with replacement once more, which a task grows to the end. The trees are kept as a table, one row for
+    work is for nodes of a few rows. Here `top` goes to the depth where a node has about `GROUP_ROWS` rows, and none over `UNEVEN` times as many; below, the rows of
+    a node are one group, drawn with replacement once more, which a task grows to the end. The trees are kept as a table, one row for
     each leaf of the top, and are never together in the driver or in one task.
     """
 
@@ -137,7 +139,7 @@ class DeepForest(Estimator):
             model = DeepForestModel(top, bounds, count, classes, None)
             placed = model.placed(numbered, F.col(label).cast("int").alias("label"))
             sizes = placed.groupBy("tree", "leaf").count().agg(F.max("count")).first()[0]
-            if sizes <= self.group_rows or depth == self.depth:
+            if sizes <= UNEVEN * self.group_rows or depth == self.depth:
                 break
             depth = min(depth + 2, self.depth)
         left, seed, wide = self.depth - depth, self.top.getSeed(), len(bounds)
