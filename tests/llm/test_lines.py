@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from clinflow.llm import lines
 from clinflow.llm.hashing import band_keys
@@ -90,3 +91,46 @@ def test_bands_miss_few_pairs_at_the_threshold(shingles):
     left, right = (band_keys(lines.min_hash(np.repeat(np.arange(n), shingles), x.ravel(), n, lines.BANDS * lines.ROWS), lines.BANDS, lines.ROWS)
                    for x in sides)
     assert 1 - (left == right).any(axis=1).mean() < 0.002
+
+
+def test_lines_that_share_bands_by_chance_go_no_further(documents, monkeypatch):
+    monkeypatch.setattr(lines, "KEY", 63)  # many different lines share a key
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice([40, 300, 500]))) for _ in range(400)]
+    docs = documents(*texts, texts[0] + "a", texts[1] + "b")
+    hashed = lines.hashed_lines(docs).drop("text")
+    members, found = lines.buckets(docs, hashed, lines.LEAST)
+    near = {r.text for r in found.collect()}
+    assert {texts[0], texts[0] + "a", texts[1], texts[1] + "b"} <= near
+    assert len(near) < 120 and members.count() < 20 * 120  # of 402
+
+
+@pytest.mark.parametrize("shingles", [1, 9, 18, 90, 126, 135, 720])
+def test_sketches_lose_no_pair_at_the_threshold(shingles):
+    rng, n = np.random.default_rng(2), 5_000
+    shared = shingles * 8 // 9 if shingles > 1 else 1
+    own = shingles - shared
+    hashes = rng.integers(0, 2**63, (n, shared + 2 * own)).astype(np.uint64)
+    owner = np.repeat(np.arange(n), shingles)
+    a, b = (lines.sketches(owner, x.ravel(), lines.min_hash(owner, x.ravel(), n, lines.BANDS * lines.ROWS))
+            for x in (hashes[:, :shingles], np.concatenate([hashes[:, :shared], hashes[:, shingles:]], axis=1)))
+    assert lines.may_be_near(a, b, lines.LEAST).all()
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_rows_of_a_key_meet_over_batches(size, monkeypatch):
+    monkeypatch.setattr(lines, "RUN", 3)
+    same = [0xAB << 8, 0xAB << 8, 0xAB << 8]
+    far = [0, (2**56 - 1) << 8]
+    runs = {1: far, 2: same, 3: [7], 4: far + [0], 5: far * 3, 6: same[:2] + [(0xAB ^ (2**56 - 1)) << 8]}
+    rows = [(key, i, sketch) for key, found in runs.items() for i, sketch in enumerate(found)]
+    rows = [x for row in rows for x in [row] * 2]  # equal texts
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array(np.array([r[2] for r in part], np.uint64).view(np.int64))],
+        ["key", "first", "sketch"]) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+    found = [r for batch in lines.near_rows(lines.LEAST)(iter(batches)) for r in batch.to_pylist()]
+    kept = {}
+    for r in found:
+        kept.setdefault(r["key"], set()).add(r["first"])
+    # the key with more texts than RUN gives all of them, the others those with a partner
+    assert sorted(map(sorted, kept.values())) == [[0, 1], [0, 1, 2], [0, 1, 2, 3, 4, 5], [0, 2]]
