@@ -178,14 +178,19 @@ def near_rows(least: float):
 
         for batch in batches:
             rows = [np.concatenate([x, batch[name].to_numpy()]) for x, name in zip(held, ("key", "first", "sketch"))]
-            key, first = rows[:2]
-            once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (first[1:] != first[:-1])
-            rows = [x[once] for x in rows]
             if full is not None:
                 mine = rows[0] == full
                 yield found(rows[0][mine], rows[1][mine])
                 rows = [x[~mine] for x in rows]
+            edge = rows[0][1:] != rows[0][:-1]
+            several = ~(np.append(True, edge) & np.append(edge, False))[: len(rows[0])]  # the last key may go on
+            rows = [x[several] for x in rows]
+            order = np.lexsort((rows[1], rows[0]))
+            rows = [x[order] for x in rows]
+            key, first = rows[:2]
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (first[1:] != first[:-1])
+            rows = [x[once] for x in rows]
             if not len(rows[0]):
                 held = rows
                 continue
@@ -214,7 +219,7 @@ def buckets(docs: DataFrame, hashed: DataFrame, least: float) -> tuple[DataFrame
     """
     signed = hashed_lines(docs).select("first", "second", "text").mapInArrow(line_bands, "first long, sketch long, bands array<long>")
     rows = signed.select("first", "sketch", F.explode("bands").alias("key"))
-    rows = rows.repartition(partitions_of(docs.sparkSession), "key").sortWithinPartitions("key", "first")
+    rows = rows.repartition(partitions_of(docs.sparkSession), "key").sortWithinPartitions("key")
     near = written(rows.mapInArrow(near_rows(least), "key long, first long"), "line-near")
     needed = written(near.select("first").distinct(), "line-needed")
     homes = keep_matching(hashed, needed, ["first"]).groupBy("first", "second").agg(F.min(F.struct("doc_id", "line")).alias("home"))
@@ -241,6 +246,11 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     doc_id share its line numbers, so classes that begin with the same number have the same id. An empty table gives no rows.
     Other columns are not read.
     """
+    return shared_classes(docs, least).withColumn("class_id", F.coalesce("class_id", node()))
+
+
+def shared_classes(docs: DataFrame, least: float) -> DataFrame:
+    """`line_classes` with a null class for lines that are a class of their own."""
     bound_batches(docs.sparkSession)
     hashed = written(hashed_lines(docs).drop("text"), "line-hashes")
     members, texts = buckets(docs, hashed, least)
@@ -248,8 +258,12 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     different = hashed.groupBy("first", "second").agg(F.min(node()).alias("own"), F.count("*").alias("n"))
     different = written(different.join(roots.withColumnRenamed("node", "_key"), text_key() == F.col("_key"), "left").drop("_key"), "line-different")
-    heads = different.where("root is not null").groupBy("root").agg(F.min("own").alias("head"))
-    classed = different.join(heads, "root", "left").select("first", "second", "n", F.coalesce("head", "own").alias("class_id"), "own")
+    near = different.where("root is not null")
+    heads = near.groupBy("root").agg(F.min("own").alias("class_id"))
+    columns = ["first", "second", "n", "class_id", "own"]
+    # Texts that are near to no other have no root and stay out of the join, where they would meet in one task.
+    alone = different.where("root is null").withColumn("class_id", F.col("own")).select(*columns)
+    classed = near.join(heads, "root").select(*columns).unionByName(alone)
     # A text that stands once and has no earlier one is its own class; only the others are looked up.
     classed = written(classed.where("n > 1 or class_id != own").drop("own"), "line-classes")
     # Texts with more rows than a task's share are few (as many as there are shares), so they are broadcast and their rows stay where they are.
@@ -258,8 +272,7 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rest = classed.where(F.col("n") <= share).drop("n")
     keys = ["first", "second"]
     usual = hashed.join(hot.select(*keys), keys, "left_anti").join(rest, keys, "left")
-    found = hashed.join(hot, keys).unionByName(usual)
-    return found.select("doc_id", "line", F.coalesce("class_id", node()).alias("class_id"))
+    return hashed.join(hot, keys).unionByName(usual).select("doc_id", "line", "class_id")
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -268,8 +281,8 @@ def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     `dropped` lists, by line, the lines that go because the class has an earlier line: the line's number, and the
     document and line that stay. Documents without lines have none. Rows that repeat a doc_id are counted together.
     """
-    found = line_classes(docs, least)
-    goes = F.when(F.col("class_id") != node(), F.struct(
+    found = shared_classes(docs, least)
+    goes = F.when(F.col("class_id").isNotNull() & (F.col("class_id") != node()), F.struct(
         "line", F.floor(F.col("class_id") / LINE).cast("long").alias("kept_doc"), (F.col("class_id") % LINE).cast("int").alias("kept_line")))
     counts = found.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.count(goes).alias("n_dropped"), F.array_sort(F.collect_list(goes)).alias("dropped"))
