@@ -161,3 +161,51 @@ def test_a_tree_by_hand():
     assert shares[fall(bins, feature, cut, child)].argmax(1).tolist() == label.tolist()
     alone = grow(bins, label, np.array([1.0, 2, 1, 1, 1]), 3, 0, np.random.default_rng(1))
     assert alone[0].tolist() == [-1] and np.allclose(alone[3], [[3 / 6, 2 / 6, 1 / 6]])
+
+
+def uneven(spark, n):
+    """Four of five vectors are the same: no cut parts them."""
+    same = F.col("id") % 5 != 0
+    values = [F.when(same, 500.0).otherwise(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).cast("double")) for i in range(9)]
+    label = F.concat(F.lit("c"), F.when(same, F.when(F.col("id") % 3 == 0, 1).otherwise(0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(4))))
+    return models.vector_from_array(spark.range(n).select("id", label.alias("label"), F.array(*values).alias("v")), "v")
+
+
+def test_equal_rows_do_not_deepen_the_top(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from clinflow.operators.forest import UNEVEN, DeepForest
+
+    data = uneven(spark, 1000)
+    model = models.fit(data, DeepForest(models.forest(trees=10).top, group_rows=60))
+    deep = model.stages[1]
+    assert 1000 * 4 // 5 > UNEVEN * 60 and deep.top.getMaxDepth() == 5
+    # The equal rows are split off by counts over all rows, and end as a leaf of their own.
+    assert len(deep.deeper) > 0
+    assert deep.nodes.select("tree", "leaf").distinct().count() == deep.nodes.count()
+    model.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    first, again = (models.probabilities(m, data, "id").orderBy("id").collect() for m in (model, loaded))
+    assert len(first) == 1000 and first == again and all(abs(sum(r.probability) - 1) < 1e-6 for r in first)
+    common = first[1].probability
+    assert all(r.probability == common for r in first if r.id % 5) and abs(common[1] - 1 / 3) < 0.1
+    found = models.predictions(model, data.where("id % 5 = 0"))
+    assert learning.accuracy(found).first().accuracy > 90
+
+
+def test_groups_stay_below_their_bound(spark, monkeypatch):
+    from clinflow.operators import forest
+
+    monkeypatch.setattr(forest, "UNEVEN", 1)
+    data, seen = noisy(spark, 2000), {}
+    model = models.fit(data, forest.DeepForest(models.forest(trees=8).top, group_rows=150)).stages[1]
+    assert model.top.getMaxDepth() == 4 and model.deeper
+    rows = model.blocks(data.withColumn("_row", F.col("id")), F.lit(0)).collect()
+    for block in rows:
+        ids, bins, leaf = (forest.unpacked([part], kind) for part, kind in zip((block.rows, block.bins, block.leaf), "qBi"))
+        for tree, own in enumerate(leaf.reshape(-1, len(ids))):
+            for node, part in forest.runs(forest.leaves(model.deeper, tree, own, bins.reshape(len(ids), -1))):
+                seen[tree, node] = seen.get((tree, node), 0) + len(part)
+    # Every place that rows come to has nodes, and holds about the drawn rows of a group at most.
+    assert set(seen) == {(r.tree, r.leaf) for r in model.nodes.select("tree", "leaf").collect()}
+    assert sum(seen.values()) == 8 * 2000 and max(seen.values()) < 150 * 1.5
