@@ -30,7 +30,7 @@ CELLS = 1 << 17
 #: Rows that are counted at a time.
 ROWS = 1 << 14
 #: Bytes of nodes, or of class counts of large nodes, that a task holds while rows pass.
-HELD = 64 << 20
+HELD = 32 << 20
 #: Bytes of a batch that a task sends or gets.
 SENT = 8 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
